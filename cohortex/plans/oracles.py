@@ -149,16 +149,157 @@ seg AS (
 _SEG = {c: 6 for c in ("segment_rank", "auto", "traveler", "entrepreneur")}
 oracle("segment_features", rounded(with_("segments", extra=SEGMENT_AGG) + "SELECT * FROM seg", _SEG))
 
-ONE_HOT_SQL = with_("segments", "people", extra=SEGMENT_AGG + """,
-seg_oh AS (
-  PIVOT (SELECT user_id, 'seg_' || segment_code AS k FROM seg WHERE segment_code IS NOT NULL
-         UNION ALL
-         SELECT user_id, 'region_type_' || region_size FROM seg WHERE region_size IS NOT NULL)
-  ON k USING count(*) GROUP BY user_id),
-ppl_oh AS (
-  PIVOT (SELECT user_id, 'region_' || region AS k FROM people WHERE region IS NOT NULL)
-  ON k USING count(*) GROUP BY user_id)""") + """
+ONE_HOT_SQL = with_("segments", "people", extra=SEGMENT_AGG) + """
 SELECT user_id, CAST(coalesce(COLUMNS(* EXCLUDE (user_id)), 0) AS INTEGER) FROM (
   SELECT * FROM (SELECT user_id FROM people) u
-  LEFT JOIN ppl_oh USING (user_id) LEFT JOIN seg_oh USING (user_id))"""
+  LEFT JOIN (PIVOT (SELECT user_id, 'region_' || region AS k FROM people WHERE region IS NOT NULL)
+             ON k USING count(*) GROUP BY user_id) p USING (user_id)
+  LEFT JOIN (PIVOT (SELECT user_id, 'seg_' || segment_code AS k FROM seg WHERE segment_code IS NOT NULL
+                    UNION ALL
+                    SELECT user_id, 'region_type_' || region_size FROM seg WHERE region_size IS NOT NULL)
+             ON k USING count(*) GROUP BY user_id) s USING (user_id))"""
 oracle("one_hot", ONE_HOT_SQL)
+
+OFFER_AGG = """sa AS (
+  SELECT user_id, count(offer_id) AS offers_seen_count,
+         arg_min(start_date, ordinal) FILTER (WHERE start_date IS NOT NULL) AS first_offer_date
+  FROM seens WHERE user_id IS NOT NULL GROUP BY user_id),
+aa AS (
+  SELECT user_id, count(offer_id) AS offers_activated_count,
+         arg_min(activation_date, ordinal) FILTER (WHERE activation_date IS NOT NULL) AS first_activation_date
+  FROM activations WHERE user_id IS NOT NULL GROUP BY user_id),
+ra AS (
+  SELECT user_id, count(offer_id) AS rewards_count,
+         sum(coalesce(TRY_CAST(reward_amt AS DOUBLE), 0.0)) AS total_reward_amt
+  FROM rewards WHERE user_id IS NOT NULL GROUP BY user_id)"""
+
+oracle("offer_features", with_("people", "seens", "activations", "rewards", extra=OFFER_AGG) + """
+SELECT p.user_id,
+       coalesce(sa.offers_seen_count, 0) AS offers_seen_count, sa.first_offer_date,
+       coalesce(aa.offers_activated_count, 0) AS offers_activated_count, aa.first_activation_date,
+       coalesce(ra.rewards_count, 0) AS rewards_count,
+       round(coalesce(ra.total_reward_amt, 0.0), 2) AS total_reward_amt
+FROM people p LEFT JOIN sa ON p.user_id = sa.user_id LEFT JOIN aa ON p.user_id = aa.user_id
+LEFT JOIN ra ON p.user_id = ra.user_id""")
+
+
+def _feature_table_sql() -> str:
+    def dbl(src, cols):
+        return [f"round(coalesce({src}.{c}, 0.0), 6) AS {c}" for c in cols]
+
+    def cnt(src, cols):
+        return [f"coalesce({src}.{c}, 0) AS {c}" for c in cols]
+
+    wins = (7, 30, 90)
+    txw_cnt = [f"{m}_{d}d" for d in wins for m in ("tx_count", "unique_merchants")]
+    txw_dbl = [f"{m}_{d}d" for d in wins for m in ("tx_amount_sum", "tx_amount_avg", "online_share")]
+    txt_cnt = ["tx_count_total", "unique_merchants_total", "unique_brands_total"]
+    txt_dbl = ["tx_amount_sum_total", "tx_amount_avg_total", "tx_amount_std_total", "online_share_total"]
+    rc_cnt = [f"receipts_count_{d}d" for d in (30, 90)]
+    rc_dbl = [f"receipts_{m}_{d}d" for d in (30, 90) for m in ("items", "cost")]
+    cols = (["p.user_id", "p.age_bucket", "p.gender_cd", "p.region",
+             f"strftime(TRY_CAST(p.last_activity_day AS TIMESTAMP), {TS}) AS last_activity_day",
+             f"CAST({GENDER_SQL.replace('gender_cd', 'p.gender_cd')} AS INTEGER) AS gender_encoded",
+             f"CAST({AGE_SQL.replace('age_bucket', 'p.age_bucket')} AS INTEGER) AS age_encoded",
+             DAYS_SQL.replace("last_activity_day", "p.last_activity_day") + " AS days_since_activity",
+             "oh.* EXCLUDE (user_id)",
+             "seg.segment_code", "seg.region_size", "seg.vip_status"]
+            + dbl("seg", ["segment_rank", "auto", "traveler", "entrepreneur"])
+            + cnt("txw", txw_cnt) + dbl("txw", txw_dbl) + cnt("txt", txt_cnt) + dbl("txt", txt_dbl)
+            + cnt("rcw", rc_cnt) + dbl("rcw", rc_dbl) + ["cat.* EXCLUDE (user_id)"]
+            + cnt("acc", ["num_products", "active_accounts"])
+            + cnt("sa", ["offers_seen_count"]) + ["sa.first_offer_date"]
+            + cnt("aa", ["offers_activated_count"]) + ["aa.first_activation_date"]
+            + cnt("ra", ["rewards_count"]) + dbl("ra", ["total_reward_amt"]))
+    extra = ",\n".join([
+        SEGMENT_AGG, TX_PREP, REF_TX,
+        "txw AS (SELECT user_id,\n  " + _tx_windows_sql() + "\nFROM t CROSS JOIN ref WHERE user_id IS NOT NULL "
+        "GROUP BY user_id)",
+        "txt AS (" + TX_TOTAL_SQL.split("\n", 1)[1].split("t AS (", 1)[0] if False else
+        "txt AS (SELECT user_id, count(transaction_id) AS tx_count_total, sum(amount) AS tx_amount_sum_total, "
+        "avg(amount) AS tx_amount_avg_total, coalesce(stddev_samp(amount), 0.0) AS tx_amount_std_total, "
+        "CAST(avg(online) AS DOUBLE) AS online_share_total, count(DISTINCT merchant) AS unique_merchants_total, "
+        "count(DISTINCT brand) AS unique_brands_total FROM t WHERE user_id IS NOT NULL GROUP BY user_id)",
+        "rc AS (SELECT user_id, TRY_CAST(date_operated AS TIMESTAMP) AS ts, CAST(items_count AS DOUBLE) AS "
+        "items_count, CAST(items_cost AS DOUBLE) AS items_cost FROM receipts)",
+        "rcw AS (SELECT user_id,\n  " + _receipt_sql() + "\nFROM rc CROSS JOIN ref WHERE user_id IS NOT NULL "
+        "GROUP BY user_id)",
+        "acc AS (SELECT user_id, count(DISTINCT product_cd) AS num_products, count(*) FILTER "
+        "(WHERE account_status_cd = 'ACT') AS active_accounts FROM accounts WHERE user_id IS NOT NULL "
+        "GROUP BY user_id)",
+        OFFER_AGG])
+    body = ONE_HOT_SQL.split("SELECT user_id, CAST(coalesce", 1)[1]
+    one_hot_sub = "SELECT user_id, CAST(coalesce" + body
+    cat_sub = ("SELECT user_id, coalesce(COLUMNS(* EXCLUDE (user_id)), 0) FROM ("
+               "SELECT * FROM (SELECT user_id FROM people) u LEFT JOIN ("
+               "PIVOT (SELECT user_id, 'cat_' || category_name AS cat FROM receipts "
+               "WHERE user_id IS NOT NULL AND category_name IS NOT NULL) ON cat USING count(*) GROUP BY user_id)"
+               " c USING (user_id))")
+    return (with_("people", "segments", "tx", "receipts", "accounts", "seens", "activations", "rewards",
+                  extra=extra)
+            + "SELECT " + ",\n  ".join(cols) + "\nFROM people p\n"
+            + f"LEFT JOIN ({one_hot_sub}) oh ON p.user_id = oh.user_id\n"
+            + "LEFT JOIN seg ON p.user_id = seg.user_id\n"
+            + "LEFT JOIN txw ON p.user_id = txw.user_id\nLEFT JOIN txt ON p.user_id = txt.user_id\n"
+            + "LEFT JOIN rcw ON p.user_id = rcw.user_id\n"
+            + f"LEFT JOIN ({cat_sub}) cat ON p.user_id = cat.user_id\n"
+            + "LEFT JOIN acc ON p.user_id = acc.user_id\nLEFT JOIN sa ON p.user_id = sa.user_id\n"
+            + "LEFT JOIN aa ON p.user_id = aa.user_id\nLEFT JOIN ra ON p.user_id = ra.user_id")
+
+
+oracle("feature_table", _feature_table_sql())
+
+
+# ----------------------------------------------------------- interactions
+
+INTERACTIONS_CTE = """inter AS (
+  SELECT user_id, offer_id, max(confidence) AS confidence FROM (
+    SELECT CAST(TRY_CAST(CAST(user_id AS VARCHAR) AS DOUBLE) AS BIGINT) AS user_id,
+           CAST(TRY_CAST(CAST(offer_id AS VARCHAR) AS DOUBLE) AS BIGINT) AS offer_id, 1.0::DOUBLE AS confidence
+    FROM activations WHERE TRY_CAST(activation_date AS TIMESTAMP) <= TIMESTAMP '2024-01-25 00:00:00'
+    UNION ALL
+    SELECT CAST(TRY_CAST(CAST(user_id AS VARCHAR) AS DOUBLE) AS BIGINT),
+           CAST(TRY_CAST(CAST(offer_id AS VARCHAR) AS DOUBLE) AS BIGINT), 2.0::DOUBLE
+    FROM rewards WHERE TRY_CAST(event_date AS TIMESTAMP) <= TIMESTAMP '2024-01-25 00:00:00')
+  WHERE user_id IS NOT NULL AND offer_id IS NOT NULL
+  GROUP BY user_id, offer_id)"""
+SPLIT_CTE = """split AS (
+  SELECT *, CASE WHEN substr(md5(CAST(user_id AS VARCHAR) || ':' || CAST(offer_id AS VARCHAR) || ':42'), 1, 8)
+                      < '33333333' THEN 'test' ELSE 'train' END AS split
+  FROM inter)"""
+
+oracle("interactions", with_("activations", "rewards", extra=INTERACTIONS_CTE) + "SELECT * FROM inter")
+oracle("split_holdout", with_("activations", "rewards", extra=INTERACTIONS_CTE + ",\n" + SPLIT_CTE)
+       + "SELECT * FROM split")
+
+MERCHANT_OFFERS_CTE = """mo AS (
+  SELECT CAST(TRY_CAST(CAST(merchant_id_offer AS VARCHAR) AS DOUBLE) AS BIGINT) AS merchant_id,
+         CAST(TRY_CAST(CAST(offer_id AS VARCHAR) AS DOUBLE) AS BIGINT) AS offer_id, ordinal
+  FROM offers)"""
+oracle("offer_merchant_map", with_("offers", extra=MERCHANT_OFFERS_CTE) + """
+SELECT offer_id, arg_max(merchant_id, ordinal) AS merchant_id FROM mo
+WHERE merchant_id IS NOT NULL AND offer_id IS NOT NULL GROUP BY offer_id""")
+oracle("merchant_offer_counts", with_("offers", extra=MERCHANT_OFFERS_CTE) + """
+SELECT merchant_id, count(*) AS n_offers, count(DISTINCT offer_id) AS n_distinct_offers FROM mo
+WHERE merchant_id IS NOT NULL AND offer_id IS NOT NULL GROUP BY merchant_id""")
+
+BRAND_MERCHANT_CTE = """bm AS (
+  SELECT brand_dk, arg_max(merchant_id, ordinal) AS merchant_id FROM (
+    SELECT coalesce(CAST(TRY_CAST(CAST(brand_dk AS VARCHAR) AS DOUBLE) AS BIGINT), 0) AS brand_dk,
+           coalesce(CAST(TRY_CAST(CAST(merchant_id_offer AS VARCHAR) AS DOUBLE) AS BIGINT), 0) AS merchant_id,
+           ordinal
+    FROM merchants) GROUP BY brand_dk),
+existing AS (
+  SELECT DISTINCT bm.merchant_id, t.user_id
+  FROM (SELECT user_id, coalesce(CAST(TRY_CAST(CAST(brand_dk AS VARCHAR) AS DOUBLE) AS BIGINT), 0) AS brand_dk
+        FROM tx) t
+  JOIN bm ON t.brand_dk = bm.brand_dk
+  WHERE bm.merchant_id > 0)"""
+oracle("existing_customers", with_("tx", "merchants", extra=BRAND_MERCHANT_CTE) + "SELECT * FROM existing")
+
+oracle("known_entities", with_("offers", "merchants") + """
+SELECT DISTINCT kind, id FROM (
+  SELECT 'offer' AS kind, CAST(TRY_CAST(CAST(offer_id AS VARCHAR) AS DOUBLE) AS BIGINT) AS id FROM offers
+  UNION ALL
+  SELECT 'merchant', CAST(TRY_CAST(CAST(merchant_id_offer AS VARCHAR) AS DOUBLE) AS BIGINT) FROM merchants)
+WHERE id IS NOT NULL""")

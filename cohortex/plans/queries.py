@@ -142,3 +142,48 @@ def q_feature_table(spark, d):
     f = FT.feature_table(bind(spark, d))
     f = f.withColumn("last_activity_day", fmt_ts("last_activity_day"))
     return round_doubles(f)
+
+
+# ----------------------------------------------------------- interactions
+
+from cohortex.operators import interactions as IX  # noqa: E402
+from cohortex.operators import merchants as MX  # noqa: E402
+from cohortex.sources.bindings import INTERACTION_REFERENCE_DATE  # noqa: E402
+
+
+def interactions_of(spark, d):
+    t = bind(spark, d)
+    return IX.interactions(t["offer_activation"], t["offer_reward"], INTERACTION_REFERENCE_DATE)
+
+
+@query
+def q_interactions(spark, d):
+    return interactions_of(spark, d).withColumn("confidence", F.col("confidence").cast("double"))
+
+
+@query
+def q_split_holdout(spark, d):
+    return (IX.split_holdout(interactions_of(spark, d))
+            .withColumn("confidence", F.col("confidence").cast("double")))
+
+
+@query
+def q_offer_merchant_map(spark, d):
+    return MX.offer_merchant_map(bind(spark, d)["offer"])
+
+
+@query
+def q_merchant_offer_counts(spark, d):
+    return MX.merchant_offer_counts(bind(spark, d)["offer"])
+
+
+@query
+def q_existing_customers(spark, d):
+    t = bind(spark, d)
+    return MX.existing_customers(t["transaction"], t["merchant"])
+
+
+@query
+def q_known_entities(spark, d):
+    t = bind(spark, d)
+    return MX.known_entities(t["offer"], t["merchant"])
