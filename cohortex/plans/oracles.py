@@ -303,3 +303,109 @@ SELECT DISTINCT kind, id FROM (
   UNION ALL
   SELECT 'merchant', CAST(TRY_CAST(CAST(merchant_id_offer AS VARCHAR) AS DOUBLE) AS BIGINT) FROM merchants)
 WHERE id IS NOT NULL""")
+
+
+# ---------------------------------------------------------------- quality
+
+from cohortex.operators.quality import RULES, allowed_values, check_name  # noqa: E402
+from cohortex.plans.sql_bindings import CTE_NAME  # noqa: E402
+
+_ALL_CTES = ("people", "segments", "tx", "offers", "merchants", "accounts", "seens", "activations", "rewards",
+             "receipts")
+_BAD_SQL = {
+    "no_null": " null values in {column}", "unique": " duplicate values in {column}",
+    "valid_values": " rows with invalid values in {column}", "valid_pattern": " values don't match pattern {pattern}",
+    "valid_date": " invalid dates in {column}", "date_order": " records with start_date > end_date",
+}
+_GOOD_SQL = {
+    "no_null": "No null values", "unique": "All values unique", "valid_values": "All values valid",
+    "valid_pattern": "All values match pattern", "valid_date": "All dates valid",
+    "date_order": "All date ranges valid",
+}
+
+
+def _violation_sql(kind, a):
+    txt = lambda c: f"CAST({c} AS VARCHAR)"
+    if kind == "no_null":
+        return f"{a['column']} IS NULL"
+    if kind == "valid_values":
+        vals = ", ".join("'" + v.replace("'", "''") + "'" for v in allowed_values(a["values"]))
+        c = txt(a["column"])
+        return f"{c} IS NOT NULL AND {c} <> '' AND {c} NOT IN ({vals})"
+    if kind == "valid_pattern":
+        return f"NOT coalesce(regexp_matches({txt(a['column'])}, '{a['pattern']}'), false)"
+    if kind == "valid_date":
+        c = txt(a["column"])
+        return f"{c} IS NOT NULL AND {c} <> '' AND TRY_CAST({c} AS TIMESTAMP) IS NULL"
+    if kind == "date_order":
+        return f"TRY_CAST({a['start']} AS TIMESTAMP) > TRY_CAST({a['end']} AS TIMESTAMP)"
+    raise ValueError(kind)
+
+
+def _check_sql(table: str, i: int, kind: str, a: dict) -> str:
+    cte = CTE_NAME[table]
+    name = check_name(kind, a)
+    if kind == "min_rows":
+        n = "count(*)"
+        ok = f"n >= {a['min']}"
+        failed = f"CASE WHEN n >= {a['min']} THEN 0 ELSE {a['min']} - n END"
+        details = f"'Table has ' || CAST(n AS VARCHAR) || ' rows, minimum required: {a['min']}'"
+    else:
+        if kind == "unique":
+            c = a["column"]
+            n = (f"count(*) - count(DISTINCT {c}) - coalesce(max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END), 0)")
+        else:
+            n = f"count(*) FILTER (WHERE {_violation_sql(kind, a)})"
+        ok, failed = "n = 0", "n"
+        bad = _BAD_SQL[kind].format(**a).replace("'", "''")
+        details = f"CASE WHEN n = 0 THEN '{_GOOD_SQL[kind]}' ELSE CAST(n AS VARCHAR) || '{bad}' END"
+    return (f"SELECT '{table}' AS table_name, {i} AS check_no, '{name}' AS check_name, {ok} AS success, "
+            f"CAST({failed} AS BIGINT) AS failed, {details} AS details FROM (SELECT {n} AS n FROM {cte})")
+
+
+def _quality_checks_sql() -> str:
+    parts = []
+    for table, rules in RULES.items():
+        parts.append(f"SELECT '{table}' AS table_name, 0 AS check_no, 'required_columns' AS check_name, "
+                     "true AS success, CAST(0 AS BIGINT) AS failed, 'All required columns present' AS details")
+        for i, (kind, a) in enumerate(rules["checks"], start=1):
+            parts.append(_check_sql(table, i, kind, a))
+    return "checks AS (\n" + "\nUNION ALL\n".join(parts) + ")"
+
+
+QUALITY_CTE = _quality_checks_sql()
+oracle("quality_checks", with_(*_ALL_CTES, extra=QUALITY_CTE) + "SELECT * FROM checks")
+oracle("quality_report", with_(*_ALL_CTES, extra=QUALITY_CTE) + """
+SELECT coalesce(table_name, '__all__') AS table_name, count(*) AS checks_total,
+       count(*) FILTER (WHERE success) AS checks_passed, count(*) FILTER (WHERE NOT success) AS checks_failed,
+       bool_and(success) AS valid
+FROM checks GROUP BY ROLLUP (table_name)""")
+
+
+def _violations_sql() -> str:
+    parts = []
+    for table, rules in RULES.items():
+        for kind, a in rules["checks"]:
+            if kind in ("min_rows", "unique"):
+                continue
+            parts.append(f"SELECT '{table}' AS table_name, '{check_name(kind, a)}' AS check_name, "
+                         f"CAST(ordinal AS VARCHAR) AS key FROM {CTE_NAME[table]} WHERE {_violation_sql(kind, a)}")
+    return "\nUNION ALL\n".join(parts)
+
+
+oracle("quality_violations", with_(*_ALL_CTES) + _violations_sql())
+
+
+def _duplicates_sql() -> str:
+    parts = []
+    for table, rules in RULES.items():
+        for kind, a in rules["checks"]:
+            if kind == "unique":
+                c = a["column"]
+                parts.append(f"SELECT '{table}' AS table_name, '{check_name(kind, a)}' AS check_name, "
+                             f"CAST({c} AS VARCHAR) AS key, count(*) - 1 AS surplus FROM {CTE_NAME[table]} "
+                             f"GROUP BY {c} HAVING count(*) > 1")
+    return "\nUNION ALL\n".join(parts)
+
+
+oracle("duplicate_keys", with_(*_ALL_CTES) + _duplicates_sql())

@@ -187,3 +187,40 @@ def q_existing_customers(spark, d):
 def q_known_entities(spark, d):
     t = bind(spark, d)
     return MX.known_entities(t["offer"], t["merchant"])
+
+
+# ---------------------------------------------------------------- quality
+
+from cohortex.operators import quality as QX  # noqa: E402
+
+
+@query
+def q_quality_checks(spark, d):
+    return QX.quality_checks(bind(spark, d))
+
+
+@query
+def q_quality_report(spark, d):
+    return QX.quality_report(QX.quality_checks(bind(spark, d)))
+
+
+@query
+def q_quality_violations(spark, d):
+    t = bind(spark, d)
+    out = None
+    for name in t.names():
+        part = QX.quality_violations(t[name], name, "ordinal")
+        if part is not None:
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def q_duplicate_keys(spark, d):
+    t = bind(spark, d)
+    out = None
+    for name in t.names():
+        part = QX.duplicate_keys(t[name], name)
+        if part is not None:
+            out = part if out is None else out.unionByName(part)
+    return out
