@@ -409,3 +409,60 @@ def _duplicates_sql() -> str:
 
 
 oracle("duplicate_keys", with_(*_ALL_CTES) + _duplicates_sql())
+
+
+# ------------------------------------------------------------------ drift
+
+_DRIFT_COLS = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_QS = "[" + ", ".join(f"{i / 10:.1f}" for i in range(11)) + "]"
+PSI_CTE = f"""sides AS (
+  SELECT CASE WHEN l_shipdate < TIMESTAMP '1998-01-01' THEN 'reference' ELSE 'current' END AS side,
+         {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _DRIFT_COLS)}
+  FROM lineitem),
+long AS (
+  SELECT * FROM (UNPIVOT sides ON {", ".join(_DRIFT_COLS)} INTO NAME column_name VALUE value)
+  WHERE value IS NOT NULL AND NOT isnan(value)),
+edges AS (
+  SELECT column_name, list_distinct(quantile_cont(value, {_QS})) AS e
+  FROM long WHERE side = 'reference' GROUP BY column_name),
+edges_sorted AS (SELECT column_name, list_sort(e) AS e FROM edges),
+binned AS (
+  SELECT l.column_name, l.side,
+         CASE WHEN l.value < e[1] OR l.value > e[len(e)] THEN NULL
+              WHEN l.value = e[len(e)] THEN len(e) - 2
+              ELSE len(list_filter(e, lambda x: x <= l.value)) - 1 END AS bin
+  FROM long l JOIN edges_sorted USING (column_name)),
+totals AS (
+  SELECT column_name, count(*) FILTER (WHERE side = 'reference') AS nr,
+         count(*) FILTER (WHERE side = 'current') AS nc
+  FROM binned GROUP BY column_name),
+grid AS (
+  SELECT column_name, unnest(range(0, len(e) - 1)) AS bin FROM edges_sorted WHERE len(e) >= 2),
+cnt AS (
+  SELECT column_name, bin, count(*) FILTER (WHERE side = 'reference') AS r,
+         count(*) FILTER (WHERE side = 'current') AS c
+  FROM binned WHERE bin IS NOT NULL GROUP BY column_name, bin),
+psi AS (
+  SELECT g.column_name,
+         CASE WHEN any_value(t.nr) = 0 OR any_value(t.nc) = 0 THEN 0.0 ELSE
+         sum(((coalesce(c.c, 0) + 1) / (t.nc + 10.0) - (coalesce(c.r, 0) + 1) / (t.nr + 10.0))
+             * ln(((coalesce(c.c, 0) + 1) / (t.nc + 10.0)) / ((coalesce(c.r, 0) + 1) / (t.nr + 10.0)))) END AS psi
+  FROM grid g JOIN totals t USING (column_name) LEFT JOIN cnt c USING (column_name, bin)
+  GROUP BY g.column_name),
+per_col AS (
+  SELECT es.column_name, coalesce(psi.psi, 0.0) AS psi, coalesce(psi.psi, 0.0) > 0.5 AS drifted
+  FROM edges_sorted es LEFT JOIN psi USING (column_name))"""
+
+oracle("drift_psi", "WITH " + PSI_CTE + "\nSELECT column_name, round(psi, 6) AS psi, drifted FROM per_col")
+oracle("drift_report", "WITH " + PSI_CTE + """
+SELECT (coalesce(count(*) FILTER (WHERE drifted) / count(*), 0) > 0.01 OR coalesce(avg(psi), 0) > 0.1)
+         AS drift_detected,
+       round(coalesce(avg(psi), 0), 4) AS drift_score,
+       round(coalesce(count(*) FILTER (WHERE drifted) / count(*), 0), 4) AS drift_share,
+       0.5::DOUBLE AS threshold,
+       list_sort(coalesce(list(column_name) FILTER (WHERE drifted), [])) AS drifted_columns,
+       count(*) AS n_columns_total,
+       count(*) FILTER (WHERE drifted) AS n_columns_drifted,
+       CAST(NULL AS VARCHAR) AS reference_version,
+       true AS retrain
+FROM per_col""")

@@ -224,3 +224,30 @@ def q_duplicate_keys(spark, d):
         if part is not None:
             out = part if out is None else out.unionByName(part)
     return out
+
+
+# ------------------------------------------------------------------ drift
+
+from cohortex.operators import drift as DX  # noqa: E402
+from cohortex.sources.bindings import read_table  # noqa: E402
+
+DRIFT_COLUMNS = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+DRIFT_SPLIT = "1998-01-01"
+
+
+def drift_sides(spark, d):
+    li = read_table(spark, d, "lineitem")
+    cut = F.to_timestamp(F.lit(DRIFT_SPLIT))
+    return li.where(F.col("l_shipdate") < cut), li.where(F.col("l_shipdate") >= cut)
+
+
+@query
+def q_drift_psi(spark, d):
+    ref, cur = drift_sides(spark, d)
+    return round_doubles(DX.psi_by_column(ref, cur, DRIFT_COLUMNS))
+
+
+@query
+def q_drift_report(spark, d):
+    ref, cur = drift_sides(spark, d)
+    return DX.drift_report(DX.psi_by_column(ref, cur, DRIFT_COLUMNS))
