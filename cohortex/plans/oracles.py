@@ -466,3 +466,95 @@ SELECT (coalesce(count(*) FILTER (WHERE drifted) / count(*), 0) > 0.01 OR coales
        CAST(NULL AS VARCHAR) AS reference_version,
        true AS retrain
 FROM per_col""")
+
+
+# ------------------------------------------------------------- similarity
+
+EMB_CTE = """nv AS (SELECT vec_id AS user_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+nn AS (SELECT user_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v
+       FROM nv),
+seeds AS (SELECT label AS request_id, user_id FROM nv)"""
+
+EXACT_CTE = EMB_CTE + """,
+sizes AS (SELECT request_id, 10 AS top_n, 10 + count(*) AS k FROM seeds GROUP BY request_id),
+pairs AS (
+  SELECT s.request_id, s.user_id AS seed_id, u.user_id, list_cosine_similarity(sv.v, u.v) AS score
+  FROM seeds s JOIN nv sv ON sv.user_id = s.user_id CROSS JOIN nv u),
+lists AS (
+  SELECT p.* FROM (
+    SELECT *, row_number() OVER (PARTITION BY request_id, seed_id ORDER BY score DESC, user_id) AS rn
+    FROM pairs) p JOIN sizes USING (request_id) WHERE rn <= k),
+mean AS (
+  SELECT request_id, user_id, avg(score) AS score, arg_max(seed_id, (score, -seed_id)) AS top_seed,
+         max(score) AS top_seed_score
+  FROM lists GROUP BY request_id, user_id),
+cand AS (SELECT m.* FROM mean m ANTI JOIN seeds s ON m.request_id = s.request_id AND m.user_id = s.user_id),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, user_id) AS INTEGER) AS rank
+  FROM cand)"""
+
+oracle("similar_users", "WITH " + EXACT_CTE + """
+SELECT request_id, user_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10""")
+oracle("audience_reasons", "WITH " + EXACT_CTE + """
+SELECT request_id, user_id, round(score, 6) AS score, rank, top_seed, round(top_seed_score, 6) AS top_seed_score
+FROM ranked WHERE rank <= 10""")
+
+CENTROID_CTE = """cent AS (
+  SELECT request_id, list(x ORDER BY pos) AS c FROM (
+    SELECT request_id, pos, avg(x) AS x FROM (
+      SELECT s.request_id, unnest(range(1, len(n.v) + 1)) AS pos, unnest(n.v) AS x
+      FROM seeds s JOIN nn n USING (user_id))
+    GROUP BY request_id, pos)
+  GROUP BY request_id)"""
+
+oracle("similar_users_centroid", "WITH " + EMB_CTE + ",\n" + CENTROID_CTE + """,
+scored AS (
+  SELECT c.request_id, n.user_id, list_dot_product(n.v, c.c) AS score
+  FROM cent c CROSS JOIN nn n
+  ANTI JOIN seeds s ON s.request_id = c.request_id AND s.user_id = n.user_id),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, user_id) AS INTEGER) AS rank
+  FROM scored)
+SELECT request_id, user_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10""")
+
+oracle("audience_batch", with_("activations", "rewards", "offers", "merchants", "tx",
+                               extra=INTERACTIONS_CTE + ",\n" + MERCHANT_OFFERS_CTE + ",\n" + BRAND_MERCHANT_CTE)
+       + ", " + EMB_CTE.replace("seeds AS (SELECT label AS request_id, user_id FROM nv)", """om AS (
+  SELECT offer_id, arg_max(merchant_id, ordinal) AS merchant_id FROM mo
+  WHERE merchant_id IS NOT NULL AND offer_id IS NOT NULL GROUP BY offer_id),
+requests AS (
+  SELECT i.offer_id AS request_id, coalesce(om.merchant_id, 0) AS merchant_id, i.offer_id, 10 AS top_n
+  FROM (SELECT DISTINCT offer_id FROM inter) i LEFT JOIN om USING (offer_id)),
+known AS (SELECT DISTINCT CAST(TRY_CAST(CAST(offer_id AS VARCHAR) AS DOUBLE) AS BIGINT) AS offer_id FROM offers),
+st AS (
+  SELECT r.*, CASE WHEN r.merchant_id < 1 OR r.offer_id < 1 OR r.top_n < 1 OR r.top_n > 1000
+                   THEN 'invalid_request' WHEN k.offer_id IS NULL THEN 'offer_not_found' ELSE 'ok' END AS status
+  FROM requests r LEFT JOIN known k USING (offer_id)),
+ok AS (SELECT * FROM st WHERE status = 'ok'),
+direct AS (SELECT DISTINCT ok.request_id, i.user_id FROM ok JOIN inter i USING (offer_id)),
+via AS (
+  SELECT DISTINCT ok.request_id, i.user_id
+  FROM ok ANTI JOIN direct d ON d.request_id = ok.request_id
+  JOIN (SELECT DISTINCT merchant_id, offer_id FROM mo WHERE merchant_id IS NOT NULL AND offer_id IS NOT NULL) m
+    ON m.merchant_id = ok.merchant_id
+  JOIN inter i ON i.offer_id = m.offer_id),
+seeds AS (SELECT * FROM direct UNION SELECT * FROM via),
+excl AS (SELECT ok.request_id, e.user_id FROM ok JOIN existing e ON e.merchant_id = ok.merchant_id)""")
+       + ",\n" + CENTROID_CTE + """,
+scored AS (
+  SELECT c.request_id, n.user_id, list_dot_product(n.v, c.c) AS score
+  FROM cent c CROSS JOIN nn n
+  ANTI JOIN seeds s ON s.request_id = c.request_id AND s.user_id = n.user_id
+  ANTI JOIN excl x ON x.request_id = c.request_id AND x.user_id = n.user_id),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, user_id) AS INTEGER) AS rank
+  FROM scored),
+aud AS (
+  SELECT r.request_id, ok.merchant_id, ok.offer_id, r.user_id, round(r.score, 6) AS score, r.rank, 'ok' AS status
+  FROM ranked r JOIN ok USING (request_id) WHERE r.rank <= ok.top_n)
+SELECT * FROM aud
+UNION ALL
+SELECT st.request_id, st.merchant_id, st.offer_id, CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS INTEGER),
+       CASE WHEN st.status <> 'ok' THEN st.status
+            WHEN st.request_id NOT IN (SELECT request_id FROM seeds) THEN 'no_seed' ELSE 'empty' END
+FROM st WHERE st.request_id NOT IN (SELECT request_id FROM aud)""")

@@ -251,3 +251,59 @@ def q_drift_psi(spark, d):
 def q_drift_report(spark, d):
     ref, cur = drift_sides(spark, d)
     return DX.drift_report(DX.psi_by_column(ref, cur, DRIFT_COLUMNS))
+
+
+# ------------------------------------------------------------- similarity
+
+from cohortex.operators import similarity as SX  # noqa: E402
+
+SIMILAR_TOP_N = 10
+
+
+def embedding_vectors(spark, d):
+    return read_table(spark, d, "embeddings").select(F.col("vec_id").alias("user_id"),
+                                                     F.col("embedding").alias("vec"), "label")
+
+
+def label_cohort_seeds(spark, d):
+    """One request per label; its seeds are the vectors carrying the label."""
+    return embedding_vectors(spark, d).select(F.col("label").alias("request_id"), "user_id")
+
+
+@query
+def q_similar_users(spark, d):
+    return round_doubles(SX.similar_users(embedding_vectors(spark, d), label_cohort_seeds(spark, d),
+                                          SIMILAR_TOP_N))
+
+
+@query
+def q_similar_users_centroid(spark, d):
+    return round_doubles(SX.similar_users_centroid(embedding_vectors(spark, d), label_cohort_seeds(spark, d),
+                                                   SIMILAR_TOP_N))
+
+
+@query
+def q_audience_reasons(spark, d):
+    return round_doubles(SX.audience_reasons(embedding_vectors(spark, d), label_cohort_seeds(spark, d),
+                                             SIMILAR_TOP_N))
+
+
+def offer_requests(spark, d, top_n=SIMILAR_TOP_N):
+    """One audience request per offer that has interactions."""
+    t = bind(spark, d)
+    inter = interactions_of(spark, d)
+    om = MX.offer_merchant_map(t["offer"])
+    return (inter.select("offer_id").distinct().join(om, "offer_id", "left")
+            .select(F.col("offer_id").alias("request_id"),
+                    F.coalesce("merchant_id", F.lit(0)).alias("merchant_id"), "offer_id",
+                    F.lit(top_n).alias("top_n")))
+
+
+@query
+def q_audience_batch(spark, d):
+    t = bind(spark, d)
+    out = SX.audience_batch(offer_requests(spark, d), embedding_vectors(spark, d), interactions_of(spark, d),
+                            MX.merchant_offers(t["offer"]),
+                            MX.known_entities(t["offer"], t["merchant"]).where(F.col("kind") == "offer"),
+                            MX.existing_customers(t["transaction"], t["merchant"]), method="centroid")
+    return round_doubles(out)
