@@ -558,3 +558,60 @@ SELECT st.request_id, st.merchant_id, st.offer_id, CAST(NULL AS BIGINT), CAST(NU
        CASE WHEN st.status <> 'ok' THEN st.status
             WHEN st.request_id NOT IN (SELECT request_id FROM seeds) THEN 'no_seed' ELSE 'empty' END
 FROM st WHERE st.request_id NOT IN (SELECT request_id FROM aud)""")
+
+
+# ---------------------------------------------------------------- ranking
+
+SIDES_CTE = (INTERACTIONS_CTE + ",\n" + SPLIT_CTE + """,
+train AS (SELECT user_id, offer_id, confidence FROM split WHERE split = 'train'),
+test AS (SELECT user_id, offer_id, confidence FROM split WHERE split = 'test')""")
+_SIDES = with_("activations", "rewards", extra=SIDES_CTE)
+
+oracle("train_metrics", _SIDES + """
+SELECT count(DISTINCT user_id) AS n_users, count(DISTINCT offer_id) AS n_items, count(*) AS n_interactions,
+       64 AS factors, 5 AS iterations, 0.1::DOUBLE AS regularization FROM train""")
+
+oracle("ground_truth_lists", _SIDES + """
+SELECT user_id, offer_id, confidence,
+       CAST(row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, offer_id) AS INTEGER) AS position
+FROM test""")
+
+POP_CTE = """pop AS (SELECT offer_id, count(DISTINCT user_id) AS pop FROM train GROUP BY offer_id),
+prank AS (SELECT offer_id, pop, row_number() OVER (ORDER BY pop DESC, offer_id) AS pos FROM pop),
+tusers AS (SELECT DISTINCT user_id FROM test),
+cand AS (
+  SELECT u.user_id, p.offer_id, p.pop, p.pos FROM tusers u CROSS JOIN prank p
+  ANTI JOIN train t ON t.user_id = u.user_id AND t.offer_id = p.offer_id),
+pred AS (
+  SELECT user_id, offer_id, CAST(pop AS DOUBLE) AS score,
+         CAST(row_number() OVER (PARTITION BY user_id ORDER BY pos) AS INTEGER) AS rank
+  FROM cand QUALIFY rank <= 100)"""
+oracle("popularity_recommendations", with_("activations", "rewards", extra=SIDES_CTE + ",\n" + POP_CTE)
+       + "SELECT * FROM pred")
+
+oracle("map_at_k", with_("activations", "rewards", extra=SIDES_CTE + ",\n" + POP_CTE + """,
+act AS (SELECT DISTINCT user_id, offer_id FROM test),
+hits AS (
+  SELECT p.user_id, p.rank, row_number() OVER (PARTITION BY p.user_id ORDER BY p.rank) AS hit_no
+  FROM pred p JOIN act a ON a.user_id = p.user_id AND a.offer_id = p.offer_id),
+ap AS (
+  SELECT n.user_id, coalesce(h.s, 0.0) / least(n.n_actual, 100) AS ap,
+         n.user_id NOT IN (SELECT user_id FROM pred) AS cold
+  FROM (SELECT user_id, count(*) AS n_actual FROM act GROUP BY user_id) n
+  LEFT JOIN (SELECT user_id, sum(hit_no / rank) AS s FROM hits GROUP BY user_id) h USING (user_id))""") + """
+SELECT round(coalesce(avg(ap), 0.0), 6) AS map_at_k, count(*) AS num_test_users, 100 AS k,
+       count(*) FILTER (WHERE cold) AS n_cold_users
+FROM ap""")
+
+oracle("recommend_topn_vectors", with_("activations", "rewards", extra=INTERACTIONS_CTE + """,
+v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+users AS (SELECT vec_id AS user_id, vec FROM v WHERE vec_id % 2 = 0),
+items AS (SELECT vec_id AS offer_id, vec FROM v WHERE vec_id % 2 = 1),
+seen AS (SELECT DISTINCT user_id * 2 AS user_id, offer_id * 2 + 1 AS offer_id FROM inter),
+scored AS (
+  SELECT u.user_id, i.offer_id, list_dot_product(u.vec, i.vec) AS score
+  FROM users u CROSS JOIN items i
+  ANTI JOIN seen s ON s.user_id = u.user_id AND s.offer_id = i.offer_id)""") + """
+SELECT user_id, offer_id, round(score, 6) AS score,
+       CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, offer_id) AS INTEGER) AS rank
+FROM scored QUALIFY rank <= 10""")

@@ -307,3 +307,94 @@ def q_audience_batch(spark, d):
                             MX.known_entities(t["offer"], t["merchant"]).where(F.col("kind") == "offer"),
                             MX.existing_customers(t["transaction"], t["merchant"]), method="centroid")
     return round_doubles(out)
+
+
+# ---------------------------------------------------------------- ranking
+
+from cohortex.operators import ranking as RX  # noqa: E402
+
+EVAL_K = 100
+
+
+def split_sides(spark, d):
+    s = IX.split_holdout(interactions_of(spark, d))
+    return s.where(F.col("split") == "train").drop("split"), s.where(F.col("split") == "test").drop("split")
+
+
+@query
+def q_train_metrics(spark, d):
+    train, _ = split_sides(spark, d)
+    return RX.train_metrics(train)
+
+
+@query
+def q_ground_truth_lists(spark, d):
+    _, test = split_sides(spark, d)
+    return RX.ground_truth(test).withColumn("confidence", F.col("confidence").cast("double"))
+
+
+@query
+def q_popularity_recommendations(spark, d):
+    train, test = split_sides(spark, d)
+    return RX.popularity_recommendations(train, test, EVAL_K)
+
+
+@query
+def q_map_at_k(spark, d):
+    train, test = split_sides(spark, d)
+    preds = RX.popularity_recommendations(train, test, EVAL_K)
+    return round_doubles(RX.map_at_k(preds, test, EVAL_K))
+
+
+def vector_users_items(spark, d):
+    """Even embedding ids act as users, odd ones as items; an interaction
+    (u, o) marks item 2o+1 as seen by user 2u."""
+    v = read_table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    users = v.where(F.col("vec_id") % 2 == 0).select(F.col("vec_id").alias("user_id"), "vec")
+    items = v.where(F.col("vec_id") % 2 == 1).select(F.col("vec_id").alias("offer_id"), "vec")
+    seen = interactions_of(spark, d).select((F.col("user_id") * 2).alias("user_id"),
+                                            (F.col("offer_id") * 2 + 1).alias("offer_id"))
+    return users, items, seen
+
+
+@query
+def q_recommend_topn_vectors(spark, d):
+    users, items, seen = vector_users_items(spark, d)
+    return round_doubles(RX.recommend_unseen(users, items, seen, users, SIMILAR_TOP_N))
+
+
+def als_fit(spark, d):
+    train, test = split_sides(spark, d)
+    return RX.train_als(train), train, test
+
+
+@query
+def q_als_train(spark, d):
+    fit, _, _ = als_fit(spark, d)
+    return fit.user_vectors().select("user_id", F.size("vec").alias("factors"),
+                                     F.sqrt(F.aggregate("vec", F.lit(0.0).cast("double"),
+                                                        lambda a, x: a + x * x)).alias("norm"))
+
+
+@query
+def q_recommend_offers(spark, d):
+    fit, train, test = als_fit(spark, d)
+    return RX.recommend_unseen(fit.user_vectors(), fit.item_vectors(), train, test, EVAL_K)
+
+
+@query
+def q_evaluate_als(spark, d):
+    fit, train, test = als_fit(spark, d)
+    preds = RX.recommend_unseen(fit.user_vectors(), fit.item_vectors(), train, test, EVAL_K)
+    return RX.map_at_k(preds, test, EVAL_K)
+
+
+@query
+def q_als_audience(spark, d):
+    """Audiences over ALS user factors (the reference's model path)."""
+    fit, _, _ = als_fit(spark, d)
+    t = bind(spark, d)
+    return SX.audience_batch(offer_requests(spark, d), fit.user_vectors(), interactions_of(spark, d),
+                             MX.merchant_offers(t["offer"]),
+                             MX.known_entities(t["offer"], t["merchant"]).where(F.col("kind") == "offer"),
+                             MX.existing_customers(t["transaction"], t["merchant"]), method="exact")
