@@ -615,3 +615,45 @@ scored AS (
 SELECT user_id, offer_id, round(score, 6) AS score,
        CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, offer_id) AS INTEGER) AS rank
 FROM scored QUALIFY rank <= 10""")
+
+
+# ------------------------------------------------- ingest, sources, sinks
+
+_LOGICAL = ["people", "segments", "transaction", "offer", "merchant", "financial_account", "offer_seens",
+            "offer_activation", "offer_reward", "receipts"]
+COUNTS_CTE = "counts AS (\n" + "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, count(*) AS n FROM {CTE_NAME[t]}" for t in _LOGICAL) + ")"
+_WITH_ALL = with_(*_ALL_CTES, extra=COUNTS_CTE)
+BATCHES_CTE = """batches AS (
+  SELECT 'v1' AS version, table_name AS "table", CAST(b AS INTEGER) AS batch_id,
+         CAST(ceil(n / 5000.0) AS INTEGER) AS total_batches,
+         CAST(least(5000, n - (b - 1) * 5000) AS BIGINT) AS records_count
+  FROM (SELECT table_name, n, unnest(range(1, CAST(ceil(n / 5000.0) AS BIGINT) + 1)) AS b FROM counts))"""
+
+oracle("batch_assign", with_("accounts") + """
+SELECT ordinal, CAST(floor((row_number() OVER (ORDER BY ordinal) - 1) / 5000) + 1 AS INTEGER) AS batch_id,
+       CAST(ceil(count(*) OVER () / 5000.0) AS INTEGER) AS total_batches
+FROM accounts""")
+oracle("scan_catalog", _WITH_ALL + "SELECT table_name, n AS n_rows FROM counts")
+oracle("ingest_batches", with_(*_ALL_CTES, extra=COUNTS_CTE + ",\n" + BATCHES_CTE) + "SELECT * FROM batches")
+oracle("batch_manifest", with_(*_ALL_CTES, extra=COUNTS_CTE + ",\n" + BATCHES_CTE) + """
+SELECT version, "table", count(DISTINCT batch_id) AS n_batches, sum(records_count) AS n_records,
+       max(total_batches) AS total_batches,
+       CAST(greatest(max(total_batches) - count(DISTINCT batch_id), 0) AS BIGINT) AS n_missing
+FROM batches GROUP BY version, "table\"""")
+oracle("version_completeness", with_(*_ALL_CTES, extra=COUNTS_CTE) + """
+SELECT 'v1' AS version, count(*) AS n_tables,
+       list_sort(list_filter(['people', 'transaction', 'offer', 'merchant'],
+                             lambda t: NOT list_contains(list(table_name), t))) AS missing_tables,
+       len(list_filter(['people', 'transaction', 'offer', 'merchant'],
+                       lambda t: NOT list_contains(list(table_name), t))) = 0 AS is_complete
+FROM counts WHERE n > 0""")
+oracle("commit_version", _WITH_ALL + """
+SELECT table_name AS "table", n AS total_records, CAST(ceil(n / 5000.0) AS BIGINT) AS n_batches FROM counts""")
+_PEOPLE_TXT = """SELECT user_id, age_bucket, gender_cd, region, last_activity_day"""
+oracle("scan_jsonl", with_("people") + _PEOPLE_TXT + ", false AS corrupt FROM people")
+oracle("scan_csv", with_("people") + _PEOPLE_TXT + " FROM people")
+oracle("sink_features", """
+SELECT user_id, CAST(tx_count_total AS INTEGER) AS tx_count_total, CAST(num_products AS INTEGER) AS num_products,
+       CAST(rewards_count AS INTEGER) AS rewards_count
+FROM (""" + ORACLES["feature_table"] + ") f")

@@ -398,3 +398,112 @@ def q_als_audience(spark, d):
                              MX.merchant_offers(t["offer"]),
                              MX.known_entities(t["offer"], t["merchant"]).where(F.col("kind") == "offer"),
                              MX.existing_customers(t["transaction"], t["merchant"]), method="exact")
+
+
+# ------------------------------------------------- ingest, sources, sinks
+
+import os  # noqa: E402
+import uuid  # noqa: E402
+
+from cohortex.session import scratch_path  # noqa: E402
+from cohortex.sources import files as FS  # noqa: E402
+from cohortex.sources.bindings import BINDERS  # noqa: E402
+from cohortex.streaming import ingest as IN  # noqa: E402
+
+BATCH_SIZE = 5000
+VERSION = "v1"
+
+
+def _fresh(spark, kind):
+    return scratch_path(spark, f"{kind}-{uuid.uuid4().hex}")
+
+
+@query
+def q_batch_assign(spark, d):
+    fa = bind(spark, d)["financial_account"]
+    return IN.batch_assign(fa.select("ordinal"), BATCH_SIZE)
+
+
+def ingest_all(spark, d, duplicate_first=True):
+    """Send every logical table as wire batches, plus a second, different
+    copy of batch 1 of each table (it must lose: first write wins), then
+    run the ingest stream. Returns the store folder."""
+    t = bind(spark, d)
+    root = _fresh(spark, "ingest")
+    landing, store = os.path.join(root, "landing"), os.path.join(root, "store")
+    wires = [IN.to_wire(t[name], VERSION, name, BATCH_SIZE) for name in BINDERS]
+    wire = wires[0]
+    for w in wires[1:]:
+        wire = wire.unionByName(w)
+    IN.write_landing(wire, landing)
+    if duplicate_first:
+        dup = wire.where(F.col("batch_id") == 1).withColumn("records", F.slice("records", 1, 1))
+        IN.write_landing(dup, landing)
+    IN.ingest(spark, landing, store, os.path.join(root, "checkpoint"))
+    return store
+
+
+@query
+def q_ingest_batches(spark, d):
+    store = ingest_all(spark, d)
+    return IN.read_manifest(spark, store).select("version", "table", "batch_id", "total_batches",
+                                                 "records_count")
+
+
+@query
+def q_batch_manifest(spark, d):
+    return IN.batch_manifest(IN.read_manifest(spark, ingest_all(spark, d, duplicate_first=False)))
+
+
+@query
+def q_version_completeness(spark, d):
+    return IN.version_completeness(IN.read_manifest(spark, ingest_all(spark, d, duplicate_first=False)))
+
+
+@query
+def q_commit_version(spark, d):
+    spark_store = ingest_all(spark, d)
+    out = _fresh(spark, "committed")
+    cols = {name: [c for c in BINDERS[name](spark, d).columns if c != "ordinal"] for name in BINDERS}
+    return IN.commit_version(spark, spark_store, VERSION, out, cols)
+
+
+@query
+def q_scan_jsonl(spark, d):
+    """People written as JSON lines (all values as text) and scanned back with
+    the declared string schema; typed again by the lenient parsers."""
+    p = bind(spark, d)["people"].drop("ordinal")
+    path = _fresh(spark, "jsonl")
+    p.select([F.col(c).cast("string") for c in p.columns]).write.json(path)
+    back = FS.scan_jsonl(spark, path, p.columns)
+    return back.select(C.lenient_long("user_id").alias("user_id"), "age_bucket", "gender_cd", "region",
+                       "last_activity_day", F.col("_corrupt_record").isNotNull().alias("corrupt"))
+
+
+@query
+def q_scan_csv(spark, d):
+    p = bind(spark, d)["people"].drop("ordinal")
+    path = _fresh(spark, "csv")
+    p.write.option("header", True).csv(path)
+    back = FS.scan_csv(spark, path, p.columns)
+    return back.select(C.lenient_long("user_id").alias("user_id"), "age_bucket", "gender_cd", "region",
+                       "last_activity_day")
+
+
+@query
+def q_sink_features(spark, d):
+    t = bind(spark, d)
+    out = _fresh(spark, "features")
+    FS.sink_features(FT.feature_table(t), interactions_of(spark, d), out)
+    feats, inter = FS.load_features(spark, out)
+    return feats.select("user_id", "tx_count_total", "num_products", "rewards_count")
+
+
+@query
+def q_scan_catalog(spark, d):
+    t = bind(spark, d)
+    out = None
+    for name in t.names():
+        part = t[name].agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"))
+        out = part if out is None else out.unionByName(part)
+    return out
