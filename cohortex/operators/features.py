@@ -50,6 +50,28 @@ def observed_domain(df: DataFrame, c: str, max_values: int = MAX_ONE_HOT_VALUES)
     return sorted(r[0] for r in rows)
 
 
+def observed_domains(columns: list[tuple[str, DataFrame, str]],
+                     max_values: int = MAX_ONE_HOT_VALUES) -> dict[str, list]:
+    """Domains of several text columns (``(key, df, column)``) in ONE job:
+    the union of their distinct values, limited to what the size check
+    needs, so no more than ``len(columns) * max_values + 1`` values reach
+    the driver."""
+    parts = [df.select(F.lit(key).alias("k"), F.col(c).cast("string").alias("v")).where(F.col("v").isNotNull())
+             for key, df, c in columns]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    rows = u.distinct().limit(len(columns) * max_values + 1).collect()
+    out = {key: [] for key, _, _ in columns}
+    for k, v in rows:
+        out[k].append(v)
+    for k, vals in out.items():
+        if len(vals) > max_values:
+            raise ValueError(f"column {k!r} has more than {max_values} distinct values")
+        vals.sort()
+    return out
+
+
 def one_hot(df: DataFrame, c: str, prefix: str, domain: list | None = None) -> DataFrame:
     """One 0/1 column per observed value; NULL -> all zero."""
     domain = observed_domain(df, c) if domain is None else domain
@@ -67,10 +89,14 @@ def numeric_columns(df: DataFrame, exclude=("user_id",)) -> list[str]:
 
 
 def reference_timestamp(tx: DataFrame) -> Column:
-    """Max of the raw ``event_date`` text, parsed; evaluated once as a
-    scalar subquery (no driver round trip). Empty table -> today."""
-    return F.coalesce(C.lenient_ts(tx.select(F.max("event_date")).scalar()),
-                      F.current_date().cast("timestamp"))
+    """Max of the raw ``event_date`` text, parsed; empty table -> today.
+
+    Resolved once by a one-row aggregate (partial max per task, so only one
+    value per task reaches the driver) and used as a literal: every window
+    filter of the plan then constant-folds instead of re-planning the
+    transaction table inside a scalar subquery at each use."""
+    value = tx.agg(F.max("event_date")).collect()[0][0]
+    return F.coalesce(C.lenient_ts(F.lit(value).cast("string")), F.current_date().cast("timestamp"))
 
 
 def reference_date(tx: DataFrame) -> DataFrame:
@@ -123,11 +149,12 @@ def segment_aggregates(segments: DataFrame) -> DataFrame:
         first_non_null("vip_status").alias("vip_status")))
 
 
-def segment_features(segments: DataFrame, one_hots: bool = True) -> DataFrame:
+def segment_features(segments: DataFrame, one_hots: bool = True, domains: dict | None = None) -> DataFrame:
     agg = segment_aggregates(segments)
     if one_hots:
-        agg = one_hot(agg, "segment_code", "seg")
-        agg = one_hot(agg, "region_size", "region_type")
+        domains = domains or observed_domains([("seg", agg, "segment_code"), ("region_type", agg, "region_size")])
+        agg = one_hot(agg, "segment_code", "seg", domains["seg"])
+        agg = one_hot(agg, "region_size", "region_type", domains["region_type"])
     return agg
 
 
@@ -208,6 +235,30 @@ def receipt_window_features(receipts: DataFrame, ref: Column,
     return r.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(*aggs)
 
 
+PIVOT_AS_CONDITIONAL_COUNTS = 64
+
+
+def receipt_features(receipts: DataFrame, ref: Column, domain: list,
+                     windows=tuple(FV.RECEIPT_WINDOWS)) -> DataFrame:
+    """A3 + A4 in one aggregation pass when the category domain is small:
+    window sums and one conditional count per category side by side. A
+    large domain falls back to Spark's two-phase pivot (joined on user)."""
+    win = receipt_window_features(receipts, ref, windows)
+    if len(domain) > PIVOT_AS_CONDITIONAL_COUNTS:
+        return win.join(category_pivot(receipts, domain), "user_id", "left")
+    r = receipts.select("user_id", C.lenient_ts("date_operated").alias("ts"),
+                        as_double(receipts, "items_count").alias("items"),
+                        as_double(receipts, "items_cost").alias("cost"), "category_name")
+    aggs = []
+    for d in windows:
+        w = F.col("ts") >= window_start(ref, d)
+        aggs += [F.count_if(w).alias(f"receipts_count_{d}d"),
+                 F.coalesce(F.sum(F.when(w, F.col("items"))), F.lit(0.0)).alias(f"receipts_items_{d}d"),
+                 F.coalesce(F.sum(F.when(w, F.col("cost"))), F.lit(0.0)).alias(f"receipts_cost_{d}d")]
+    aggs += [F.count_if(F.col("category_name") == F.lit(v)).alias(f"cat_{v}") for v in domain]
+    return r.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(*aggs)
+
+
 def category_pivot(receipts: DataFrame, domain: list | None = None) -> DataFrame:
     """A4: receipts per category as ``cat_<v>`` columns, 0 when absent.
 
@@ -280,10 +331,19 @@ def feature_table(tables: dict, ref: Column | None = None,
     """
     if "people" not in tables:
         raise ValueError("feature_table needs the people table")
-    feats = base_features(tables["people"], activity_reference=activity_reference)
+    seg_agg = segment_aggregates(tables["segments"]) if "segments" in tables else None
+    wanted = [("region", tables["people"], "region")]
+    if seg_agg is not None:
+        wanted += [("seg", seg_agg, "segment_code"), ("region_type", seg_agg, "region_size")]
+    if "receipts" in tables:
+        wanted.append(("cat", tables["receipts"], "category_name"))
+    domains = observed_domains(wanted)            # one small job for every one-hot / pivot domain
+    feats = base_features(tables["people"], domains["region"], activity_reference=activity_reference)
     keep = set(feats.columns)
-    if "segments" in tables:
-        feats = feats.join(segment_features(tables["segments"]), "user_id", "left")
+    if seg_agg is not None:
+        seg = one_hot(one_hot(seg_agg, "segment_code", "seg", domains["seg"]),
+                      "region_size", "region_type", domains["region_type"])
+        feats = feats.join(seg, "user_id", "left")
     if "transaction" in tables:
         tx = tables["transaction"]
         ref = reference_timestamp(tx) if ref is None else ref
@@ -292,8 +352,7 @@ def feature_table(tables: dict, ref: Column | None = None,
     elif ref is None:
         ref = F.current_date().cast("timestamp")
     if "receipts" in tables:
-        feats = (feats.join(receipt_window_features(tables["receipts"], ref), "user_id", "left")
-                 .join(category_pivot(tables["receipts"]), "user_id", "left"))
+        feats = feats.join(receipt_features(tables["receipts"], ref, domains["cat"]), "user_id", "left")
     if "financial_account" in tables:
         feats = feats.join(account_features(tables["financial_account"]), "user_id", "left")
     feats = offer_features(feats, tables)
