@@ -129,3 +129,11 @@ def drift_report(psi: DataFrame, threshold: float = FV.PSI_THRESHOLD, model_exis
         F.count_if("drifted").alias("n_columns_drifted"),
         F.lit(reference_version).cast("string").alias("reference_version"),
         (detected | F.lit(not model_exists)).alias("retrain"))
+
+
+def drift_summary(report: DataFrame, max_columns: int = 5) -> DataFrame:
+    """The run row with at most ``max_columns`` drifted column names."""
+    return report.select("drift_detected", "drift_score", "drift_share", "threshold",
+                         F.slice("drifted_columns", 1, max_columns).alias("drifted_columns"),
+                         (F.when(F.col("drift_detected"), F.lit("retrained")).otherwise(F.lit("none")))
+                         .alias("action_taken"))

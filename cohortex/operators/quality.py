@@ -268,3 +268,30 @@ def duplicate_keys(df: DataFrame, table: str) -> DataFrame:
                         F.col(c).cast("string").alias("key"), (F.col("count") - 1).alias("surplus")))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def failed_checks(checks: DataFrame, limit: int = 10) -> DataFrame:
+    """The first ``limit`` failed checks in (table, check order) order."""
+    return (checks.where(~F.col("success")).orderBy("table_name", "check_no")
+            .limit(limit).select("table_name", "check_name", "details"))
+
+
+def invalid_values(df: DataFrame, table: str, per_check: int = 10) -> DataFrame:
+    """U4 + T6: distinct values outside the allowed set of every
+    ``valid_values`` rule, at most ``per_check`` (smallest first) per rule.
+    Distinct values are aggregated map-side, so a value repeated by a third
+    of all rows is one row before the shuffle."""
+    from pyspark.sql import Window
+    out = None
+    for kind, args in RULES.get(table, {}).get("checks", []):
+        if kind != "valid_values" or args["column"] not in df.columns:
+            continue
+        c = F.col(args["column"]).cast("string")
+        part = (df.where(_violations(kind, args)).select(c.alias("value")).distinct()
+                .select(F.lit(table).alias("table_name"), F.lit(check_name(kind, args)).alias("check_name"),
+                        "value"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return None
+    w = Window.partitionBy("table_name", "check_name").orderBy("value")
+    return out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_check).drop("n")

@@ -657,3 +657,40 @@ oracle("sink_features", """
 SELECT user_id, CAST(tx_count_total AS INTEGER) AS tx_count_total, CAST(num_products AS INTEGER) AS num_products,
        CAST(rewards_count AS INTEGER) AS rewards_count
 FROM (""" + ORACLES["feature_table"] + ") f")
+
+
+# ------------------------------------------------ reports, model, offline run
+
+oracle("quality_summary", with_(*_ALL_CTES, extra=QUALITY_CTE) + """
+SELECT table_name, check_name, details FROM checks WHERE NOT success ORDER BY table_name, check_no LIMIT 10""")
+
+
+def _invalid_values_sql() -> str:
+    parts = []
+    for table, rules in RULES.items():
+        for kind, a in rules["checks"]:
+            if kind == "valid_values":
+                parts.append(f"SELECT DISTINCT '{table}' AS table_name, '{check_name(kind, a)}' AS check_name, "
+                             f"CAST({a['column']} AS VARCHAR) AS value FROM {CTE_NAME[table]} "
+                             f"WHERE {_violation_sql(kind, a)}")
+    return ("SELECT table_name, check_name, value FROM (SELECT *, row_number() OVER (PARTITION BY table_name, "
+            "check_name ORDER BY value) AS n FROM (" + "\nUNION ALL\n".join(parts) + ")) WHERE n <= 10")
+
+
+oracle("invalid_values", with_(*_ALL_CTES) + _invalid_values_sql())
+oracle("drift_summary", "WITH " + PSI_CTE + """,
+rep AS (
+  SELECT (coalesce(count(*) FILTER (WHERE drifted) / count(*), 0) > 0.01 OR coalesce(avg(psi), 0) > 0.1)
+           AS drift_detected,
+         round(coalesce(avg(psi), 0), 4) AS drift_score,
+         round(coalesce(count(*) FILTER (WHERE drifted) / count(*), 0), 4) AS drift_share,
+         0.5::DOUBLE AS threshold,
+         list_sort(coalesce(list(column_name) FILTER (WHERE drifted), [])) AS drifted_columns
+  FROM per_col)
+SELECT drift_detected, drift_score, drift_share, threshold, list_slice(drifted_columns, 1, 5) AS drifted_columns,
+       CASE WHEN drift_detected THEN 'retrained' ELSE 'none' END AS action_taken
+FROM rep""")
+oracle("scan_batches", with_("people") + """
+SELECT user_id, age_bucket, gender_cd, region, last_activity_day,
+       CAST(floor((row_number() OVER (ORDER BY ordinal) - 1) / 500) + 1 AS INTEGER) AS batch_id
+FROM people""")

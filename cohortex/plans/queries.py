@@ -507,3 +507,59 @@ def q_scan_catalog(spark, d):
         part = t[name].agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# ------------------------------------------------ reports, model, offline run
+
+from cohortex.plans import offline_run as OR  # noqa: E402
+
+
+@query
+def q_quality_summary(spark, d):
+    return QX.failed_checks(QX.quality_checks(bind(spark, d)))
+
+
+@query
+def q_invalid_values(spark, d):
+    t = bind(spark, d)
+    out = None
+    for name in t.names():
+        part = QX.invalid_values(t[name], name)
+        if part is not None:
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def q_drift_summary(spark, d):
+    ref, cur = drift_sides(spark, d)
+    return DX.drift_summary(DX.drift_report(DX.psi_by_column(ref, cur, DRIFT_COLUMNS)))
+
+
+@query
+def q_scan_batches(spark, d):
+    """People sent as 500-row batch files and read back in batch order."""
+    p = bind(spark, d)["people"]
+    root = _fresh(spark, "batches")
+    FS.write_batch_files(IN.batch_assign(p, 500).drop("ordinal"), root, "people")
+    cols = [c for c in p.columns if c != "ordinal"]
+    back = FS.scan_batches(spark, root, "people", cols)
+    return back.select(C.lenient_long("user_id").alias("user_id"), "age_bucket", "gender_cd", "region",
+                       "last_activity_day", "batch_id")
+
+
+@query
+def q_model_roundtrip(spark, d):
+    """A trained model saved and loaded gives the same user factors."""
+    fit, _, _ = als_fit(spark, d)
+    path = _fresh(spark, "model")
+    RX.save_model(fit, path)
+    back = RX.load_model(spark, path)
+    a = fit.user_vectors().select("user_id", F.col("vec").alias("a"))
+    b = back.user_vectors().select("user_id", F.col("vec").alias("b"))
+    return a.join(b, "user_id", "full").select("user_id", (F.col("a") == F.col("b")).alias("same"))
+
+
+@query
+def q_offline_run(spark, d):
+    return OR.run_version(spark, bind(spark, d), _fresh(spark, "run"), VERSION, INTERACTION_REFERENCE_DATE)

@@ -46,6 +46,15 @@ def scan_batches(spark: SparkSession, version_dir: str, table: str, columns: lis
     return df.withColumn("batch_id", bid)
 
 
+def write_batch_files(df: DataFrame, version_dir: str, table: str, batch_col: str = "batch_id") -> None:
+    """One JSON-lines folder per batch (``<table>/batch_id=<n>``),
+    values as text, the first write of a batch wins (an existing batch
+    folder is left alone by the ingest, see ``streaming.ingest``)."""
+    cols = [c for c in df.columns if c not in (batch_col, "total_batches")]
+    (df.select(*[F.col(c).cast("string") for c in cols], batch_col)
+     .write.mode("append").partitionBy(batch_col).json(os.path.join(version_dir, table)))
+
+
 def scan_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """S4 + S12: CSV with header, every column as text (no inference)."""
     return (spark.read.schema(string_schema(columns, corrupt=False)).option("header", True)
