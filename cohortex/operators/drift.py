@@ -1,10 +1,12 @@
 """Population Stability Index drift.
 
-All columns are handled by one plan: both sides are unpivoted to
+All columns are handled together: both sides are unpivoted to
 (column, side, value) rows, the reference decile edges are one grouped
 aggregate, bins are a broadcast lookup of the (columns x 11) edge table,
-and the bin counts are one more grouped aggregate. Nothing per column runs
-on the driver.
+and the bin counts are one more grouped aggregate. Two passes over the
+data in total (plus an HLL width check); the tiny edge and count tables
+(bounded by columns x bins) are resolved once and reused as literals.
+Nothing per column runs on the driver.
 
 Scale: the exact linear-interpolated percentile keeps a value -> count map
 per column, so it is used only for columns whose reference side has at
@@ -65,12 +67,19 @@ def reference_edges(ref_long: DataFrame, cols: list[str], n_buckets: int = FV.PS
     return edges.select("column_name", F.array_distinct("raw").alias("edges"), "n_ref")
 
 
-def _bin(value, edges):
-    """Left-closed bins, last bin right-closed, out-of-range -> NULL."""
+def _bin(value, edges, max_edges: int):
+    """Left-closed bins, last bin right-closed, out-of-range -> NULL.
+
+    The bin is the number of inner edges <= value, written as a sum over
+    the (at most B+1) fixed positions so it stays inside whole-stage codegen."""
     last = F.element_at(edges, -1)
+    n = F.size(edges)
+    inner = [F.when((F.lit(i) < n) & (F.try_element_at(edges, F.lit(i)) <= value), 1).otherwise(0)
+             for i in range(2, max_edges)]
+    below = sum(inner[1:], inner[0]) if inner else F.lit(0)
     return (F.when((value < F.element_at(edges, 1)) | (value > last), F.lit(None))
-            .when(value == last, F.size(edges) - 2)
-            .otherwise(F.size(F.filter(edges, lambda e: e <= value)) - 1))
+            .when(value == last, n - 2)
+            .otherwise(below))
 
 
 def psi_by_column(reference: DataFrame, current: DataFrame, columns: list[str] | None = None,
@@ -82,15 +91,21 @@ def psi_by_column(reference: DataFrame, current: DataFrame, columns: list[str] |
     and c = (n_c + 1) / (N_c + B), B = ``n_buckets`` even when edges collapse;
     fewer than two distinct edges or an empty side -> 0.
     """
+    spark = reference.sparkSession
     cols = columns or common_numeric_columns(reference, current)
     ref_long = _long(reference, cols, "reference")
     cur_long = _long(current, cols, "current")
-    edges = reference_edges(ref_long, cols, n_buckets, method)
-    # the edge table is (#columns x (B+1)) doubles: its size is bounded by the schema
-    binned = (ref_long.unionByName(cur_long).join(F.broadcast(edges.select("column_name", "edges")),
-                                                  "column_name")
-              .select("column_name", "side", _bin(F.col("value"), F.col("edges")).alias("bin")))
-    counts = binned.groupBy("column_name", "side", "bin").agg(F.count("*").alias("n"))
+    # the edge table is (#columns x (B+1)) doubles, bounded by the schema: resolve it
+    # once and hand it back as a literal table, instead of re-aggregating it per use
+    edge_rows = reference_edges(ref_long, cols, n_buckets, method).select("column_name", "edges").collect()
+    edges = spark.createDataFrame([(r[0], [float(x) for x in r[1]]) for r in edge_rows],
+                                  "column_name string, edges array<double>")
+    binned = (ref_long.unionByName(cur_long).join(F.broadcast(edges), "column_name")
+              .select("column_name", "side", _bin(F.col("value"), F.col("edges"), n_buckets + 1).alias("bin")))
+    # (#columns x 2 sides x <= B+1 bins) rows: resolved once, both uses below read the literal
+    counts = spark.createDataFrame(
+        [tuple(r) for r in binned.groupBy("column_name", "side", "bin").agg(F.count("*").alias("n")).collect()],
+        "column_name string, side string, bin int, n long")
     totals = (counts.groupBy("column_name").pivot("side", ["reference", "current"]).sum("n")
               .select("column_name", F.coalesce("reference", F.lit(0)).alias("n_r_total"),
                       F.coalesce("current", F.lit(0)).alias("n_c_total")))
