@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortex.functions import fixed_values as FV
+from cohortex.operators.indexing import with_row_index
 
 WIRE_SCHEMA = T.StructType([
     T.StructField("version", T.StringType()),
@@ -43,10 +44,7 @@ def batch_assign(df: DataFrame, batch_size: int, order_col: str = "ordinal") ->
     """Consecutive batch ids of ``batch_size`` rows in ``order_col``
     order, plus ``total_batches``. The order is a distributed range sort and
     the row index comes from ``zipWithIndex`` (no single-partition window)."""
-    spark = df.sparkSession
-    ordered = df.orderBy(order_col)
-    schema = T.StructType(ordered.schema.fields + [T.StructField("_idx", T.LongType(), False)])
-    idx = spark.createDataFrame(ordered.rdd.zipWithIndex().map(lambda r: tuple(r[0]) + (r[1],)), schema)
+    idx = with_row_index(df, "_idx", [order_col])
     total = df.agg(F.count("*")).scalar()
     return (idx.withColumn("batch_id", (F.floor(F.col("_idx") / batch_size) + 1).cast("int"))
             .withColumn("total_batches", F.ceil(total / F.lit(batch_size)).cast("int")).drop("_idx"))
