@@ -99,3 +99,16 @@ def test_ingest_one_file_per_micro_batch(spark):
     assert got == {1: 5, 2: 5, 3: 2}
     raw = spark.read.parquet(os.path.join(store, "raw")).where("version = 'v9'")
     assert raw.count() == 12
+
+
+def test_top_rows_exact_with_ties():
+    from cohortex.operators.topk import _top_rows
+    rng = np.random.default_rng(7)
+    for ncol in (5, 40, 300):
+        scores = rng.integers(0, 4, size=(50, ncol)).astype(float)      # many ties
+        ids = rng.permutation(ncol).astype(np.int64)
+        k = rng.integers(0, 12, size=50)
+        sel, valid = _top_rows(scores, ids, k)
+        for r in range(50):
+            want = np.lexsort((ids, -scores[r]))[:min(k[r], ncol)]
+            assert list(sel[r][valid[r]]) == list(want)
