@@ -194,11 +194,12 @@ def table_checks(df: DataFrame, table: str, rules: dict | None = None) -> DataFr
     if not rules:
         return spark.createDataFrame([], CHECK_SCHEMA)
     missing = [c for c in rules["required_columns"] if c not in df.columns]
-    req = spark.createDataFrame(
-        [(table, 0, "required_columns", not missing, len(missing),
-          f"Missing columns: {', '.join(missing)}" if missing else "All required columns present")],
-        CHECK_SCHEMA)
-    structs, aggs = [], []
+    req = F.struct(F.lit(table).alias("table_name"), F.lit(0).alias("check_no"),
+                   F.lit("required_columns").alias("check_name"), F.lit(not missing).alias("success"),
+                   F.lit(len(missing)).cast("bigint").alias("failed"),
+                   F.lit(f"Missing columns: {', '.join(missing)}" if missing
+                         else "All required columns present").alias("details"))
+    structs, aggs = [req], []
     for i, (kind, args) in enumerate(rules["checks"], start=1):
         name = check_name(kind, args)
         cols = [args[k] for k in ("column", "start", "end") if k in args]
@@ -216,8 +217,7 @@ def table_checks(df: DataFrame, table: str, rules: dict | None = None) -> DataFr
                                 F.lit(name).alias("check_name"), ok.alias("success"),
                                 failed.cast("bigint").alias("failed"), _details(kind, args, n, ok).alias("details")))
     one_row = df.agg(*aggs) if aggs else spark.range(1)
-    rows = one_row.select(F.inline(F.array(*structs)))
-    return req.unionByName(rows)
+    return one_row.select(F.inline(F.array(*structs)))
 
 
 def quality_checks(tables: dict) -> DataFrame:
