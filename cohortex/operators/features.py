@@ -56,7 +56,8 @@ def observed_domains(columns: list[tuple[str, DataFrame, str]],
     the union of their distinct values, limited to what the size check
     needs, so no more than ``len(columns) * max_values + 1`` values reach
     the driver."""
-    parts = [df.select(F.lit(key).alias("k"), F.col(c).cast("string").alias("v")).where(F.col("v").isNotNull())
+    parts = [(df.select(F.lit(key).alias("k"), F.col(c).cast("string").alias("v")) if isinstance(c, str)
+              else df.select(F.lit(key).alias("k"), c.cast("string").alias("v"))).where(F.col("v").isNotNull())
              for key, df, c in columns]
     u = parts[0]
     for p in parts[1:]:
@@ -337,7 +338,12 @@ def feature_table(tables: dict, ref: Column | None = None,
         wanted += [("seg", seg_agg, "segment_code"), ("region_type", seg_agg, "region_size")]
     if "receipts" in tables:
         wanted.append(("cat", tables["receipts"], "category_name"))
-    domains = observed_domains(wanted)            # one small job for every one-hot / pivot domain
+    if "transaction" in tables and ref is None:     # P11 rides along in the same job
+        wanted.append(("__ref", tables["transaction"].agg(F.max("event_date").alias("m")), "m"))
+    domains = observed_domains(wanted)            # one small job for every domain and the reference date
+    if "__ref" in domains:
+        value = domains["__ref"][0] if domains["__ref"] else None
+        ref = F.coalesce(C.lenient_ts(F.lit(value).cast("string")), F.current_date().cast("timestamp"))
     feats = base_features(tables["people"], domains["region"], activity_reference=activity_reference)
     keep = set(feats.columns)
     if seg_agg is not None:
