@@ -34,6 +34,9 @@ WIRE_SCHEMA = T.StructType([
     T.StructField("records", T.ArrayType(T.MapType(T.StringType(), T.StringType()))),
 ])
 
+# per-write option: replace only the partitions this epoch writes (no session-wide change)
+DYNAMIC = ("partitionOverwriteMode", "dynamic")
+
 MANIFEST_SCHEMA = ("version string, table string, batch_id int, total_batches int, records_count long, "
                    "content_hash string, source string, epoch_id long")
 
@@ -85,7 +88,7 @@ def _process(batch: DataFrame, epoch_id: int, store_dir: str) -> None:
     manifest_dir = os.path.join(store_dir, "manifest")
     valid = F.col("table").isin(*FV.TABLE_NAMES) & (F.col("batch_id") >= 1) & (F.col("total_batches") >= 1)
     rejected = batch.where(~valid | valid.isNull())
-    rejected.withColumn("epoch_id", F.lit(epoch_id)).write.mode("overwrite") \
+    rejected.withColumn("epoch_id", F.lit(epoch_id)).write.mode("overwrite").option(*DYNAMIC) \
         .partitionBy("epoch_id").json(os.path.join(store_dir, "rejected"))
     w = Window.partitionBy("version", "table", "batch_id").orderBy("arrived", "source")
     first = (batch.where(valid).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn"))
@@ -101,10 +104,11 @@ def _process(batch: DataFrame, epoch_id: int, store_dir: str) -> None:
                   F.size("records").cast("long").alias("records_count"),
                   content_hash().alias("content_hash"), "source")
      .withColumn("epoch_id", F.lit(epoch_id))
-     .write.mode("overwrite").partitionBy("epoch_id").parquet(manifest_dir))
+     .write.mode("overwrite").option(*DYNAMIC).partitionBy("epoch_id").parquet(manifest_dir))
     (first.select("version", "table", "batch_id", F.posexplode("records").alias("pos", "record"))
      .withColumn("epoch_id", F.lit(epoch_id))
-     .write.mode("overwrite").partitionBy("epoch_id", "version", "table").parquet(os.path.join(store_dir, "raw")))
+     .write.mode("overwrite").option(*DYNAMIC).partitionBy("epoch_id", "version", "table")
+     .parquet(os.path.join(store_dir, "raw")))
     first.unpersist()
 
 
@@ -112,7 +116,6 @@ def ingest(spark: SparkSession, landing_dir: str, store_dir: str, checkpoint: st
            max_files_per_trigger: int | None = None):
     """Run the ingest stream over everything in ``landing_dir`` and stop
     (``availableNow``); returns the finished StreamingQuery."""
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     reader = spark.readStream.schema(WIRE_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
