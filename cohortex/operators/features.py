@@ -345,7 +345,6 @@ def feature_table(tables: dict, ref: Column | None = None,
         value = domains["__ref"][0] if domains["__ref"] else None
         ref = F.coalesce(C.lenient_ts(F.lit(value).cast("string")), F.current_date().cast("timestamp"))
     feats = base_features(tables["people"], domains["region"], activity_reference=activity_reference)
-    keep = set(feats.columns)
     if seg_agg is not None:
         seg = one_hot(one_hot(seg_agg, "segment_code", "seg", domains["seg"]),
                       "region_size", "region_type", domains["region_type"])
@@ -362,5 +361,4 @@ def feature_table(tables: dict, ref: Column | None = None,
     if "financial_account" in tables:
         feats = feats.join(account_features(tables["financial_account"]), "user_id", "left")
     feats = offer_features(feats, tables)
-    fill = [c for c in numeric_columns(feats) if c not in keep or c.startswith("region_")]
-    return fill_zero(feats, fill)
+    return fill_zero(feats, numeric_columns(feats))

@@ -8,6 +8,8 @@ name in ``cohortex.plans.oracles``.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +17,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortex.functions import columns as C
+from cohortex.operators import drift as DX
 from cohortex.operators import features as FT
-from cohortex.sources.bindings import bind
+from cohortex.operators import interactions as IX
+from cohortex.operators import merchants as MX
+from cohortex.operators import quality as QX
+from cohortex.operators import ranking as RX
+from cohortex.operators import similarity as SX
+from cohortex.plans import offline_run as OR
+from cohortex.session import scratch_path
+from cohortex.sources import files as FS
+from cohortex.sources.bindings import BINDERS, INTERACTION_REFERENCE_DATE, bind, read_table
+from cohortex.streaming import ingest as IN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -146,9 +158,6 @@ def q_feature_table(spark, d):
 
 # ----------------------------------------------------------- interactions
 
-from cohortex.operators import interactions as IX  # noqa: E402
-from cohortex.operators import merchants as MX  # noqa: E402
-from cohortex.sources.bindings import INTERACTION_REFERENCE_DATE  # noqa: E402
 
 
 def interactions_of(spark, d):
@@ -191,7 +200,6 @@ def q_known_entities(spark, d):
 
 # ---------------------------------------------------------------- quality
 
-from cohortex.operators import quality as QX  # noqa: E402
 
 
 @query
@@ -228,8 +236,6 @@ def q_duplicate_keys(spark, d):
 
 # ------------------------------------------------------------------ drift
 
-from cohortex.operators import drift as DX  # noqa: E402
-from cohortex.sources.bindings import read_table  # noqa: E402
 
 DRIFT_COLUMNS = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 DRIFT_SPLIT = "1998-01-01"
@@ -255,7 +261,6 @@ def q_drift_report(spark, d):
 
 # ------------------------------------------------------------- similarity
 
-from cohortex.operators import similarity as SX  # noqa: E402
 
 SIMILAR_TOP_N = 10
 
@@ -311,7 +316,6 @@ def q_audience_batch(spark, d):
 
 # ---------------------------------------------------------------- ranking
 
-from cohortex.operators import ranking as RX  # noqa: E402
 
 EVAL_K = 100
 
@@ -402,13 +406,7 @@ def q_als_audience(spark, d):
 
 # ------------------------------------------------- ingest, sources, sinks
 
-import os  # noqa: E402
-import uuid  # noqa: E402
 
-from cohortex.session import scratch_path  # noqa: E402
-from cohortex.sources import files as FS  # noqa: E402
-from cohortex.sources.bindings import BINDERS  # noqa: E402
-from cohortex.streaming import ingest as IN  # noqa: E402
 
 BATCH_SIZE = 5000
 VERSION = "v1"
@@ -511,7 +509,6 @@ def q_scan_catalog(spark, d):
 
 # ------------------------------------------------ reports, model, offline run
 
-from cohortex.plans import offline_run as OR  # noqa: E402
 
 
 @query
