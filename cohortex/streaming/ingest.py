@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,8 +90,12 @@ def _process(batch: DataFrame, epoch_id: int, store_dir: str) -> None:
     rejected = batch.where(~valid | valid.isNull())
     rejected.withColumn("epoch_id", F.lit(epoch_id)).write.mode("overwrite").option(*DYNAMIC) \
         .partitionBy("epoch_id").json(os.path.join(store_dir, "rejected"))
-    w = Window.partitionBy("version", "table", "batch_id").orderBy("arrived", "source")
-    first = (batch.where(valid).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn"))
+    # earliest copy per key; min_by combines map-side, so even a batch re-sent a
+    # million times reaches its reducer as one row per task
+    first = (batch.where(valid).groupBy("version", "table", "batch_id")
+             .agg(F.min_by(F.struct("total_batches", "records", "source", "arrived"),
+                           F.struct("arrived", "source")).alias("b"))
+             .select("version", "table", "batch_id", "b.*"))
     try:
         seen = (spark.read.schema(MANIFEST_SCHEMA).parquet(manifest_dir)
                 .where(F.col("epoch_id") < epoch_id).select("version", "table", "batch_id"))
