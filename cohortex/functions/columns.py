@@ -47,8 +47,18 @@ def online_flag(c) -> Column:
 
 
 def lenient_ts(c) -> Column:
-    """Text -> timestamp, unparsable -> NULL."""
-    return F.try_to_timestamp(_col(c).cast("string"))
+    """Text -> timestamp without time zone (dates are local wall-clock
+    values, so no session zone or DST may shift them), unparsable -> NULL."""
+    return _col(c).cast("string").try_cast("timestamp_ntz")
+
+
+def ts_literal(value: str) -> Column:
+    """A fixed date / timestamp as a zone-free timestamp."""
+    return F.lit(value).try_cast("timestamp_ntz")
+
+
+def today() -> Column:
+    return F.current_date().cast("timestamp_ntz")
 
 
 def lenient_double(c) -> Column:
@@ -75,11 +85,10 @@ def segment_rank(c) -> Column:
 
 def days_between_floor(later: Column, earlier: Column) -> Column:
     """Whole days from ``earlier`` to ``later``, floored (timedelta.days)."""
-    return F.floor((F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp")))
-                   / F.lit(86_400_000_000))
+    return F.floor(F.timestamp_diff("MICROSECOND", earlier, later) / F.lit(86_400_000_000))
 
 
 def days_since(c, reference: str = FV.ACTIVITY_REFERENCE_DATE) -> Column:
     """Floor of days from the parsed date to ``reference``; NULL -> 999."""
-    return F.coalesce(days_between_floor(F.to_timestamp(F.lit(reference)), lenient_ts(c)),
+    return F.coalesce(days_between_floor(ts_literal(reference), lenient_ts(c)),
                       F.lit(FV.ACTIVITY_MISSING_DAYS)).cast("int")

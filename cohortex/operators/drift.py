@@ -16,7 +16,8 @@ wider columns use ``percentile_approx`` with bounded memory.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,14 +41,10 @@ def _long(df: DataFrame, cols: list[str], side: str) -> DataFrame:
             .withColumn("side", F.lit(side)))
 
 
-def _quantiles(n_buckets: int) -> list[float]:
-    return [i / n_buckets for i in range(n_buckets + 1)]
-
-
 def reference_edges(ref_long: DataFrame, cols: list[str], n_buckets: int = FV.PSI_BUCKETS,
                     method: str = "auto", exact_max_distinct: int = EXACT_MAX_DISTINCT) -> DataFrame:
     """(column_name, edges, n_ref) with deduplicated decile edges."""
-    qs = F.array(*[F.lit(q) for q in _quantiles(n_buckets)])
+    qs = F.array(*[F.lit(q) for q in percent_points(n_buckets)])
     if method == "auto":
         wide = (ref_long.groupBy("column_name").agg(F.approx_count_distinct("value").alias("nd"))
                 .where(F.col("nd") > exact_max_distinct).collect())  # <= one row per column
@@ -57,14 +54,58 @@ def reference_edges(ref_long: DataFrame, cols: list[str], n_buckets: int = FV.PS
     parts = []
     exact_cols = [c for c in cols if c not in approx_cols]
     if exact_cols:
-        parts.append(ref_long.where(F.col("column_name").isin(exact_cols)).groupBy("column_name")
-                     .agg(F.percentile("value", qs).alias("raw"), F.count("*").alias("n_ref")))
+        parts.append(_linear_edges(ref_long.where(F.col("column_name").isin(exact_cols)), n_buckets))
     if approx_cols:
         parts.append(ref_long.where(F.col("column_name").isin(sorted(approx_cols))).groupBy("column_name")
                      .agg(F.percentile_approx("value", qs, APPROX_ACCURACY).cast("array<double>").alias("raw"),
                           F.count("*").alias("n_ref")))
     edges = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return edges.select("column_name", F.array_distinct("raw").alias("edges"), "n_ref")
+    # numpy.unique: sorted distinct values
+    return edges.select("column_name", F.array_sort(F.array_distinct("raw")).alias("edges"), "n_ref")
+
+
+def percent_points(n_buckets: int) -> list[float]:
+    """The quantile levels, computed exactly as the reference's call does:
+    ``linspace(0, 100, B + 1) / 100``."""
+    return (np.linspace(0, 100, n_buckets + 1) / 100).tolist()
+
+
+def _linear_edges(ref_long: DataFrame, n_buckets: int) -> DataFrame:
+    """Exact linear-interpolated quantiles, bit-identical to numpy's
+    ``percentile(..., method='linear')``: virtual index v = (n-1)*q,
+    neighbours floor(v) and floor(v)+1 (both the last one when v >= n-1),
+    and numpy's two-sided lerp (a + (b-a)*t, or b - (b-a)*(1-t) when t >= 0.5).
+
+    The order statistics come from grouped value counts (bounded by the
+    distinct-value check) with a running count per column; each of the
+    <= 2(B+1) needed positions is found by a range join against the
+    broadcast target table. Returns (column_name, raw, n_ref)."""
+    vc = ref_long.groupBy("column_name", "value").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("column_name").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = vc.withColumn("end", F.sum("c").over(w)).withColumn("start", F.col("end") - F.col("c"))
+    n = vc.groupBy("column_name").agg(F.sum("c").alias("n"))
+    last = F.col("n") - 1
+    targets = (n.select("column_name", "n", F.posexplode(F.array(*[F.lit(q) for q in percent_points(n_buckets)]))
+                        .alias("i", "q"))
+               .withColumn("v", last.cast("double") * F.col("q"))
+               .withColumn("top", F.col("v") >= last.cast("double"))
+               .withColumn("prev", F.when(F.col("top"), last).otherwise(F.floor("v")))
+               .withColumn("next", F.when(F.col("top"), last).otherwise(F.floor("v") + 1))
+               .withColumn("gamma", F.col("v") - F.floor("v")))
+
+    def value_at(pos: str, name: str) -> DataFrame:
+        r = ranges.select(F.col("column_name").alias("rc"), F.col("value").alias(name), "start", "end")
+        t = F.broadcast(targets.select("column_name", "i", pos))    # (#columns x (B+1)) rows
+        return (r.join(t, (F.col("rc") == F.col("column_name")) & (F.col(pos) >= F.col("start"))
+                       & (F.col(pos) < F.col("end")))
+                .select("column_name", "i", name))
+
+    a, b, t = F.col("a"), F.col("b"), F.col("gamma")
+    lerp = F.when(t >= 0.5, b - (b - a) * (F.lit(1.0) - t)).otherwise(a + (b - a) * t)
+    pts = (targets.select("column_name", "i", "gamma", "n")
+           .join(value_at("prev", "a"), ["column_name", "i"]).join(value_at("next", "b"), ["column_name", "i"])
+           .select("column_name", "n", lerp.alias("edge")))
+    return pts.groupBy("column_name").agg(F.collect_list("edge").alias("raw"), F.first("n").alias("n_ref"))
 
 
 def _bin(value, edges, max_edges: int):

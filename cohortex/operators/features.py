@@ -97,7 +97,7 @@ def reference_timestamp(tx: DataFrame) -> Column:
     filter of the plan then constant-folds instead of re-planning the
     transaction table inside a scalar subquery at each use."""
     value = tx.agg(F.max("event_date")).collect()[0][0]
-    return F.coalesce(C.lenient_ts(F.lit(value).cast("string")), F.current_date().cast("timestamp"))
+    return F.coalesce(C.lenient_ts(F.lit(value).cast("string")), C.today())
 
 
 def reference_date(tx: DataFrame) -> DataFrame:
@@ -343,7 +343,7 @@ def feature_table(tables: dict, ref: Column | None = None,
     domains = observed_domains(wanted)            # one small job for every domain and the reference date
     if "__ref" in domains:
         value = domains["__ref"][0] if domains["__ref"] else None
-        ref = F.coalesce(C.lenient_ts(F.lit(value).cast("string")), F.current_date().cast("timestamp"))
+        ref = F.coalesce(C.lenient_ts(F.lit(value).cast("string")), C.today())
     feats = base_features(tables["people"], domains["region"], activity_reference=activity_reference)
     if seg_agg is not None:
         seg = one_hot(one_hot(seg_agg, "segment_code", "seg", domains["seg"]),
@@ -355,7 +355,7 @@ def feature_table(tables: dict, ref: Column | None = None,
         feats = (feats.join(tx_window_features(tx, ref), "user_id", "left")
                  .join(tx_total_features(tx), "user_id", "left"))
     elif ref is None:
-        ref = F.current_date().cast("timestamp")
+        ref = C.today()
     if "receipts" in tables:
         feats = feats.join(receipt_features(tables["receipts"], ref, domains["cat"]), "user_id", "left")
     if "financial_account" in tables:

@@ -10,7 +10,7 @@ from cohortex.functions import fixed_values as FV
 
 
 def _as_ts(ref) -> Column:
-    return F.to_timestamp(F.lit(ref)) if isinstance(ref, str) else ref
+    return C.ts_literal(ref) if isinstance(ref, str) else ref
 
 
 def interactions(activations: DataFrame | None, rewards: DataFrame | None, ref) -> DataFrame:

@@ -415,6 +415,8 @@ oracle("duplicate_keys", with_(*_ALL_CTES) + _duplicates_sql())
 
 _DRIFT_COLS = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _QS = "[" + ", ".join(f"{i / 10:.1f}" for i in range(11)) + "]"
+# numpy's linear percentile, stated directly: levels linspace(0, 100, 11) / 100 as doubles
+_QS_DOUBLE = "[" + ", ".join(f"{i / 10:.1f}::DOUBLE" for i in range(11)) + "]"
 PSI_CTE = f"""sides AS (
   SELECT CASE WHEN l_shipdate < TIMESTAMP '1998-01-01' THEN 'reference' ELSE 'current' END AS side,
          {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _DRIFT_COLS)}
@@ -422,9 +424,22 @@ PSI_CTE = f"""sides AS (
 long AS (
   SELECT * FROM (UNPIVOT sides ON {", ".join(_DRIFT_COLS)} INTO NAME column_name VALUE value)
   WHERE value IS NOT NULL AND NOT isnan(value)),
-edges AS (
-  SELECT column_name, list_distinct(quantile_cont(value, {_QS})) AS e
+ordered AS (
+  SELECT column_name, list_sort(list(value)) AS xs, count(*) AS n
   FROM long WHERE side = 'reference' GROUP BY column_name),
+virt AS (
+  SELECT column_name, xs, n, (n - 1)::DOUBLE * q AS v
+  FROM ordered CROSS JOIN (SELECT unnest({_QS_DOUBLE}) AS q)),
+nb AS (
+  SELECT column_name, xs, v - floor(v) AS t,
+         CASE WHEN v >= (n - 1)::DOUBLE THEN n - 1 ELSE CAST(floor(v) AS BIGINT) END AS lo,
+         CASE WHEN v >= (n - 1)::DOUBLE THEN n - 1 ELSE CAST(floor(v) AS BIGINT) + 1 END AS hi
+  FROM virt),
+edges AS (
+  SELECT column_name,
+         list_distinct(list(CASE WHEN t >= 0.5 THEN xs[hi + 1] - (xs[hi + 1] - xs[lo + 1]) * (1 - t)
+                                 ELSE xs[lo + 1] + (xs[hi + 1] - xs[lo + 1]) * t END)) AS e
+  FROM nb GROUP BY column_name),
 edges_sorted AS (SELECT column_name, list_sort(e) AS e FROM edges),
 binned AS (
   SELECT l.column_name, l.side,

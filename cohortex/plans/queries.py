@@ -243,7 +243,7 @@ DRIFT_SPLIT = "1998-01-01"
 
 def drift_sides(spark, d):
     li = read_table(spark, d, "lineitem")
-    cut = F.to_timestamp(F.lit(DRIFT_SPLIT))
+    cut = C.ts_literal(DRIFT_SPLIT)
     return li.where(F.col("l_shipdate") < cut), li.where(F.col("l_shipdate") >= cut)
 
 
