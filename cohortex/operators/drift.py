@@ -93,17 +93,18 @@ def _linear_edges(ref_long: DataFrame, n_buckets: int) -> DataFrame:
                .withColumn("next", F.when(F.col("top"), last).otherwise(F.floor("v") + 1))
                .withColumn("gamma", F.col("v") - F.floor("v")))
 
-    def value_at(pos: str, name: str) -> DataFrame:
-        r = ranges.select(F.col("column_name").alias("rc"), F.col("value").alias(name), "start", "end")
-        t = F.broadcast(targets.select("column_name", "i", pos))    # (#columns x (B+1)) rows
-        return (r.join(t, (F.col("rc") == F.col("column_name")) & (F.col(pos) >= F.col("start"))
-                       & (F.col(pos) < F.col("end")))
-                .select("column_name", "i", name))
-
+    # both neighbours of every target in ONE range join: (column, i, side, pos) rows
+    wanted = F.broadcast(targets.select(                                   # (#columns x 2(B+1)) rows
+        "column_name", "i", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("prev").alias("pos")),
+                                              F.struct(F.lit("b").alias("side"), F.col("next").alias("pos"))))
+        .alias("t")).select("column_name", "i", "t.side", "t.pos"))
+    r = ranges.select(F.col("column_name").alias("rc"), "value", "start", "end")
+    found = (r.join(wanted, (F.col("rc") == F.col("column_name")) & (F.col("pos") >= F.col("start"))
+                    & (F.col("pos") < F.col("end")))
+             .groupBy("column_name", "i").pivot("side", ["a", "b"]).agg(F.first("value")))
     a, b, t = F.col("a"), F.col("b"), F.col("gamma")
     lerp = F.when(t >= 0.5, b - (b - a) * (F.lit(1.0) - t)).otherwise(a + (b - a) * t)
-    pts = (targets.select("column_name", "i", "gamma", "n")
-           .join(value_at("prev", "a"), ["column_name", "i"]).join(value_at("next", "b"), ["column_name", "i"])
+    pts = (targets.select("column_name", "i", "gamma", "n").join(found, ["column_name", "i"])
            .select("column_name", "n", lerp.alias("edge")))
     return pts.groupBy("column_name").agg(F.collect_list("edge").alias("raw"), F.first("n").alias("n_ref"))
 
