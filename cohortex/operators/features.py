@@ -173,7 +173,7 @@ def _tx_prepared(tx: DataFrame) -> DataFrame:
 
 
 def tx_window_features(tx: DataFrame, ref: Column | None = None,
-                       windows=tuple(FV.TX_WINDOWS)) -> DataFrame:
+                       windows=tuple(FV.TX_WINDOWS), with_total_merchants: bool = False) -> DataFrame:
     """A1 + F1 + P3/P4: trailing-window aggregates for all windows in one scan.
 
     Distinct merchants per window use a two-level aggregate: (user, merchant)
@@ -203,20 +203,25 @@ def tx_window_features(tx: DataFrame, ref: Column | None = None,
                  F.count_if(F.col("merchant").isNotNull()
                             & (F.col("last_ts") >= window_start(F.col("ref"), d)))
                  .alias(f"unique_merchants_{d}d")]
+    if with_total_merchants:      # free at the (user, merchant) level; spares a distinct elsewhere
+        lvl2.append(F.count_if(F.col("merchant").isNotNull()).alias("unique_merchants_total"))
     return per_merchant.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(*lvl2)
 
 
-def tx_total_features(tx: DataFrame) -> DataFrame:
-    """A2: all-time aggregates; sample std of one row is NULL -> 0."""
+def tx_total_features(tx: DataFrame, merchants: bool = True) -> DataFrame:
+    """A2: all-time aggregates; sample std of one row is NULL -> 0. With
+    ``merchants=False`` the distinct-merchant count is left to
+    ``tx_window_features`` and only one distinct aggregate remains (no Expand)."""
     t = _tx_prepared(tx).where(F.col("user_id").isNotNull())
-    return (t.groupBy("user_id").agg(
-        F.count_if(F.col("has_id")).alias("tx_count_total"),
-        F.sum("amount").alias("tx_amount_sum_total"),
-        F.avg("amount").alias("tx_amount_avg_total"),
-        F.coalesce(F.stddev_samp("amount"), F.lit(0.0)).alias("tx_amount_std_total"),
-        F.avg("online").cast("double").alias("online_share_total"),
-        F.count_distinct("merchant").alias("unique_merchants_total"),
-        F.count_distinct("brand").alias("unique_brands_total")))
+    aggs = [F.count_if(F.col("has_id")).alias("tx_count_total"),
+            F.sum("amount").alias("tx_amount_sum_total"),
+            F.avg("amount").alias("tx_amount_avg_total"),
+            F.coalesce(F.stddev_samp("amount"), F.lit(0.0)).alias("tx_amount_std_total"),
+            F.avg("online").cast("double").alias("online_share_total")]
+    if merchants:
+        aggs.append(F.count_distinct("merchant").alias("unique_merchants_total"))
+    aggs.append(F.count_distinct("brand").alias("unique_brands_total"))
+    return t.groupBy("user_id").agg(*aggs)
 
 
 # ---------------------------------------------------------------- receipts
@@ -352,8 +357,8 @@ def feature_table(tables: dict, ref: Column | None = None,
     if "transaction" in tables:
         tx = tables["transaction"]
         ref = reference_timestamp(tx) if ref is None else ref
-        feats = (feats.join(tx_window_features(tx, ref), "user_id", "left")
-                 .join(tx_total_features(tx), "user_id", "left"))
+        feats = (feats.join(tx_window_features(tx, ref, with_total_merchants=True), "user_id", "left")
+                 .join(tx_total_features(tx, merchants=False), "user_id", "left"))
     elif ref is None:
         ref = C.today()
     if "receipts" in tables:
