@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from cohortex.llm.common import read
 from cohortex.session import scratch_path
-from cohortex.llm import chat_format, histogram_shards, quality_rules, secret_ledger, simhash_bk
+from cohortex.llm import (chat_format, decontaminate, fuzzy_passages, histogram_shards, packing, quality_net, quality_rules,
+                          secret_ledger, simhash_bk, token_counts)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +46,29 @@ def op2_chat_round_trip(spark, d):
     return chat_format.read_back(chat_format.format_turns(turns))
 
 
+@query
+def op3_fuzzy_passages(spark, d):
+    return fuzzy_passages.repeated_passages(read(spark, d, "documents"))
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query
+def op5_concatenate_and_cut(spark, d):
+    packed = packing.pieces(read(spark, d, "documents"), vocabulary("byte_bpe_50k.json"), length=2048, end_id=1)
+    return packing.piece_digests(packed).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "boundary")
+
+
+@query
+def op6_token_counts(spark, d):
+    return token_counts.token_counts(read(spark, d, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
+
+
 @query
 def op7_histogram_shards(spark, d):
     return (histogram_shards.shard_plan(read(spark, d, "documents"), shards=8)
@@ -52,6 +76,16 @@ def op7_histogram_shards(spark, d):
             .select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"))
 
 
+@query
+def op8_quality_net(spark, d):
+    return quality_net.quality_scores(read(spark, d, "documents"), read(spark, d, "labels"), threshold=0.7)
+
+
+@query
+def op9_spaced_seed_leaks(spark, d):
+    return decontaminate.leaks(read(spark, d, "documents"), read(spark, d, "benchmark"))
+
+
 @query
 def op10_secret_ledger(spark, d):
     ledger = scratch_path(spark, f"secret-ledger-{uuid.uuid4().hex}")
