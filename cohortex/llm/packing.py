@@ -50,6 +50,21 @@ class WordMemo:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _remember(self, words: list[str], together: int = 4096):
+        """Ids of " " + word for words that no tab is in, many to a call: a
+        tab between two of them is a token of its own."""
+        tab = np.array(self.tokenizer.encode("\t", add_special_tokens=False).ids, self.dtype)
+        for at in range(0, len(words), together):
+            some = words[at:at + together]
+            ids = np.frombuffer(self._encode(["\t".join([" " + w for w in some])])[0], self.dtype)
+            ends = np.append(np.flatnonzero(ids == tab[0]), len(ids))
+            if len(tab) != 1 or len(ends) != len(some):
+                raise ValueError("the vocabulary has no token for a single tab")
+            raw, width, start = ids.tobytes(), self.dtype.itemsize, 0
+            for w, end in zip(some, ends.tolist()):
+                self.memo[w] = raw[start * width:end * width]
+                start = end + 1
+
     def _words(self, text: str) -> list[str] | None:
         if "  " in text or " \n" in text or "\n " in text or any(c in text for c in _ODD) or any(s in text for s in self.special):
             return None
@@ -60,7 +75,7 @@ class WordMemo:
             self.memo.clear()
         memo, words = self.memo, [self._words(t) for t in texts]
         new = list({w for ws in words if ws for w in ws[1:]}.difference(memo))
-        memo.update(zip(new, self._encode([" " + w for w in new])))
+        self._remember(new)
         whole = self._encode([ws[0] if ws else t for t, ws in zip(texts, words)])
         return [head + b"".join(map(memo.__getitem__, ws[1:])) if ws else head for head, ws in zip(whole, words)]
 
