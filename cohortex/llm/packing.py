@@ -8,14 +8,10 @@ it into windows of ``length``: a document that crosses a boundary leaves
 one record per window. Nothing is shuffled, every window but the last is
 full, and a lost task is repeated from the written table.
 
-Token ids are those of the ``tokenizers`` library. Words that a task has
-seen before are taken from a bounded memo: a byte-level BPE that splits
-text before every single space never merges across one, so a text without
-other white space at its single spaces is the concatenation of its words.
-Unseen words of Latin letters are merged by ``tiktoken`` from the same
-vocabulary file, which is several times as fast; all else (other scripts,
-special strings, odd white space, a vocabulary whose ids are not in merge
-order) goes through ``tokenizers`` itself.
+Token ids are those of the ``tokenizers`` library. Texts of Latin letters
+are encoded by ``tiktoken`` from the same vocabulary file, which gives the
+same ids several times as fast; all else (other scripts, special strings, a
+vocabulary whose ids are not in merge order) goes through ``tokenizers``.
 
 Defined results: a null or empty text is one end token; a null doc_id is
 carried; repeated rows are packed each; an empty table gives an empty
@@ -26,6 +22,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -36,11 +33,9 @@ from pyspark.sql import functions as F
 
 from cohortex.llm.common import written
 
-MEMO_WORDS = 400_000
-LATIN = "\u024f"
+NOT_LATIN = re.compile("[^\x00-\u024f]")
 # Fixed value: the split pattern of byte-level BPE.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_ODD = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"] + ["\u180e", "\u200b", "\ufeff"]
 
 
 def _letters() -> dict[str, int]:
@@ -70,8 +65,8 @@ def _fast_encoder(vocabulary: str):
     return tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
-class WordMemo:
-    """Ids of whole texts as little-endian bytes, remembered by word."""
+class Encoder:
+    """Ids of whole texts as little-endian bytes."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -80,54 +75,27 @@ class WordMemo:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}                      # of " " + word
         self.fast = _fast_encoder(vocabulary)
-        self.tab = self.fast.encode_ordinary("\t")[0] if self.fast else None
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _remember(self, words: list[str], together: int = 4096):
-        """Ids of " " + word for words that no tab is in. Many to a call: a
-        tab between two of them is a token of its own."""
-        latin = [w for w in words if w and max(w) <= LATIN] if self.fast else []
-        others = list(set(words).difference(latin))
-        self.memo.update(zip(others, self._encode([" " + w for w in others])))
-        for at in range(0, len(latin), together):
-            some = latin[at:at + together]
-            ids = np.array(self.fast.encode_ordinary("\t".join([" " + w for w in some])), self.dtype)
-            ends = np.append(np.flatnonzero(ids == self.tab), len(ids)).tolist()
-            raw, width, start = ids.tobytes(), self.dtype.itemsize, 0
-            for w, end in zip(some, ends, strict=True):
-                self.memo[w] = raw[start * width:end * width]
-                start = end + 1
-
-    def _words(self, text: str) -> list[str] | None:
-        if "  " in text or " \n" in text or "\n " in text or any(c in text for c in _ODD) or any(s in text for s in self.special):
-            return None
-        return text.split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        memo, words = self.memo, [self._words(t) for t in texts]
-        new = list({w for ws in words if ws for w in ws[1:]}.difference(memo))
-        self._remember(new)
-        whole = self._encode([ws[0] if ws else t for t, ws in zip(texts, words)])
-        return [head + b"".join(map(memo.__getitem__, ws[1:])) if ws else head for head, ws in zip(whole, words)]
-
-
-def tokenized(docs: DataFrame, vocabulary: str, end_id: int = 1, chunk: int = 256) -> DataFrame:
+
+    def encode(self, text: str) -> bytes:
+        if self.fast and not NOT_LATIN.search(text) and not any(s in text for s in self.special):
+            ids = self.fast.encode_ordinary(text)
+        else:
+            ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return np.array(ids, self.dtype).tobytes()
+
+
+def tokenized(docs: DataFrame, vocabulary: str, end_id: int = 1, chunk: int = 512) -> DataFrame:
     """doc_id, ids (bytes, the end token last), n, part, before."""
 
     def run(batches):
-        memo, part, before = WordMemo(vocabulary), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], memo.dtype).tobytes()
+        encoder, part, before = Encoder(vocabulary), TaskContext.get().partitionId(), 0
+        end = np.array([end_id], encoder.dtype).tobytes()
         for b in batches:
             for at in range(0, b.num_rows, chunk):
                 piece = b.slice(at, chunk)
-                ids = [x + end for x in memo.encode([t or "" for t in piece.column(1).to_pylist()])]
-                n = np.array([len(x) // memo.dtype.itemsize for x in ids], np.int64)
+                ids = [encoder.encode(t.as_py() or "") + end for t in piece.column(1)]
+                n = np.array([len(x) // encoder.dtype.itemsize for x in ids], np.int64)
                 sofar = before + np.cumsum(n) - n
                 before += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
