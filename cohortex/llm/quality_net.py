@@ -185,9 +185,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, m
     table = written(document_vectors(docs, vectors), "document-vectors")
     known = (labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
              .agg(F.max("quality").cast("double").alias("quality")).where(~held_out()))
-    rows = (table.dropDuplicates(["doc_id"]).join(known, "doc_id")
-            .select("quality", "vec", (F.pmod(F.floor(_fold() / 4), F.lit(5)) == 0).alias("hold"), F.xxhash64("doc_id").alias("h"), "doc_id")
-            .orderBy("h", "doc_id").limit(max_rows).collect())                # at most max_rows
+    # labelled rows by hash of the doc_id: as many as max_rows on average, and no more
+    rows = known.join(table.dropDuplicates(["doc_id"]), "doc_id").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    share = min(1.0, max_rows / max(1, known.count()))
+    rows = (rows.where(F.col("h") < int(share * (1 << 40)))
+            .select("quality", "vec", (F.pmod(F.floor(_fold() / 4), F.lit(5)) == 0).alias("hold"), "h", "doc_id")
+            .orderBy("h", "doc_id").limit(max_rows).collect())
     x = np.array([np.frombuffer(r["vec"], "<f4") for r in rows], float).reshape(-1, 2 * DIM)
     net = Network(x, np.array([r["quality"] for r in rows]), np.array([r["hold"] for r in rows], bool))
 
