@@ -3,15 +3,14 @@
 All columns are handled together: both sides are unpivoted to
 (column, side, value) rows, the reference decile edges are one grouped
 aggregate, bins are a broadcast lookup of the (columns x 11) edge table,
-and the bin counts are one more grouped aggregate. Two passes over the
-data in total (plus an HLL width check); the tiny edge and count tables
-(bounded by columns x bins) are resolved once and reused as literals.
-Nothing per column runs on the driver.
-
-Scale: the exact linear-interpolated percentile keeps a value -> count map
-per column, so it is used only for columns whose reference side has at
-most ``exact_max_distinct`` distinct values (checked with an HLL sketch);
-wider columns use ``percentile_approx`` with bounded memory.
+and the bin counts are one more grouped aggregate. The tiny edge and count
+tables (bounded by columns x bins) are resolved once and reused as
+literals. Nothing per column runs on the driver.
+
+Scale: the edges are exact order statistics at any size. The distinct
+values of all columns, with their counts, are range-sorted over the
+cluster; sums per sorted partition say in which partition each wanted
+position lies, and only those partitions are counted through.
 """
 
 from __future__ import annotations
@@ -22,9 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortex.functions import fixed_values as FV
-
-EXACT_MAX_DISTINCT = 1_000_000
-APPROX_ACCURACY = 100_000
+from cohortex.session import checkpoint_dir
 
 
 def common_numeric_columns(reference: DataFrame, current: DataFrame, exclude=("user_id",)) -> list[str]:
@@ -41,27 +38,11 @@ def _long(df: DataFrame, cols: list[str], side: str) -> DataFrame:
             .withColumn("side", F.lit(side)))
 
 
-def reference_edges(ref_long: DataFrame, cols: list[str], n_buckets: int = FV.PSI_BUCKETS,
-                    method: str = "auto", exact_max_distinct: int = EXACT_MAX_DISTINCT) -> DataFrame:
+def reference_edges(ref_long: DataFrame, n_buckets: int = FV.PSI_BUCKETS) -> DataFrame:
     """(column_name, edges, n_ref) with deduplicated decile edges."""
-    qs = F.array(*[F.lit(q) for q in percent_points(n_buckets)])
-    if method == "auto":
-        wide = (ref_long.groupBy("column_name").agg(F.approx_count_distinct("value").alias("nd"))
-                .where(F.col("nd") > exact_max_distinct).collect())  # <= one row per column
-        approx_cols = {r[0] for r in wide}
-    else:
-        approx_cols = set(cols) if method == "approx" else set()
-    parts = []
-    exact_cols = [c for c in cols if c not in approx_cols]
-    if exact_cols:
-        parts.append(_linear_edges(ref_long.where(F.col("column_name").isin(exact_cols)), n_buckets))
-    if approx_cols:
-        parts.append(ref_long.where(F.col("column_name").isin(sorted(approx_cols))).groupBy("column_name")
-                     .agg(F.percentile_approx("value", qs, APPROX_ACCURACY).cast("array<double>").alias("raw"),
-                          F.count("*").alias("n_ref")))
-    edges = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     # numpy.unique: sorted distinct values
-    return edges.select("column_name", F.array_sort(F.array_distinct("raw")).alias("edges"), "n_ref")
+    return _linear_edges(ref_long, n_buckets).select(
+        "column_name", F.array_sort(F.array_distinct("raw")).alias("edges"), "n_ref")
 
 
 def percent_points(n_buckets: int) -> list[float]:
@@ -76,14 +57,19 @@ def _linear_edges(ref_long: DataFrame, n_buckets: int) -> DataFrame:
     neighbours floor(v) and floor(v)+1 (both the last one when v >= n-1),
     and numpy's two-sided lerp (a + (b-a)*t, or b - (b-a)*(1-t) when t >= 0.5).
 
-    The order statistics come from grouped value counts (bounded by the
-    distinct-value check) with a running count per column; each of the
-    <= 2(B+1) needed positions is found by a range join against the
-    broadcast target table. Returns (column_name, raw, n_ref)."""
-    vc = ref_long.groupBy("column_name", "value").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("column_name").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranges = vc.withColumn("end", F.sum("c").over(w)).withColumn("start", F.col("end") - F.col("c"))
-    n = vc.groupBy("column_name").agg(F.sum("c").alias("n"))
+    The order statistics come from value counts in one distributed sort,
+    written once so that a repeated task sees the same partitions. A block
+    is what one sorted partition has of one column: its rows are summed,
+    the sums' running totals locate each of the <= 2(B+1) positions of a
+    column in a block, and the running count goes through those blocks
+    alone. Returns (column_name, raw, n_ref)."""
+    checkpoint_dir(ref_long.sparkSession)
+    vc = (ref_long.groupBy("column_name", "value").agg(F.count("*").alias("c"))
+          .orderBy("column_name", "value").withColumn("block", F.spark_partition_id()).checkpoint())
+    blocks = vc.groupBy("column_name", "block").agg(F.sum("c").alias("size"))     # <= #partitions + #columns rows
+    before = Window.partitionBy("column_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("first", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    n = blocks.groupBy("column_name").agg(F.sum("size").alias("n"))
     last = F.col("n") - 1
     targets = (n.select("column_name", "n", F.posexplode(F.array(*[F.lit(q) for q in percent_points(n_buckets)]))
                         .alias("i", "q"))
@@ -93,14 +79,20 @@ def _linear_edges(ref_long: DataFrame, n_buckets: int) -> DataFrame:
                .withColumn("next", F.when(F.col("top"), last).otherwise(F.floor("v") + 1))
                .withColumn("gamma", F.col("v") - F.floor("v")))
 
-    # both neighbours of every target in ONE range join: (column, i, side, pos) rows
-    wanted = F.broadcast(targets.select(                                   # (#columns x 2(B+1)) rows
-        "column_name", "i", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("prev").alias("pos")),
-                                              F.struct(F.lit("b").alias("side"), F.col("next").alias("pos"))))
-        .alias("t")).select("column_name", "i", "t.side", "t.pos"))
-    r = ranges.select(F.col("column_name").alias("rc"), "value", "start", "end")
-    found = (r.join(wanted, (F.col("rc") == F.col("column_name")) & (F.col("pos") >= F.col("start"))
-                    & (F.col("pos") < F.col("end")))
+    # both neighbours of every target, with the block they lie in: (#columns x 2(B+1)) rows
+    wanted = (targets.select("column_name", "i", F.explode(F.array(
+        F.struct(F.lit("a").alias("side"), F.col("prev").alias("pos")),
+        F.struct(F.lit("b").alias("side"), F.col("next").alias("pos")))).alias("t"))
+        .select("column_name", "i", "t.side", "t.pos").join(blocks, "column_name")
+        .where((F.col("pos") >= F.col("first")) & (F.col("pos") < F.col("first") + F.col("size")))
+        .select("column_name", "block", "first", "i", "side", "pos"))
+    inside = vc.join(F.broadcast(wanted.select("column_name", "block", "first").distinct()), ["column_name", "block"])
+    running = F.sum("c").over(Window.partitionBy("column_name", "block").orderBy("value")
+                              .rowsBetween(Window.unboundedPreceding, 0))
+    ranges = (inside.withColumn("end", F.col("first") + running).withColumn("start", F.col("end") - F.col("c"))
+              .select("column_name", "block", "value", "start", "end"))
+    found = (ranges.join(F.broadcast(wanted.drop("first")), ["column_name", "block"])
+             .where((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")))
              .groupBy("column_name", "i").pivot("side", ["a", "b"]).agg(F.first("value")))
     a, b, t = F.col("a"), F.col("b"), F.col("gamma")
     lerp = F.when(t >= 0.5, b - (b - a) * (F.lit(1.0) - t)).otherwise(a + (b - a) * t)
@@ -125,21 +117,23 @@ def _bin(value, edges, max_edges: int):
 
 
 def psi_by_column(reference: DataFrame, current: DataFrame, columns: list[str] | None = None,
-                  n_buckets: int = FV.PSI_BUCKETS, threshold: float = FV.PSI_THRESHOLD,
-                  method: str = "auto") -> DataFrame:
-    """A20 per column: (column_name, psi, drifted).
+                  n_buckets: int = FV.PSI_BUCKETS, threshold: float = FV.PSI_THRESHOLD) -> DataFrame:
+    """A20 per column: (column_name, psi, drifted). A column without any
+    reference value scores 0; without common columns there are no rows.
 
     PSI = sum over bins of (c - r) * ln(c / r) with r = (n_r + 1) / (N_r + B)
     and c = (n_c + 1) / (N_c + B), B = ``n_buckets`` even when edges collapse;
     fewer than two distinct edges or an empty side -> 0.
     """
     spark = reference.sparkSession
-    cols = columns or common_numeric_columns(reference, current)
+    cols = common_numeric_columns(reference, current) if columns is None else columns
+    if not cols:
+        return spark.createDataFrame([], "column_name string, psi double, drifted boolean")
     ref_long = _long(reference, cols, "reference")
     cur_long = _long(current, cols, "current")
     # the edge table is (#columns x (B+1)) doubles, bounded by the schema: resolve it
     # once and hand it back as a literal table, instead of re-aggregating it per use
-    edge_rows = reference_edges(ref_long, cols, n_buckets, method).select("column_name", "edges").collect()
+    edge_rows = reference_edges(ref_long, n_buckets).select("column_name", "edges").collect()
     edges = spark.createDataFrame([(r[0], [float(x) for x in r[1]]) for r in edge_rows],
                                   "column_name string, edges array<double>")
     binned = (ref_long.unionByName(cur_long).join(F.broadcast(edges), "column_name")
@@ -163,7 +157,7 @@ def psi_by_column(reference: DataFrame, current: DataFrame, columns: list[str] |
     psi = (terms.groupBy("column_name")
            .agg(F.when((F.first("n_r_total") == 0) | (F.first("n_c_total") == 0), F.lit(0.0))
                 .otherwise(F.sum((F.col("c") - F.col("r")) * F.ln(F.col("c") / F.col("r")))).alias("psi")))
-    all_cols = edges.select("column_name")
+    all_cols = spark.createDataFrame([(c,) for c in cols], "column_name string")
     return (all_cols.join(psi, "column_name", "left")
             .select("column_name", F.coalesce("psi", F.lit(0.0)).alias("psi"))
             .withColumn("drifted", F.col("psi") > F.lit(threshold)))

@@ -20,8 +20,6 @@ from pyspark.sql import types as T
 from cohortex.functions import columns as C
 from cohortex.functions import fixed_values as FV
 
-MAX_ONE_HOT_VALUES = 1000
-
 
 # ----------------------------------------------------------------- helpers
 
@@ -37,37 +35,44 @@ def as_double(df: DataFrame, c: str) -> Column:
     return C.lenient_double(c)
 
 
-def observed_domain(df: DataFrame, c: str, max_values: int = MAX_ONE_HOT_VALUES) -> list:
-    """Sorted distinct non-NULL values of a low-cardinality column.
+def observed_domain(df: DataFrame, c: str, max_values: int | None = None) -> list:
+    """Sorted distinct non-NULL values of a categorical column.
 
-    Only the domain reaches the driver, and its size is checked: a column
-    with more values than ``max_values`` is not a categorical and raises.
+    The values become column names of a wide table, so they reach the
+    driver whatever their number; a caller may set ``max_values`` to raise
+    instead. ``one_hot_long`` is the form for open domains.
     """
-    rows = (df.select(c).where(F.col(c).isNotNull()).distinct()
-            .limit(max_values + 1).collect())
-    if len(rows) > max_values:
+    rows = df.select(c).where(F.col(c).isNotNull()).distinct()
+    rows = (rows if max_values is None else rows.limit(max_values + 1)).collect()
+    if max_values is not None and len(rows) > max_values:
         raise ValueError(f"column {c!r} has more than {max_values} distinct values")
     return sorted(r[0] for r in rows)
 
 
-def observed_domains(columns: list[tuple[str, DataFrame, str]],
-                     max_values: int = MAX_ONE_HOT_VALUES) -> dict[str, list]:
+def one_hot_long(df: DataFrame, key: str, c: str, prefix: str) -> DataFrame:
+    """The ones of ``one_hot`` as rows (key, feature, value): no value
+    reaches the driver and the domain may be of any size."""
+    return (df.where(F.col(c).isNotNull()).groupBy(key, F.concat(F.lit(f"{prefix}_"), F.col(c).cast("string")).alias("feature"))
+            .agg(F.count("*").alias("value")))
+
+
+def observed_domains(columns: list[tuple[str, DataFrame, str]], max_values: int | None = None) -> dict[str, list]:
     """Domains of several text columns (``(key, df, column)``) in ONE job:
-    the union of their distinct values, limited to what the size check
-    needs, so no more than ``len(columns) * max_values + 1`` values reach
-    the driver."""
+    the union of their distinct values. With ``max_values`` a larger domain
+    raises."""
     parts = [(df.select(F.lit(key).alias("k"), F.col(c).cast("string").alias("v")) if isinstance(c, str)
               else df.select(F.lit(key).alias("k"), c.cast("string").alias("v"))).where(F.col("v").isNotNull())
              for key, df, c in columns]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    rows = u.distinct().limit(len(columns) * max_values + 1).collect()
+    u = u.distinct()
+    rows = (u if max_values is None else u.limit(len(columns) * max_values + 1)).collect()
     out = {key: [] for key, _, _ in columns}
     for k, v in rows:
         out[k].append(v)
     for k, vals in out.items():
-        if len(vals) > max_values:
+        if max_values is not None and len(vals) > max_values:
             raise ValueError(f"column {k!r} has more than {max_values} distinct values")
         vals.sort()
     return out
@@ -226,50 +231,36 @@ def tx_total_features(tx: DataFrame, merchants: bool = True) -> DataFrame:
 
 # ---------------------------------------------------------------- receipts
 
-def receipt_window_features(receipts: DataFrame, ref: Column,
-                            windows=tuple(FV.RECEIPT_WINDOWS)) -> DataFrame:
-    """A3 + F2: count / items / cost per trailing window, one scan."""
+def receipt_window_features(receipts: DataFrame, ref: Column, windows=tuple(FV.RECEIPT_WINDOWS),
+                            more: list[Column] = ()) -> DataFrame:
+    """A3 + F2: count / items / cost per trailing window, and ``more``
+    aggregates of the same rows, one scan."""
     r = receipts.select("user_id", C.lenient_ts("date_operated").alias("ts"),
                         as_double(receipts, "items_count").alias("items"),
-                        as_double(receipts, "items_cost").alias("cost"))
+                        as_double(receipts, "items_cost").alias("cost"),
+                        *(["category_name"] if more else []))
     aggs = []
     for d in windows:
         w = F.col("ts") >= window_start(ref, d)
         aggs += [F.count_if(w).alias(f"receipts_count_{d}d"),
                  F.coalesce(F.sum(F.when(w, F.col("items"))), F.lit(0.0)).alias(f"receipts_items_{d}d"),
                  F.coalesce(F.sum(F.when(w, F.col("cost"))), F.lit(0.0)).alias(f"receipts_cost_{d}d")]
-    return r.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(*aggs)
-
-
-PIVOT_AS_CONDITIONAL_COUNTS = 64
+    return r.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(*aggs, *more)
 
 
 def receipt_features(receipts: DataFrame, ref: Column, domain: list,
                      windows=tuple(FV.RECEIPT_WINDOWS)) -> DataFrame:
-    """A3 + A4 in one aggregation pass when the category domain is small:
-    window sums and one conditional count per category side by side. A
-    large domain falls back to Spark's two-phase pivot (joined on user)."""
-    win = receipt_window_features(receipts, ref, windows)
-    if len(domain) > PIVOT_AS_CONDITIONAL_COUNTS:
-        return win.join(category_pivot(receipts, domain), "user_id", "left")
-    r = receipts.select("user_id", C.lenient_ts("date_operated").alias("ts"),
-                        as_double(receipts, "items_count").alias("items"),
-                        as_double(receipts, "items_cost").alias("cost"), "category_name")
-    aggs = []
-    for d in windows:
-        w = F.col("ts") >= window_start(ref, d)
-        aggs += [F.count_if(w).alias(f"receipts_count_{d}d"),
-                 F.coalesce(F.sum(F.when(w, F.col("items"))), F.lit(0.0)).alias(f"receipts_items_{d}d"),
-                 F.coalesce(F.sum(F.when(w, F.col("cost"))), F.lit(0.0)).alias(f"receipts_cost_{d}d")]
-    aggs += [F.count_if(F.col("category_name") == F.lit(v)).alias(f"cat_{v}") for v in domain]
-    return r.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(*aggs)
+    """A3 + A4 in one aggregation pass: window sums and one conditional
+    count per category side by side, 0 where a user lacks a category."""
+    return receipt_window_features(receipts, ref, windows, [
+        F.count_if(F.col("category_name") == F.lit(v)).alias(f"cat_{v}") for v in domain])
 
 
 def category_pivot(receipts: DataFrame, domain: list | None = None) -> DataFrame:
     """A4: receipts per category as ``cat_<v>`` columns, 0 when absent.
 
-    The category domain is collected once with a size check and passed to
-    ``pivot`` so Spark does not run its own unbounded distinct job.
+    The category domain is collected once and passed to ``pivot``, which
+    then runs no job of its own for it.
     """
     r = receipts.where(F.col("user_id").isNotNull() & F.col("category_name").isNotNull())
     domain = observed_domain(r, "category_name") if domain is None else domain

@@ -62,7 +62,7 @@ def run_version(spark: SparkSession, tables: dict, out_dir: str, version: str, i
     FS.write_if_absent(features, ref_path)
     reference = spark.read.parquet(ref_path)
     model_path = os.path.join(out_dir, "model")
-    model_exists = os.path.exists(os.path.join(model_path, "als"))
+    model_exists = RX.model_exists(spark, model_path)
     cols = [c for c in drift_columns(features) if c in reference.columns]
     report = DX.drift_report(DX.psi_by_column(reference, features, cols), model_exists=model_exists)
     FS.append_report(report, os.path.join(reports, "drift"), version)

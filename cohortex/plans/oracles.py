@@ -120,11 +120,27 @@ FROM rc CROSS JOIN ref WHERE user_id IS NOT NULL GROUP BY user_id"""
 _RC = {f"receipts_{m}_{d}d": 6 for d in (30, 90) for m in ("items", "cost")}
 oracle("receipt_window_features", rounded(RECEIPT_SQL, _RC))
 
-CATEGORY_SQL = with_("receipts") + """
+# The values that the bindings give each pivoted column (all of them occur from sf0.01 on): a view
+# cannot store a PIVOT that looks its values up.
+CATEGORIES = ["FOOD", "PRODUCT", "TRAVEL"]
+REGIONS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+SEGMENT_CODES = [f"{letter}_{nation:02d}" for letter in "mrtu" for nation in range(25)]
+REGION_TYPES = ["rural", "town", "urban"]
+
+
+def _in(*prefixed: tuple[str, list[str]]) -> str:
+    return "IN (" + ", ".join(f"'{prefix}{v}'" for prefix, values in prefixed for v in values) + ")"
+
+
+_CATS = _in(("cat_", CATEGORIES))
+_REGIONS = _in(("region_", REGIONS))
+_SEGS = _in(("seg_", SEGMENT_CODES), ("region_type_", REGION_TYPES))
+
+CATEGORY_SQL = with_("receipts") + f"""
 SELECT * FROM (
   PIVOT (SELECT user_id, 'cat_' || category_name AS cat FROM receipts
          WHERE user_id IS NOT NULL AND category_name IS NOT NULL)
-  ON cat USING count(*) GROUP BY user_id)"""
+  ON cat {_CATS} USING count(*) GROUP BY user_id)"""
 oracle("category_pivot", CATEGORY_SQL)
 
 ACCOUNT_SQL = with_("accounts") + """
@@ -149,15 +165,15 @@ seg AS (
 _SEG = {c: 6 for c in ("segment_rank", "auto", "traveler", "entrepreneur")}
 oracle("segment_features", rounded(with_("segments", extra=SEGMENT_AGG) + "SELECT * FROM seg", _SEG))
 
-ONE_HOT_SQL = with_("segments", "people", extra=SEGMENT_AGG) + """
+ONE_HOT_SQL = with_("segments", "people", extra=SEGMENT_AGG) + f"""
 SELECT user_id, CAST(coalesce(COLUMNS(* EXCLUDE (user_id)), 0) AS INTEGER) FROM (
   SELECT * FROM (SELECT user_id FROM people) u
   LEFT JOIN (PIVOT (SELECT user_id, 'region_' || region AS k FROM people WHERE region IS NOT NULL)
-             ON k USING count(*) GROUP BY user_id) p USING (user_id)
+             ON k {_REGIONS} USING count(*) GROUP BY user_id) p USING (user_id)
   LEFT JOIN (PIVOT (SELECT user_id, 'seg_' || segment_code AS k FROM seg WHERE segment_code IS NOT NULL
                     UNION ALL
                     SELECT user_id, 'region_type_' || region_size FROM seg WHERE region_size IS NOT NULL)
-             ON k USING count(*) GROUP BY user_id) s USING (user_id))"""
+             ON k {_SEGS} USING count(*) GROUP BY user_id) s USING (user_id))"""
 oracle("one_hot", ONE_HOT_SQL)
 
 OFFER_AGG = """sa AS (
@@ -215,7 +231,6 @@ def _feature_table_sql() -> str:
         SEGMENT_AGG, TX_PREP, REF_TX,
         "txw AS (SELECT user_id,\n  " + _tx_windows_sql() + "\nFROM t CROSS JOIN ref WHERE user_id IS NOT NULL "
         "GROUP BY user_id)",
-        "txt AS (" + TX_TOTAL_SQL.split("\n", 1)[1].split("t AS (", 1)[0] if False else
         "txt AS (SELECT user_id, count(transaction_id) AS tx_count_total, sum(amount) AS tx_amount_sum_total, "
         "avg(amount) AS tx_amount_avg_total, coalesce(stddev_samp(amount), 0.0) AS tx_amount_std_total, "
         "CAST(avg(online) AS DOUBLE) AS online_share_total, count(DISTINCT merchant) AS unique_merchants_total, "
@@ -233,7 +248,7 @@ def _feature_table_sql() -> str:
     cat_sub = ("SELECT user_id, coalesce(COLUMNS(* EXCLUDE (user_id)), 0) FROM ("
                "SELECT * FROM (SELECT user_id FROM people) u LEFT JOIN ("
                "PIVOT (SELECT user_id, 'cat_' || category_name AS cat FROM receipts "
-               "WHERE user_id IS NOT NULL AND category_name IS NOT NULL) ON cat USING count(*) GROUP BY user_id)"
+               "WHERE user_id IS NOT NULL AND category_name IS NOT NULL) ON cat " + _CATS + " USING count(*) GROUP BY user_id)"
                " c USING (user_id))")
     return (with_("people", "segments", "tx", "receipts", "accounts", "seens", "activations", "rewards",
                   extra=extra)
@@ -668,9 +683,19 @@ SELECT table_name AS "table", n AS total_records, CAST(ceil(n / 5000.0) AS BIGIN
 _PEOPLE_TXT = """SELECT user_id, age_bucket, gender_cd, region, last_activity_day"""
 oracle("scan_jsonl", with_("people") + _PEOPLE_TXT + ", false AS corrupt FROM people")
 oracle("scan_csv", with_("people") + _PEOPLE_TXT + " FROM people")
+# the model projection: measures as 32-bit floats, counts as 32-bit integers, no text and no timestamps
+_SINK_DOUBLES = (["segment_rank", "auto", "traveler", "entrepreneur", "total_reward_amt"]
+                 + [f"{m}_{w}" for w in ("7d", "30d", "90d") for m in ("tx_amount_sum", "tx_amount_avg", "online_share")]
+                 + [f"{m}_total" for m in ("tx_amount_sum", "tx_amount_avg", "tx_amount_std", "online_share")]
+                 + [f"receipts_{m}_{d}d" for d in (30, 90) for m in ("items", "cost")])
+_SINK_COUNTS = ([f"{m}_{w}" for w in ("7d", "30d", "90d", "total") for m in ("tx_count", "unique_merchants")]
+                + ["unique_brands_total", "receipts_count_30d", "receipts_count_90d", "num_products", "active_accounts",
+                   "offers_seen_count", "offers_activated_count", "rewards_count", *(f"cat_{c}" for c in CATEGORIES)])
 oracle("sink_features", """
-SELECT user_id, CAST(tx_count_total AS INTEGER) AS tx_count_total, CAST(num_products AS INTEGER) AS num_products,
-       CAST(rewards_count AS INTEGER) AS rewards_count
+SELECT * EXCLUDE (age_bucket, gender_cd, region, last_activity_day, segment_code, region_size, vip_status,
+                  first_offer_date, first_activation_date)
+         REPLACE (""" + ", ".join([f"round(CAST(CAST({c} AS FLOAT) AS DOUBLE), 4) AS {c}" for c in _SINK_DOUBLES]
+                                  + [f"CAST({c} AS INTEGER) AS {c}" for c in _SINK_COUNTS]) + """)
 FROM (""" + ORACLES["feature_table"] + ") f")
 
 
@@ -709,3 +734,18 @@ oracle("scan_batches", with_("people") + """
 SELECT user_id, age_bucket, gender_cd, region, last_activity_day,
        CAST(floor((row_number() OVER (ORDER BY ordinal) - 1) / 500) + 1 AS INTEGER) AS batch_id
 FROM people""")
+
+
+# What a trained model leaves determined: who is in it, how many rows a user gets, that no row was seen before.
+oracle("als_train", _SIDES + """
+SELECT DISTINCT user_id, 64 AS factors, true AS finite FROM train""")
+oracle("model_roundtrip", _SIDES + """
+SELECT DISTINCT user_id, true AS same FROM train""")
+oracle("recommend_offers", _SIDES + """,
+n AS (SELECT user_id, least(100, (SELECT count(DISTINCT offer_id) FROM train) - count(DISTINCT offer_id)) AS n_rows
+      FROM train WHERE user_id IN (SELECT user_id FROM test) GROUP BY user_id)
+SELECT user_id, n_rows, CAST(n_rows AS INTEGER) AS last_rank, 0 AS n_seen FROM n WHERE n_rows > 0""")
+oracle("evaluate_als", _SIDES + """
+SELECT true AS map_in_range, count(DISTINCT user_id) AS num_test_users, 100 AS k,
+       count(DISTINCT user_id) FILTER (WHERE user_id NOT IN (SELECT user_id FROM train)) AS n_cold_users
+FROM test""")

@@ -375,22 +375,27 @@ def als_fit(spark, d):
 @query
 def q_als_train(spark, d):
     fit, _, _ = als_fit(spark, d)
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0).cast("double"), lambda a, x: a + x * x))
     return fit.user_vectors().select("user_id", F.size("vec").alias("factors"),
-                                     F.sqrt(F.aggregate("vec", F.lit(0.0).cast("double"),
-                                                        lambda a, x: a + x * x)).alias("norm"))
+                                     (norm.isNotNull() & ~F.isnan(norm) & (norm < float("inf"))).alias("finite"))
 
 
 @query
 def q_recommend_offers(spark, d):
+    """Recommendations per test user; of their rows, what a fit leaves determined."""
     fit, train, test = als_fit(spark, d)
-    return RX.recommend_unseen(fit.user_vectors(), fit.item_vectors(), train, test, EVAL_K)
+    recs = RX.recommend_unseen(fit.user_vectors(), fit.item_vectors(), train, test, EVAL_K)
+    seen = train.select("user_id", "offer_id", F.lit(1).alias("seen")).distinct()
+    return (recs.join(seen, ["user_id", "offer_id"], "left").groupBy("user_id")
+            .agg(F.count("*").alias("n_rows"), F.max("rank").alias("last_rank"), F.count("seen").alias("n_seen")))
 
 
 @query
 def q_evaluate_als(spark, d):
     fit, train, test = als_fit(spark, d)
     preds = RX.recommend_unseen(fit.user_vectors(), fit.item_vectors(), train, test, EVAL_K)
-    return RX.map_at_k(preds, test, EVAL_K)
+    return (RX.map_at_k(preds, test, EVAL_K)
+            .select(F.col("map_at_k").between(0.0, 1.0).alias("map_in_range"), "num_test_users", "k", "n_cold_users"))
 
 
 @query
@@ -492,9 +497,11 @@ def q_scan_csv(spark, d):
 def q_sink_features(spark, d):
     t = bind(spark, d)
     out = _fresh(spark, "features")
-    FS.sink_features(FT.feature_table(t), interactions_of(spark, d), out)
+    FS.sink_features(round_doubles(FT.feature_table(t)), interactions_of(spark, d), out)
     feats, inter = FS.load_features(spark, out)
-    return feats.select("user_id", "tx_count_total", "num_products", "rewards_count")
+    return feats.select(*[F.round(F.col(f"`{f.name}`").cast("double"), 4).alias(f.name)
+                          if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else F.col(f"`{f.name}`")
+                          for f in feats.schema.fields])
 
 
 @query

@@ -201,6 +201,9 @@ class TableSet(dict):
     def __contains__(self, name):
         return name in self._names
 
+    def get(self, name, default=None):
+        return self[name] if name in self else default
+
     def names(self):
         return list(self._names)
 

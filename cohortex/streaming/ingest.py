@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,16 +175,33 @@ def commit_version(spark: SparkSession, store_dir: str, version: str, out_dir: s
                    columns: dict[str, list[str]]) -> DataFrame:
     """I4 + U2 + T5: snapshot of one version, one Parquet table per logical
     table, rows in (batch_id, position) order kept as an ``ordinal`` column.
-    Re-running the commit overwrites the same snapshot (idempotent).
-    Returns the commit manifest (table, total_records, n_batches)."""
+
+    The commit manifest (table, total_records, n_batches) is written last
+    and freezes the version: a later commit of it changes nothing and
+    returns the same manifest, while a commit that broke off is repeated."""
+    manifest = os.path.join(out_dir, f"version={version}", "manifest")
+    done = committed_manifest(spark, out_dir, version)
+    if done is not None:
+        return done
     raw = spark.read.parquet(os.path.join(store_dir, "raw")).where(F.col("version") == version)
     for table, cols in columns.items():
         t = raw.where(F.col("table") == table)
         snap = t.select(*[F.col("record")[c].alias(c) for c in cols],
                         ((F.col("batch_id").cast("long") * F.lit(1 << 32)) + F.col("pos")).alias("ordinal"))
         snap.write.mode("overwrite").parquet(os.path.join(out_dir, f"version={version}", f"table={table}"))
-    return (raw.groupBy("table").agg(F.count("*").alias("total_records"),
-                                     F.count_distinct("batch_id").alias("n_batches")))
+    (raw.groupBy("table").agg(F.count("*").alias("total_records"), F.count_distinct("batch_id").alias("n_batches"))
+     .coalesce(1).write.mode("overwrite").parquet(manifest))
+    return committed_manifest(spark, out_dir, version)
+
+
+def committed_manifest(spark: SparkSession, out_dir: str, version: str) -> DataFrame | None:
+    """The manifest of a committed version; None before its commit."""
+    try:
+        return spark.read.parquet(os.path.join(out_dir, f"version={version}", "manifest"))
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def read_committed(spark: SparkSession, out_dir: str, version: str, table: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """PSI, AP@k and similarity values of FIXTURES.md sections 3-4, plus invariants."""
 
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from cohortex.operators import drift as DX
@@ -26,12 +27,46 @@ def test_psi_values(spark, ref, cur, expected):
     assert _psi(spark, list(ref), list(cur)) == pytest.approx(expected, abs=1e-6)
 
 
-def test_psi_approx_method_close(spark):
-    r = spark.range(0, 5000).select((F.col("id") * 1.0).alias("x"))
-    c = spark.range(1000, 6000).select((F.col("id") * 1.0).alias("x"))
-    exact = DX.psi_by_column(r, c, ["x"], method="exact").collect()[0]["psi"]
-    approx = DX.psi_by_column(r, c, ["x"], method="approx").collect()[0]["psi"]
-    assert approx == pytest.approx(exact, rel=1e-2)
+def test_edges_are_exact_over_many_partitions(spark):
+    rng = np.random.default_rng(3)
+    values = np.round(rng.normal(size=20_000), 3)
+    df = spark.createDataFrame([(float(v),) for v in values], "x double").repartition(7)
+    got = DX.reference_edges(DX._long(df, ["x"], "reference")).collect()[0]
+    assert got["edges"] == np.unique(np.percentile(values, np.linspace(0, 100, 11))).tolist()
+    assert got["n_ref"] == len(values)
+
+
+def test_column_without_reference_values_scores_zero(spark):
+    r = spark.createDataFrame([(1.0, None), (2.0, None)], "x double, y double")
+    c = spark.createDataFrame([(1.0, 5.0), (2.0, 6.0)], "x double, y double")
+    rows = {x["column_name"]: x["psi"] for x in DX.psi_by_column(r, c).collect()}
+    assert rows["y"] == 0.0 and set(rows) == {"x", "y"}
+    assert DX.drift_report(DX.psi_by_column(r, c)).collect()[0]["n_columns_total"] == 2
+
+
+def test_no_common_columns_is_no_drift(spark):
+    r, c = spark.createDataFrame([(1.0,)], "a double"), spark.createDataFrame([(1.0,)], "b double")
+    report = DX.drift_report(DX.psi_by_column(r, c), model_exists=True).collect()[0]
+    assert report["n_columns_total"] == 0 and not report["drift_detected"] and not report["retrain"]
+
+
+def test_audience_larger_than_a_thousand(spark):
+    vectors = spark.range(3000).select(F.col("id").alias("user_id"), F.array(F.lit(1.0), F.col("id") * 1.0).alias("vec"))
+    seeds = spark.createDataFrame([(1, 0)], "request_id long, user_id long")
+    for fn in (SX.similar_users, SX.similar_users_centroid):
+        assert fn(vectors, seeds, 2000).count() == 2000
+
+
+def test_model_is_found_by_uri_and_stale_maps_are_not_read(spark, tmp_path):
+    path = f"file://{tmp_path}/model"
+    assert not RX.model_exists(spark, path)
+    wide = spark.createDataFrame([(2 ** 33 + u, o, 1.0) for u in range(6) for o in range(4) if (u + o) % 2],
+                                 "user_id long, offer_id long, confidence double")
+    RX.save_model(RX.train_als(wide, rank=2, max_iter=1), path)
+    assert RX.model_exists(spark, path)
+    assert {r["user_id"] for r in RX.load_model(spark, path).user_vectors().collect()} == {2 ** 33 + u for u in range(6)}
+    RX.save_model(RX.train_als(wide.withColumn("user_id", F.col("user_id") - 2 ** 33), rank=2, max_iter=1), path)
+    assert {r["user_id"] for r in RX.load_model(spark, path).user_vectors().collect()} == set(range(6))
 
 
 def test_drift_report_rule(spark):

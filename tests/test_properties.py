@@ -36,9 +36,9 @@ def test_psi_matches_brute_force(spark, ref, cur):
     r = spark.createDataFrame([(float(x),) for x in ref], "x double")
     c = spark.createDataFrame([(float(x),) for x in cur], "x double") if cur else \
         spark.createDataFrame([], "x double")
-    got = DX.psi_by_column(r, c, ["x"], method="exact").collect()[0]["psi"]
+    got = DX.psi_by_column(r, c, ["x"]).collect()[0]["psi"]
     assert got == pytest.approx(_psi_numpy(np.array(ref, float), np.array(cur, float)), abs=1e-9)
-    same = DX.psi_by_column(r, r, ["x"], method="exact").collect()[0]["psi"]
+    same = DX.psi_by_column(r, r, ["x"]).collect()[0]["psi"]
     assert same == pytest.approx(0.0, abs=1e-12)
 
 
