@@ -11,8 +11,7 @@ The benchmark is read in blocks of a bounded number of bytes, each
 broadcast for one scan of the documents; a usual benchmark is one block.
 Documents are never shuffled.
 
-Words are runs between ASCII white space and punctuation, A-Z in lower
-case. Items shorter than a mask are hashed whole; those with fewer than
+Words are runs between ASCII white space and punctuation, in lower case. Items shorter than a mask are hashed whole; those with fewer than
 ``SHORTEST`` words cannot tell a leak from chance and never match.
 
 Defined results: a null or empty text or item has no words and no match;
@@ -37,7 +36,7 @@ _TABLE = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuat
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().translate(_TABLE).split()
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
 def _hash(ids: np.ndarray, places: list[int], n: int) -> np.ndarray:
