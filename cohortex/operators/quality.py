@@ -8,7 +8,7 @@ driver round trip). Required-column checks read the schema only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortex.functions import columns as C
@@ -132,7 +132,7 @@ def check_name(kind: str, args: dict) -> str:
         return "min_rows"
     if kind == "date_order":
         return f"date_order_{args['start']}_{args['end']}"
-    return f"{kind}_{args['column']}"
+    return f"{kind}_{args['column']}" if "column" in args else kind
 
 
 def allowed_values(values: list) -> list[str]:
@@ -140,6 +140,9 @@ def allowed_values(values: list) -> list[str]:
     return [str(v) for v in values if v is not None and v != ""]
 
 
+ROW_KINDS = ("no_null", "valid_values", "valid_pattern", "valid_date", "date_order")
+
+
 def _violations(kind: str, args: dict) -> Column:
     """Row predicate that is true for a row violating the rule (row rules)."""
     if kind == "no_null":
@@ -203,11 +206,13 @@ def table_checks(df: DataFrame, table: str, rules: dict | None = None) -> DataFr
     for i, (kind, args) in enumerate(rules["checks"], start=1):
         name = check_name(kind, args)
         cols = [args[k] for k in ("column", "start", "end") if k in args]
-        if any(c not in df.columns for c in cols):
+        error = ("unknown check type" if kind not in ("min_rows", "unique", *ROW_KINDS)
+                 else "missing column" if any(c not in df.columns for c in cols) else None)
+        if error:
             structs.append(F.struct(F.lit(table).alias("table_name"), F.lit(i).alias("check_no"),
                                     F.lit(name).alias("check_name"), F.lit(False).alias("success"),
                                     F.lit(None).cast("bigint").alias("failed"),
-                                    F.lit("Error running check: missing column").alias("details")))
+                                    F.lit(f"Error running check: {error}").alias("details")))
             continue
         aggs.append(_counter(kind, args).alias(f"c{i}"))
         n = F.col(f"c{i}")
@@ -239,21 +244,22 @@ def quality_report(checks: DataFrame) -> DataFrame:
         .withColumn("table_name", F.coalesce("table_name", F.lit("__all__"))))
 
 
+def _row_rules(df: DataFrame, table: str, kinds=None) -> list[tuple[str, dict]]:
+    """The row-level rules of ``table`` whose columns ``df`` has."""
+    return [(kind, args) for kind, args in RULES.get(table, {}).get("checks", [])
+            if kind in (kinds or ROW_KINDS) and all(args[k] in df.columns for k in ("column", "start", "end") if k in args)]
+
+
 def quality_violations(df: DataFrame, table: str, key: str) -> DataFrame:
     """The offending rows of the row-level rules of ``table``:
-    (table_name, check_name, key) with ``key`` the row's identifying column."""
-    out = None
-    for kind, args in RULES.get(table, {}).get("checks", []):
-        if kind in ("min_rows", "unique"):
-            continue
-        cols = [args[k] for k in ("column", "start", "end") if k in args]
-        if any(c not in df.columns for c in cols):
-            continue
-        part = df.where(_violations(kind, args)).select(
-            F.lit(table).alias("table_name"), F.lit(check_name(kind, args)).alias("check_name"),
-            F.col(key).cast("string").alias("key"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    (table_name, check_name, key) with ``key`` the row's identifying column.
+    One scan: a row becomes one output row per rule that it breaks."""
+    rules = _row_rules(df, table)
+    if not rules:
+        return None
+    broken = F.array_compact(F.array(*[F.when(_violations(kind, args), F.lit(check_name(kind, args))) for kind, args in rules]))
+    return df.select(F.lit(table).alias("table_name"), F.explode(broken).alias("check_name"),
+                     F.col(key).cast("string").alias("key"))
 
 
 def duplicate_keys(df: DataFrame, table: str) -> DataFrame:
@@ -281,17 +287,13 @@ def invalid_values(df: DataFrame, table: str, per_check: int = 10) -> DataFrame:
     ``valid_values`` rule, at most ``per_check`` (smallest first) per rule.
     Distinct values are aggregated map-side, so a value repeated by a third
     of all rows is one row before the shuffle."""
-    from pyspark.sql import Window
-    out = None
-    for kind, args in RULES.get(table, {}).get("checks", []):
-        if kind != "valid_values" or args["column"] not in df.columns:
-            continue
-        c = F.col(args["column"]).cast("string")
-        part = (df.where(_violations(kind, args)).select(c.alias("value")).distinct()
-                .select(F.lit(table).alias("table_name"), F.lit(check_name(kind, args)).alias("check_name"),
-                        "value"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    rules = _row_rules(df, table, ("valid_values",))
+    if not rules:
         return None
+    bad = F.array_compact(F.array(*[
+        F.when(_violations(kind, args), F.struct(F.lit(check_name(kind, args)).alias("check_name"),
+                                                 F.col(args["column"]).cast("string").alias("value")))
+        for kind, args in rules]))
+    out = df.select(F.lit(table).alias("table_name"), F.inline(bad)).distinct()
     w = Window.partitionBy("table_name", "check_name").orderBy("value")
     return out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_check).drop("n")

@@ -33,6 +33,7 @@ WIRE_SCHEMA = T.StructType([
     T.StructField("batch_id", T.IntegerType()),
     T.StructField("total_batches", T.IntegerType()),
     T.StructField("records", T.ArrayType(T.MapType(T.StringType(), T.StringType()))),
+    T.StructField("_corrupt_record", T.StringType()),      # the text of a malformed line, kept with the rejects
 ])
 
 # per-write option: replace only the partitions this epoch writes (no session-wide change)
@@ -118,12 +119,11 @@ def _process(batch: DataFrame, epoch_id: int, store_dir: str) -> None:
 
 
 def ingest(spark: SparkSession, landing_dir: str, store_dir: str, checkpoint: str,
-           max_files_per_trigger: int | None = None):
+           max_files_per_trigger: int = 1000):
     """Run the ingest stream over everything in ``landing_dir`` and stop
-    (``availableNow``); returns the finished StreamingQuery."""
-    reader = spark.readStream.schema(WIRE_SCHEMA)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    (``availableNow``), ``max_files_per_trigger`` files to a micro-batch;
+    returns the finished StreamingQuery."""
+    reader = spark.readStream.schema(WIRE_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
     src = (reader.json(landing_dir)
            .withColumn("source", F.col("_metadata.file_path"))
            .withColumn("arrived", F.col("_metadata.file_modification_time")))
