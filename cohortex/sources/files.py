@@ -87,8 +87,9 @@ def write_if_absent(df: DataFrame, path: str) -> bool:
 
 
 def append_report(df: DataFrame, path: str, run_id: str) -> None:
-    """Reports are appended as rows, partitioned by run."""
-    df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").json(path)
+    """Report rows, partitioned by run; a repeated run replaces its rows."""
+    (df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_id").json(path))
 
 
 def model_features(features: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from cohortex.operators import features as FT
 from cohortex.operators import quality as QX
 from cohortex.operators import topk as TK
+from cohortex.session import checkpoint_dir
+from cohortex.sources import files as FS
 from cohortex.streaming import ingest as IN
 
 
@@ -78,3 +80,22 @@ def test_a_late_batch_does_not_change_a_committed_version(spark, tmp_path):
     send(2, 3)
     assert IN.commit_version(spark, store, "v1", out, {"people": ["a"]}).collect() == first
     assert IN.read_committed(spark, out, "v1", "people").count() == 3 and first[0]["total_records"] == 3
+
+
+def test_a_repeated_run_replaces_its_report_rows(spark, tmp_path):
+    path = str(tmp_path / "report")
+    for run, n in (("a", 2), ("b", 1), ("a", 3)):
+        FS.append_report(spark.range(n), path, run)
+    assert {r["run_id"]: r["count"] for r in spark.read.json(path).groupBy("run_id").count().collect()} == {"a": 3, "b": 1}
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Cluster)
