@@ -671,6 +671,9 @@ SELECT version, "table", count(DISTINCT batch_id) AS n_batches, sum(records_coun
        max(total_batches) AS total_batches,
        CAST(greatest(max(total_batches) - count(DISTINCT batch_id), 0) AS BIGINT) AS n_missing
 FROM batches GROUP BY version, "table\"""")
+oracle("missing_batches", with_(*_ALL_CTES, extra=COUNTS_CTE + ",\n" + BATCHES_CTE) + """
+SELECT version, "table", batch_id FROM batches WHERE batch_id % 3 = 0
+  AND batch_id <= (SELECT max(b.total_batches) FROM batches b WHERE b."table" = batches."table")""")
 oracle("version_completeness", with_(*_ALL_CTES, extra=COUNTS_CTE) + """
 SELECT 'v1' AS version, count(*) AS n_tables,
        list_sort(list_filter(['people', 'transaction', 'offer', 'merchant'],

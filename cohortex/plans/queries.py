@@ -458,6 +458,13 @@ def q_batch_manifest(spark, d):
     return IN.batch_manifest(IN.read_manifest(spark, ingest_all(spark, d, duplicate_first=False)))
 
 
+@query
+def q_missing_batches(spark, d):
+    """The ids that a version still waits for, when every third batch is not there yet."""
+    manifest = IN.read_manifest(spark, ingest_all(spark, d, duplicate_first=False))
+    return IN.missing_batches(manifest.where(F.col("batch_id") % 3 != 0))
+
+
 @query
 def q_version_completeness(spark, d):
     return IN.version_completeness(IN.read_manifest(spark, ingest_all(spark, d, duplicate_first=False)))

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# logical table -> physical file stem of the JSON-lines layout
+# Logical table -> physical file stem of the JSON-lines layout
 PHYSICAL_NAMES = {
     "people": "prod_clients", "segments": "prizm_segments", "transaction": "prod_financial_transaction",
     "offer": "t_offer", "merchant": "t_merchant", "financial_account": "financial_account",
@@ -46,12 +47,36 @@ def scan_batches(spark: SparkSession, version_dir: str, table: str, columns: lis
     return df.withColumn("batch_id", bid)
 
 
+def load_table(spark: SparkSession, data_dir: str, table: str, columns: list[str]) -> DataFrame | None:
+    """S2 + S3: one table from a folder of JSON-lines files, by its logical
+    or its physical name: the committed file ``<name>.jsonl``, else all
+    ``<name>_batch_<n>.jsonl`` as one read. ``batch_id`` is ``n`` as a number
+    (null for a committed file). None where the folder has neither."""
+    for name in dict.fromkeys((table, PHYSICAL_NAMES.get(table, table))):
+        for files in (f"{name}.jsonl", f"{name}_batch_*.jsonl"):
+            try:
+                df = spark.read.schema(string_schema(columns, corrupt=False)).json(os.path.join(data_dir, files))
+            except AnalysisException as e:
+                if e.getCondition() == "PATH_NOT_FOUND":
+                    continue
+                raise
+            number = F.regexp_extract(F.col("_metadata.file_path"), r"_batch_(\d+)\.jsonl", 1)
+            return df.withColumn("batch_id", F.nullif(number, F.lit("")).cast("int"))
+    return None
+
+
+def load_tables(spark: SparkSession, data_dir: str, columns: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """S3: the tables of ``columns`` that ``data_dir`` has; absent ones are left out."""
+    found = {name: load_table(spark, data_dir, name, cols) for name, cols in columns.items()}
+    return {name: df for name, df in found.items() if df is not None}
+
+
 def write_batch_files(df: DataFrame, version_dir: str, table: str, batch_col: str = "batch_id") -> None:
     """One JSON-lines folder per batch (``<table>/batch_id=<n>``),
-    values as text, the first write of a batch wins (an existing batch
+    values as text (NaN as null, S12), the first write of a batch wins (an existing batch
     folder is left alone by the ingest, see ``streaming.ingest``)."""
     cols = [c for c in df.columns if c not in (batch_col, "total_batches")]
-    (df.select(*[F.col(c).cast("string") for c in cols], batch_col)
+    (nan_to_null(df).select(*[F.col(c).cast("string") for c in cols], batch_col)
      .write.mode("append").partitionBy(batch_col).json(os.path.join(version_dir, table)))
 
 

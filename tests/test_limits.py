@@ -99,3 +99,19 @@ def test_a_cluster_without_a_shared_folder_is_refused():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_dir(Cluster)
+
+
+def test_tables_load_from_committed_and_batch_files_and_absent_ones_are_left_out(spark, tmp_path):
+    (tmp_path / "people.jsonl").write_text('{"a": "1"}\n{"a": "2"}\n')
+    for n in (2, 10):
+        (tmp_path / f"t_offer_batch_{n}.jsonl").write_text(f'{{"a": "{n}"}}\n')
+    got = FS.load_tables(spark, str(tmp_path), {t: ["a"] for t in ("people", "offer", "merchant")})
+    assert set(got) == {"people", "offer"}
+    assert sorted(r["a"] for r in got["people"].collect()) == ["1", "2"]
+    assert [(r["a"], r["batch_id"]) for r in got["offer"].orderBy("batch_id").collect()] == [("2", 2), ("10", 10)]
+
+
+def test_nan_is_written_as_null(spark, tmp_path):
+    df = spark.createDataFrame([(float("nan"), 1), (2.5, 1)], "x double, batch_id int")
+    FS.write_batch_files(df, str(tmp_path), "t")
+    assert sorted((r["x"] for r in FS.scan_batches(spark, str(tmp_path), "t", ["x"]).collect()), key=str) == ["2.5", None]
