@@ -165,6 +165,17 @@ def test_every_long_shared_passage_is_linked(docs, none, rows):
     assert fuzzy_passages.repeated_passages(none).count() == 0
 
 
+def test_a_passage_is_linked_when_all_its_seeds_belong_to_other_documents(spark):
+    rng = random.Random(13)
+    passage = prose(rng, 90).split(" ")
+    rows = [(i, " ".join([prose(rng, 40), *passage[i:i + 5], prose(rng, 40)])) for i in range(len(passage) - 4)]
+    both = {1000, 1001}
+    rows += [(k, " ".join([prose(rng, 50), *passage, prose(rng, 50)])) for k in both]
+    got = fuzzy_passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [{r["doc_id"], r["other_doc_id"]} for r in got] == [both]
+    assert got[0]["end"] - got[0]["start"] >= len(passage)
+
+
 def test_chains_score_like_the_quadratic_recurrence():
     rng = random.Random(6)
     for _ in range(200):
