@@ -11,7 +11,7 @@ the vocabulary counts its UTF-8 bytes (byte fallback).
 Pre-tokens begin at a space: no piece has a space after another character,
 so merges never cross into the next one (checked when the model is read).
 A text's pre-tokens that its task has seen before are taken from a bounded
-memo. Runs of more than ``LONG`` characters without a place where no piece
+memo, the others are merged ``BLOCK_CHARS`` characters at a time. Runs of more than ``LONG`` characters without a place where no piece
 can reach across are merged from a heap, one pair at a time.
 
 Defined results: a null text is empty and has no tokens; repeated rows are
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MEMO_WORDS = 500_000
+BLOCK_CHARS = 1 << 20
 LONG = 2048
 SPACE = "▁"
 _NONE = np.int64(1) << 30
@@ -164,6 +165,19 @@ def pretokens(text: str) -> list[str]:
     return [p[1:] for p in _PRETOKEN.findall(SPACE + text.replace(" ", SPACE))]
 
 
+def _blocks(words, chars: int = BLOCK_CHARS):
+    """Lists of words with about ``chars`` characters each."""
+    block, size = [], 0
+    for w in words:
+        block.append(w)
+        size += len(w) + 1
+        if size >= chars:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
 def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, chunk: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row."""
 
@@ -176,8 +190,8 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, chunk: int
                 words = [pretokens(t) for t in texts]
                 if len(memo) > MEMO_WORDS:
                     memo.clear()
-                new = list({w for ws in words for w in ws}.difference(memo))
-                memo.update(zip(new, model.counts([SPACE + w.replace(" ", SPACE) for w in new]).tolist()))
+                for block in _blocks({w for ws in words for w in ws}.difference(memo)):
+                    memo.update(zip(block, model.counts([SPACE + w.replace(" ", SPACE) for w in block]).tolist()))
                 n = np.array([sum(map(memo.__getitem__, ws)) for ws in words], np.int64)
                 size = np.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(n), pa.array(n > limit)],
