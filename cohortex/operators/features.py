@@ -177,8 +177,33 @@ def _tx_prepared(tx: DataFrame) -> DataFrame:
         F.col("transaction_id").isNotNull().alias("has_id"))
 
 
-def tx_window_features(tx: DataFrame, ref: Column | None = None,
-                       windows=tuple(FV.TX_WINDOWS), with_total_merchants: bool = False) -> DataFrame:
+def _window_parts(windows, ref: Column) -> list[Column]:
+    """Per-group partial counts and sums of every trailing window."""
+    parts = []
+    for d in windows:
+        w = F.col("ts") >= window_start(ref, d)
+        parts += [F.count_if(w & F.col("has_id")).alias(f"n_id_{d}"),
+                  F.count_if(w).alias(f"n_{d}"),
+                  F.sum(F.when(w, F.col("amount"))).alias(f"s_{d}"),
+                  F.sum(F.when(w, F.col("online"))).alias(f"o_{d}")]
+    return parts
+
+
+def _window_totals(windows) -> list[Column]:
+    """The window features of a user from its merchants' partial ones."""
+    out = []
+    for d in windows:
+        n = F.sum(f"n_{d}")
+        out += [F.sum(f"n_id_{d}").alias(f"tx_count_{d}d"),
+                F.coalesce(F.sum(f"s_{d}"), F.lit(0.0)).alias(f"tx_amount_sum_{d}d"),
+                F.coalesce(F.try_divide(F.sum(f"s_{d}"), n), F.lit(0.0)).alias(f"tx_amount_avg_{d}d"),
+                F.coalesce(F.try_divide(F.sum(f"o_{d}"), n), F.lit(0.0)).alias(f"online_share_{d}d"),
+                F.count_if(F.col("merchant").isNotNull()
+                           & (F.col("last_ts") >= window_start(F.col("ref"), d))).alias(f"unique_merchants_{d}d")]
+    return out
+
+
+def tx_window_features(tx: DataFrame, ref: Column | None = None, windows=tuple(FV.TX_WINDOWS)) -> DataFrame:
     """A1 + F1 + P3/P4: trailing-window aggregates for all windows in one scan.
 
     Distinct merchants per window use a two-level aggregate: (user, merchant)
@@ -187,46 +212,61 @@ def tx_window_features(tx: DataFrame, ref: Column | None = None,
     distinct aggregates and stays combinable map-side.
     """
     ref = reference_timestamp(tx) if ref is None else ref
-    t = _tx_prepared(tx).withColumns({f"in_{d}": F.col("ts") >= window_start(ref, d) for d in windows})
-    lvl1 = []
-    for d in windows:
-        w = F.col(f"in_{d}")
-        lvl1 += [F.count_if(w & F.col("has_id")).alias(f"n_id_{d}"),
-                 F.count_if(w).alias(f"n_{d}"),
-                 F.sum(F.when(w, F.col("amount"))).alias(f"s_{d}"),
-                 F.sum(F.when(w, F.col("online"))).alias(f"o_{d}")]
-    per_merchant = (t.groupBy("user_id", "merchant")
-                    .agg(*lvl1, F.max("ts").alias("last_ts"))
+    per_merchant = (_tx_prepared(tx).groupBy("user_id", "merchant")
+                    .agg(*_window_parts(windows, ref), F.max("ts").alias("last_ts"))
                     .withColumn("ref", ref))
-    lvl2 = []
-    for d in windows:
-        n = F.sum(f"n_{d}")
-        lvl2 += [F.sum(f"n_id_{d}").alias(f"tx_count_{d}d"),
-                 F.coalesce(F.sum(f"s_{d}"), F.lit(0.0)).alias(f"tx_amount_sum_{d}d"),
-                 F.coalesce(F.try_divide(F.sum(f"s_{d}"), n), F.lit(0.0)).alias(f"tx_amount_avg_{d}d"),
-                 F.coalesce(F.try_divide(F.sum(f"o_{d}"), n), F.lit(0.0)).alias(f"online_share_{d}d"),
-                 F.count_if(F.col("merchant").isNotNull()
-                            & (F.col("last_ts") >= window_start(F.col("ref"), d)))
-                 .alias(f"unique_merchants_{d}d")]
-    if with_total_merchants:      # free at the (user, merchant) level; spares a distinct elsewhere
-        lvl2.append(F.count_if(F.col("merchant").isNotNull()).alias("unique_merchants_total"))
-    return per_merchant.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(*lvl2)
-
-
-def tx_total_features(tx: DataFrame, merchants: bool = True) -> DataFrame:
-    """A2: all-time aggregates; sample std of one row is NULL -> 0. With
-    ``merchants=False`` the distinct-merchant count is left to
-    ``tx_window_features`` and only one distinct aggregate remains (no Expand)."""
+    return per_merchant.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(*_window_totals(windows))
+
+
+def tx_total_features(tx: DataFrame) -> DataFrame:
+    """A2: all-time aggregates; sample std of one row is NULL -> 0."""
+    t = _tx_prepared(tx).where(F.col("user_id").isNotNull())
+    return t.groupBy("user_id").agg(
+        F.count_if(F.col("has_id")).alias("tx_count_total"),
+        F.sum("amount").alias("tx_amount_sum_total"),
+        F.avg("amount").alias("tx_amount_avg_total"),
+        F.coalesce(F.stddev_samp("amount"), F.lit(0.0)).alias("tx_amount_std_total"),
+        F.avg("online").cast("double").alias("online_share_total"),
+        F.count_distinct("merchant").alias("unique_merchants_total"),
+        F.count_distinct("brand").alias("unique_brands_total"))
+
+
+def tx_features(tx: DataFrame, ref: Column, windows=tuple(FV.TX_WINDOWS)) -> DataFrame:
+    """A1 + A2 in one scan: the columns of ``tx_window_features`` and
+    ``tx_total_features``.
+
+    Every transaction counts once under its merchant, with all measures, and
+    once under its brand, which is only there to be counted; partial rows per
+    (user, merchant or brand) combine map-side and roll up per user. The
+    deviation comes from sums of squares: amounts are values of a fixed code
+    map, so these sums are exact.
+    """
     t = _tx_prepared(tx).where(F.col("user_id").isNotNull())
-    aggs = [F.count_if(F.col("has_id")).alias("tx_count_total"),
-            F.sum("amount").alias("tx_amount_sum_total"),
-            F.avg("amount").alias("tx_amount_avg_total"),
-            F.coalesce(F.stddev_samp("amount"), F.lit(0.0)).alias("tx_amount_std_total"),
-            F.avg("online").cast("double").alias("online_share_total")]
-    if merchants:
-        aggs.append(F.count_distinct("merchant").alias("unique_merchants_total"))
-    aggs.append(F.count_distinct("brand").alias("unique_brands_total"))
-    return t.groupBy("user_id").agg(*aggs)
+    no = lambda c: F.lit(None).cast(t.schema[c].dataType).alias(c)
+    under = F.explode(F.array(F.struct(F.lit(False).alias("is_brand"), "merchant", no("brand")),
+                              F.struct(F.lit(True).alias("is_brand"), no("merchant"), "brand")))
+    measures = ["ts", "amount", "online", "has_id"]
+    e = t.select("user_id", *measures, under.alias("u")).select("user_id", "u.*", *measures)
+    own = ~F.col("is_brand")
+    e = (e.where(own | F.col("brand").isNotNull())
+         .withColumns({c: F.when(own, F.col(c)) for c in measures}))
+    parts = (e.groupBy("user_id", "is_brand", "merchant", "brand")
+             .agg(*_window_parts(windows, ref), F.max("ts").alias("last_ts"),
+                  F.count_if("has_id").alias("n_id"), F.count("amount").alias("n"), F.sum("amount").alias("s"),
+                  F.sum(F.col("amount") * F.col("amount")).alias("sq"),
+                  F.count("online").alias("n_online"), F.sum("online").alias("o"))
+             .withColumn("ref", ref))
+    n, s = F.sum("n"), F.sum("s")
+    spread = F.greatest(F.sum("sq") - s * s / n, F.lit(0.0))
+    return parts.groupBy("user_id").agg(
+        *_window_totals(windows),
+        F.sum("n_id").alias("tx_count_total"),
+        s.alias("tx_amount_sum_total"),
+        F.try_divide(s, n).alias("tx_amount_avg_total"),
+        F.coalesce(F.sqrt(F.when(n > 1, spread / (n - 1))), F.lit(0.0)).alias("tx_amount_std_total"),
+        F.try_divide(F.sum("o"), F.sum("n_online")).cast("double").alias("online_share_total"),
+        F.count_if(F.col("merchant").isNotNull()).alias("unique_merchants_total"),
+        F.count_if("is_brand").alias("unique_brands_total"))
 
 
 # ---------------------------------------------------------------- receipts
@@ -348,8 +388,7 @@ def feature_table(tables: dict, ref: Column | None = None,
     if "transaction" in tables:
         tx = tables["transaction"]
         ref = reference_timestamp(tx) if ref is None else ref
-        feats = (feats.join(tx_window_features(tx, ref, with_total_merchants=True), "user_id", "left")
-                 .join(tx_total_features(tx, merchants=False), "user_id", "left"))
+        feats = feats.join(tx_features(tx, ref), "user_id", "left")
     elif ref is None:
         ref = C.today()
     if "receipts" in tables:

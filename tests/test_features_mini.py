@@ -1,8 +1,11 @@
 """Golden values of the mini data set (FIXTURES.md section 2)."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from cohortex.functions import fixed_values as FV
 from cohortex.operators import features as FT
 from cohortex.operators import interactions as IX
 from cohortex.operators import merchants as MX
@@ -111,3 +114,20 @@ def test_single_row_std_and_lenient(spark):
     r = FT.tx_total_features(tx).collect()[0]
     assert r["tx_amount_std_total"] == 0.0 and r["tx_amount_sum_total"] == 0.0
     assert r["online_share_total"] == 1.0     # the text '1' is online (D8)
+
+
+def test_one_pass_transactions_equal_windows_and_totals(spark):
+    rng = random.Random(5)
+    pick = lambda *v: rng.choice([None, *v])
+    rows = [(pick(1, 2), pick(*range(12)), pick(7, 8, 9), f"2025-0{rng.randint(1, 6)}-1{rng.randint(0, 9)}" if rng.random() < 0.9 else "bad",
+             pick(*FV.AMOUNT_BUCKET_VALUES), pick("Y", "N", "1"), pick("7", "8", "b")) for _ in range(400)]
+    tx = spark.createDataFrame(rows, "transaction_id long, user_id long, merchant_id_tx long, event_date string, "
+                                     "amount_bucket string, online_transaction_flg string, brand_dk string")
+    ref = F.lit("2025-06-19").cast("timestamp_ntz")
+    want = {r["user_id"]: r.asDict() for r in
+            FT.tx_window_features(tx, ref).join(FT.tx_total_features(tx), "user_id").collect()}
+    got = {r["user_id"]: r.asDict() for r in FT.tx_features(tx, ref).collect()}
+    assert got.keys() == want.keys() and len(got) == 12
+    for user, row in want.items():
+        assert got[user].keys() == row.keys()
+        assert got[user] == pytest.approx(row)
