@@ -6,7 +6,7 @@ Wire format (one JSON object per line, any number per file):
 ``ingest`` is a Structured Streaming query (file source, ``availableNow``)
 whose ``foreachBatch`` keeps the FIRST arrival of every
 (version, table, batch_id): duplicates inside a micro-batch lose to the
-earliest file, and keys already in the manifest table are dropped by an
+earliest file and, within a file, the earliest line, and keys already in the manifest table are dropped by an
 anti join. The manifest is the state; it is a table, so it survives driver
 and executor loss, and it grows by one row per batch (not per record).
 
@@ -90,13 +90,14 @@ def _process(batch: DataFrame, epoch_id: int, store_dir: str) -> None:
     manifest_dir = os.path.join(store_dir, "manifest")
     valid = F.col("table").isin(*FV.TABLE_NAMES) & (F.col("batch_id") >= 1) & (F.col("total_batches") >= 1)
     rejected = batch.where(~valid | valid.isNull())
-    rejected.withColumn("epoch_id", F.lit(epoch_id)).write.mode("overwrite").option(*DYNAMIC) \
+    rejected.drop("block").withColumn("epoch_id", F.lit(epoch_id)).write.mode("overwrite").option(*DYNAMIC) \
         .partitionBy("epoch_id").json(os.path.join(store_dir, "rejected"))
-    # earliest copy per key; min_by combines map-side, so even a batch re-sent a
-    # million times reaches its reducer as one row per task
-    first = (batch.where(valid).groupBy("version", "table", "batch_id")
+    # earliest copy per key: by file, then by the line's place in it; min_by combines map-side,
+    # so even a batch re-sent a million times reaches its reducer as one row per task
+    first = (batch.withColumn("line", F.monotonically_increasing_id())      # ascending within a block of a file
+             .where(valid).groupBy("version", "table", "batch_id")
              .agg(F.min_by(F.struct("total_batches", "records", "source", "arrived"),
-                           F.struct("arrived", "source")).alias("b"))
+                           F.struct("arrived", "source", "block", "line")).alias("b"))
              .select("version", "table", "batch_id", "b.*"))
     try:
         seen = (spark.read.schema(MANIFEST_SCHEMA).parquet(manifest_dir)
@@ -126,6 +127,7 @@ def ingest(spark: SparkSession, landing_dir: str, store_dir: str, checkpoint: st
     reader = spark.readStream.schema(WIRE_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
     src = (reader.json(landing_dir)
            .withColumn("source", F.col("_metadata.file_path"))
+           .withColumn("block", F.col("_metadata.file_block_start"))
            .withColumn("arrived", F.col("_metadata.file_modification_time")))
     q = (src.writeStream.foreachBatch(lambda df, eid: _process(df, eid, store_dir))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

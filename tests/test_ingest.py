@@ -1,5 +1,6 @@
 """Ingest idempotency: first write wins, re-sending changes nothing."""
 
+import json
 import os
 import tempfile
 
@@ -61,3 +62,22 @@ def test_batch_assign(spark):
     assert {r["batch_id"] for r in rows} == {1, 2, 3, 4, 5}
     assert all(r["total_batches"] == 5 for r in rows)
     assert all(r["batch_id"] == r["ordinal"] // 5 + 1 for r in rows)
+
+
+def test_first_line_of_a_file_wins(spark):
+    root = tempfile.mkdtemp(prefix="ingest-test-")
+    landing, store = os.path.join(root, "landing"), os.path.join(root, "store")
+    os.makedirs(landing)
+    lines = [json.dumps({"version": "v1", "table": "people", "batch_id": 1 + i % 3, "total_batches": 3,
+                         "records": [{"user_id": str(i)}] * (1 + i // 3)}) for i in range(600)]
+    with open(os.path.join(landing, "part-0.json"), "w") as f:
+        f.write("\n".join([*lines, "{not json", ""]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")                # several blocks of one file
+    try:
+        IN.ingest(spark, landing, store, os.path.join(root, "ckpt"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    raw = spark.read.parquet(os.path.join(store, "raw")).select("batch_id", F.col("record")["user_id"]).collect()
+    assert sorted(map(tuple, raw)) == [(1, "0"), (2, "1"), (3, "2")]
+    rejected = [json.loads(r["value"]) for r in spark.read.text(os.path.join(store, "rejected")).collect()]
+    assert [r["_corrupt_record"] for r in rejected] == ["{not json"]
