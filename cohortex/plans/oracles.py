@@ -432,12 +432,13 @@ _DRIFT_COLS = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l
 _QS = "[" + ", ".join(f"{i / 10:.1f}" for i in range(11)) + "]"
 # numpy's linear percentile, stated directly: levels linspace(0, 100, 11) / 100 as doubles
 _QS_DOUBLE = "[" + ", ".join(f"{i / 10:.1f}::DOUBLE" for i in range(11)) + "]"
-PSI_CTE = f"""sides AS (
+def _psi_cte(columns: list[str]) -> str:
+    return f"""sides AS (
   SELECT CASE WHEN l_shipdate < TIMESTAMP '1998-01-01' THEN 'reference' ELSE 'current' END AS side,
-         {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _DRIFT_COLS)}
+         {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in columns)}
   FROM lineitem),
 long AS (
-  SELECT * FROM (UNPIVOT sides ON {", ".join(_DRIFT_COLS)} INTO NAME column_name VALUE value)
+  SELECT * FROM (UNPIVOT sides ON {", ".join(columns)} INTO NAME column_name VALUE value)
   WHERE value IS NOT NULL AND NOT isnan(value)),
 ordered AS (
   SELECT column_name, list_sort(list(value)) AS xs, count(*) AS n
@@ -483,7 +484,13 @@ per_col AS (
   SELECT es.column_name, coalesce(psi.psi, 0.0) AS psi, coalesce(psi.psi, 0.0) > 0.5 AS drifted
   FROM edges_sorted es LEFT JOIN psi USING (column_name))"""
 
+
+PSI_CTE = _psi_cte(_DRIFT_COLS)
 oracle("drift_psi", "WITH " + PSI_CTE + "\nSELECT column_name, round(psi, 6) AS psi, drifted FROM per_col")
+# every numeric column that both sides have; the empty one counts as not drifted
+oracle("drift_common_columns", "WITH " + _psi_cte(["l_orderkey", "l_partkey", "l_suppkey", *_DRIFT_COLS]) + """
+SELECT column_name, round(psi, 6) AS psi, drifted FROM per_col
+UNION ALL SELECT 'l_empty', 0.0, false""")
 oracle("drift_report", "WITH " + PSI_CTE + """
 SELECT (coalesce(count(*) FILTER (WHERE drifted) / count(*), 0) > 0.01 OR coalesce(avg(psi), 0) > 0.1)
          AS drift_detected,

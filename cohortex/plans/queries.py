@@ -253,6 +253,14 @@ def q_drift_psi(spark, d):
     return round_doubles(DX.psi_by_column(ref, cur, DRIFT_COLUMNS))
 
 
+@query
+def q_drift_common_columns(spark, d):
+    """P18 + U5: PSI of every numeric column that both sides have, an empty
+    one among them; text, dates and a column of one side only stay out."""
+    ref, cur = (x.withColumn("l_empty", F.lit(None).cast("double")) for x in drift_sides(spark, d))
+    return round_doubles(DX.psi_by_column(ref, cur.withColumn("l_new", F.col("l_tax") + 1)))
+
+
 @query
 def q_drift_report(spark, d):
     ref, cur = drift_sides(spark, d)
