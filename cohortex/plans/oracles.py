@@ -759,3 +759,9 @@ oracle("evaluate_als", _SIDES + """
 SELECT true AS map_in_range, count(DISTINCT user_id) AS num_test_users, 100 AS k,
        count(DISTINCT user_id) FILTER (WHERE user_id NOT IN (SELECT user_id FROM train)) AS n_cold_users
 FROM test""")
+# a first run is its own reference: no drift, and a model where there was none
+oracle("offline_run", with_(*_ALL_CTES, extra=SIDES_CTE + ",\n" + QUALITY_CTE) + """
+SELECT 'v1' AS version, bool_and(success) AS valid, count(*) FILTER (WHERE NOT success) AS checks_failed,
+       false AS drift_detected, 0.0::DOUBLE AS drift_score, true AS retrained, true AS map_in_range,
+       (SELECT count(DISTINCT user_id) FROM test) AS num_test_users
+FROM checks""")

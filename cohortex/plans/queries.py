@@ -581,4 +581,6 @@ def q_model_roundtrip(spark, d):
 
 @query
 def q_offline_run(spark, d):
-    return OR.run_version(spark, bind(spark, d), _fresh(spark, "run"), VERSION, INTERACTION_REFERENCE_DATE)
+    """The summary of a first run; of its evaluation, what a fit leaves determined."""
+    run = OR.run_version(spark, bind(spark, d), _fresh(spark, "run"), VERSION, INTERACTION_REFERENCE_DATE)
+    return run.withColumn("map_in_range", F.col("map_at_k").between(0.0, 1.0)).drop("map_at_k")
