@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohortex.operators import features as FT
 from cohortex.operators import quality as QX
 from cohortex.operators import topk as TK
+from cohortex.plans import queries as QR
 from cohortex.session import checkpoint_dir
 from cohortex.sources import files as FS
 from cohortex.streaming import ingest as IN
@@ -115,3 +116,21 @@ def test_nan_is_written_as_null(spark, tmp_path):
     df = spark.createDataFrame([(float("nan"), 1), (2.5, 1)], "x double, batch_id int")
     FS.write_batch_files(df, str(tmp_path), "t")
     assert sorted((r["x"] for r in FS.scan_batches(spark, str(tmp_path), "t", ["x"]).collect()), key=str) == ["2.5", None]
+
+
+def test_als_audience_invariants(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = QR.QUERIES["als_audience"](spark, sf).collect()
+    requests = {r["request_id"]: r for r in QR.offer_requests(spark, sf).collect()}
+    customers = {(r["merchant_id"], r["user_id"]) for r in QR.QUERIES["existing_customers"](spark, sf).collect()}
+    inter = {(r["offer_id"], r["user_id"]) for r in QR.interactions_of(spark, sf).collect()}
+    ranks = {}
+    for r in rows:
+        ranks.setdefault(r["request_id"], []).append(r["rank"])
+        assert (r["status"] == "ok") == (r["user_id"] is not None)
+        if r["status"] == "ok":
+            assert (r["merchant_id"], r["user_id"]) not in customers and (r["offer_id"], r["user_id"]) not in inter
+    assert ranks.keys() == requests.keys()
+    for k, got in ranks.items():
+        assert got == [None] or sorted(got) == list(range(1, len(got) + 1)) and len(got) <= requests[k]["top_n"]
+    assert any(r["status"] == "ok" for r in rows)
