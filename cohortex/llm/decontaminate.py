@@ -1,18 +1,23 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A mask names the positions of a short window that count and ignores the
-others, so a window still matches after substitutions at ignored places.
+others, so a window still matches after substitutions at ignored places;
+13 to 24 words of which 80 % are equal have a window that matches.
 Every window of the benchmark is hashed under every mask; in the tasks
 every window of every whole document is hashed too and joined with the
 benchmark's hashes. Around each hit the item is laid over the document
-without gaps, and the best-scoring stretch must be long and equal enough.
+without gaps; the best-scoring stretch is taken if it is long and equal
+enough, else the longest stretch that is.
 
 The benchmark is read in blocks of a bounded number of bytes, each
 broadcast for one scan of the documents; a usual benchmark is one block.
 Documents are never shuffled.
 
-Words are runs between ASCII white space and punctuation, in lower case. Items shorter than a mask are hashed whole; those with fewer than
-``SHORTEST`` words cannot tell a leak from chance and never match.
+Words are runs between ASCII white space and punctuation, in lower case.
+Items of up to ``WHOLE`` words also have masks of their own length, of which
+one at least misses every substitution that ``SIMILARITY`` allows; those
+with fewer than ``SHORTEST`` words cannot tell a leak from chance and never
+match.
 
 Defined results: a null or empty text or item has no words and no match;
 equal items match each; repeated documents are reported each; an empty
@@ -23,14 +28,15 @@ table gives an empty result; other columns are ignored, or carried by
 from __future__ import annotations
 
 import string
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MASKS = ("111010011", "1100101011", "110110101", "10110001101")
-SHORTEST, LONG_ENOUGH, SIMILARITY, MISMATCH = 5, 13, 0.8, -3
+MASKS = ("111010011", "1100101011", "110110101", "10110001101", "11010111")
+SHORTEST, LONG_ENOUGH, WHOLE, SIMILARITY, MISMATCH = 5, 13, 12, 0.8, -3
 BLOCK_BYTES = 16 << 20
 _TABLE = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
@@ -51,6 +57,14 @@ def _hash(ids: np.ndarray, places: list[int], n: int) -> np.ndarray:
     return np.where(known, out, 0)
 
 
+def masks_of_length(n: int) -> list[str]:
+    """Masks of ``n`` places: two of as many blocks as substitutions are
+    allowed and two more, so that one mask has none of them."""
+    allowed = n - int(np.ceil(SIMILARITY * n - 1e-9))
+    block = [i * (allowed + 2) // n for i in range(n)]
+    return ["".join("1" if b in two else "0" for b in block) for two in combinations(range(allowed + 2), 2)]
+
+
 class SeedIndex:
     """The seeds of one block of benchmark items."""
 
@@ -68,15 +82,14 @@ class SeedIndex:
             words = words_of(text)
             if len(words) >= SHORTEST:
                 self.items.append((item_id, np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)))
-        least = min(map(len, MASKS))
-        short = sorted({len(ids) for _, ids in self.items if len(ids) < least})
-        masks = [*MASKS, *("1" * n for n in short)]
+        short = sorted({len(ids) for _, ids in self.items if len(ids) <= WHOLE})
+        masks = [*((m, 0) for m in MASKS), *((m, n) for n in short for m in masks_of_length(n))]
         self.seeds = []                                     # per mask: places, span, sorted hashes, item, position
-        for mask in masks:
+        for mask, length in masks:                          # length 0: every window of every item
             places, rows = [i for i, c in enumerate(mask) if c == "1"], []
             for k, (_, ids) in enumerate(self.items):
                 n = len(ids) - len(mask) + 1
-                if n > 0 and (mask in MASKS or len(ids) == len(mask)):
+                if n > 0 and length in (0, len(ids)):
                     rows += [(h, k, q) for q, h in enumerate(_hash(ids, places, n).tolist())]
             rows.sort()
             self.seeds.append((places, len(mask), np.array([r[0] for r in rows], np.uint64),
@@ -110,17 +123,37 @@ class SeedIndex:
 
 def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
     """(item_start, n_words, n_equal) of the best stretch of ``item`` laid
-    over ``doc`` at ``shift``; None if it is too short or too different."""
+    over ``doc`` at ``shift``, or the longest if that one is too short or too
+    different; None if all are."""
     lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
     same = item[lo:hi] == doc[lo + shift:hi + shift]
+    least = min(LONG_ENOUGH, len(item))
+    if same.sum() < SIMILARITY * least:
+        return None
     total = np.concatenate(([0], np.cumsum(np.where(same, 1, MISMATCH))))
     floor = np.minimum.accumulate(total)
     end = int(np.argmax(total - floor))
     start = int(np.flatnonzero(total[:end + 1] == floor[end])[-1])
-    n, equal = end - start, int(same[start:end].sum())
-    if n < min(LONG_ENOUGH, len(item)) or equal < SIMILARITY * n:
+    if end - start < least or same[start:end].sum() < SIMILARITY * (end - start):
+        start, end = longest_similar(same, SIMILARITY, least)
+    if end - start < least:
         return None
-    return lo + start, n, equal
+    return lo + start, end - start, int(same[start:end].sum())
+
+
+def longest_similar(same: np.ndarray, similarity: float, least: int) -> tuple[int, int]:
+    """The longest stretch with a share of at least ``similarity`` equal;
+    unequal words at its ends go, down to ``least`` words."""
+    total = np.concatenate(([0], np.cumsum(same))) - similarity * np.arange(len(same) + 1)
+    ahead = np.maximum.accumulate(total[::-1])              # the largest total from a place on, last place first
+    ends = len(same) - np.searchsorted(ahead, total - 1e-9, "left")
+    start = int(np.argmax(ends - np.arange(len(ends))))
+    end = int(ends[start])
+    while end - start > least and not same[end - 1]:
+        end -= 1
+    while end - start > least and not same[start]:
+        start += 1
+    return start, end
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int):

@@ -406,6 +406,35 @@ def test_leaks_are_found_through_substitutions(spark, docs, none):
     assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(some, bench.limit(0)).count() == 0
 
 
+def test_one_and_two_substitutions_at_every_place_of_an_item_are_found():
+    for n in (5, 6, 8, 9, 10, 12, 13, 14, 15, 17, 20):
+        item = [f"w{i}" for i in range(n)]
+        index = decontaminate.SeedIndex([(7, " ".join(item))])
+        for places in [(i, j) for i in range(n) for j in range(i, n)]:
+            text = ["zz" if i in places else w for i, w in enumerate(item)]
+            found = index.matches(" ".join(["before"] * 30 + text + ["after"] * 30))
+            if len(set(places)) > 0.2 * n + 1e-9:
+                assert not found, (n, places)
+            else:
+                assert [f[0] for f in found] == [7], (n, places)
+                assert found[0][3] >= min(13, n) and found[0][4] >= 0.8 * found[0][3]
+
+
+def test_overlap_takes_a_stretch_exactly_when_one_is_long_and_equal_enough():
+    rng = np.random.default_rng(4)
+    layouts = [np.tile([1] * 13 + [0] * 4, 6) > 0, np.ones(6, bool)]
+    layouts += [rng.random(n) < p for n in (6, 10, 13, 15, 20, 40, 70) for p in (0.7, 0.8, 0.9) for _ in range(60)]
+    for same in layouts:
+        item = np.arange(1, len(same) + 1)
+        got = decontaminate.overlap(np.where(same, item, 0), item, 0)
+        least = min(13, len(same))
+        any_ = any(same[a:b].sum() >= 0.8 * (b - a) for a in range(len(same)) for b in range(a + least, len(same) + 1))
+        assert (got is not None) == any_
+        if got:
+            a, n, equal = got
+            assert n >= least and equal == same[a:a + n].sum() and equal >= 0.8 * n
+
+
 # ------------------------------------------------------------------ secrets
 
 def brute_spans(text):
