@@ -11,7 +11,8 @@ full, and a lost task is repeated from the written table.
 Token ids are those of the ``tokenizers`` library. Texts of Latin letters
 are encoded by ``tiktoken`` from the same vocabulary file, which gives the
 same ids several times as fast; all else (other scripts, special strings, a
-vocabulary whose ids are not in merge order) goes through ``tokenizers``.
+vocabulary whose ids are not in merge order, very long runs of white space)
+goes through ``tokenizers``.
 
 Defined results: a null or empty text is one end token; a null doc_id is
 carried; repeated rows are packed each; an empty table gives an empty
@@ -34,6 +35,9 @@ from pyspark.sql import functions as F
 from cohortex.llm.common import written
 
 NOT_LATIN = re.compile("[^\x00-\u024f]")
+# The split of ``tiktoken`` overflows its stack on about a million of one kind in a row.
+LONG = 100_000
+LONG_RUN = re.compile(rf"\s{{{LONG}}}")
 # Fixed value: the split pattern of byte-level BPE.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -78,7 +82,8 @@ class Encoder:
         self.fast = _fast_encoder(vocabulary)
 
     def encode(self, text: str) -> bytes:
-        if self.fast and not NOT_LATIN.search(text) and not any(s in text for s in self.special):
+        long_run = len(text) >= LONG and LONG_RUN.search(text)
+        if self.fast and not long_run and not NOT_LATIN.search(text) and not any(s in text for s in self.special):
             ids = self.fast.encode_ordinary(text)
         else:
             ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids

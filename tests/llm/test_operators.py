@@ -303,6 +303,16 @@ def _digest(ids):
     return len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_a_very_long_run_of_white_space_is_encoded():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    encoder, tok = packing.Encoder(path), Tokenizer.from_file(path)
+    for text in (" " * 1_200_000, "a" + "\n " * 750_000 + "b", "x " * 60_000):
+        assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+
 # ------------------------------------------------------------- token counts
 
 ODD = ["a", "b", " ", "  ", "\n", "\t", "é", "é", "日本", "▁", "　", "<s>", "</s>", "<0x0A>", "\0", "😀", "the", "ing", "0", "ﬁ"]
