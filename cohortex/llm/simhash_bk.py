@@ -62,15 +62,18 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and ``fp`` (the fingerprint's bits as a signed long)."""
+def fingerprints(docs: DataFrame, shingle: int = 3, keep_text_hash: bool = False) -> DataFrame:
+    """doc_id and ``fp`` (the fingerprint's bits as a signed long), and
+    ``text_hash`` if asked for."""
+    names = ["doc_id", "fp", *["text_hash"] * keep_text_hash]
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.xxhash64("text").alias("text_hash")] * keep_text_hash)
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 # ----------------------------------------------------------------- BK-tree
@@ -242,24 +245,39 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 # ----------------------------------------------------------------- operator
 
+def _grouped(d: DataFrame, max_bits: int, tree_size: int) -> DataFrame:
+    """``d`` (doc_id, fp, ...) with ``root``, the same for all fingerprints
+    of a group. Fingerprints are the nodes: one doc_id can have several."""
+    fps = d.where("doc_id is not null").select("fp", F.col("fp").alias("node")).distinct()
+    roots = components(links(fps, max_bits, tree_size))
+    return d.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, tree_size: int = 4096) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (signed long) and
     component_id, the smallest doc_id reachable over links."""
     d = reliable(fingerprints(docs, shingle))
-    fps = d.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))
-    roots = components(links(fps, max_bits, tree_size))
-    named = fps.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    low = d.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    low = reliable(_grouped(low, max_bits, tree_size))
+    named = low.join(low.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("fp", "component_id")
     return d.join(named, "fp", "left").select(
         "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def one_per_group(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """The document with the smallest doc_id of each group, once, with the
-    columns of ``docs``. Rows without a doc_id belong to no group and stay."""
-    stay = (near_duplicates(docs, shingle, max_bits).where("doc_id = component_id")
-            .select(F.col("doc_id").alias("_stay")).distinct())
-    kept = docs.where("doc_id is not null").join(stay, F.col("doc_id") == F.col("_stay")).drop("_stay")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """Of each group the row with the smallest doc_id, fingerprint and text
+    hash, once, with the columns of ``docs``. Rows without a doc_id belong to
+    no group and stay."""
+    text = F.xxhash64("text")
+    d = reliable(fingerprints(docs, shingle, keep_text_hash=True)).where("doc_id is not null")
+    low = d.groupBy("fp").agg(F.min(F.struct("doc_id", "fp", "text_hash")).alias("low")).select("low.*")
+    first = _grouped(low, max_bits, 4096).groupBy("root").agg(F.min(F.struct("doc_id", "fp", "text_hash")).alias("first"))
+    stay = first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_text"))
+    kept = docs.where("doc_id is not null").join(stay, (F.col("doc_id").cast("long") == F.col("_id")) & (text == F.col("_text")), "left_semi")
+    # equal texts under one doc_id: the smallest by the hash of all columns that have one
+    hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    once = kept.groupBy("doc_id", text.alias("_text")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("row"))
+    return once.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def hex16(fp: str = "fp"):

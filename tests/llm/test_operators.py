@@ -244,6 +244,20 @@ def test_simhash_groups_match_brute_force(docs, none, rows):
     assert Counter(r[0] for r in stay.collect()) == Counter({c for _, c in want} | {None})
 
 
+def test_rows_that_share_a_doc_id_are_told_apart(spark):
+    rng = random.Random(5)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    data = [(5, a, "x"), (5, b, "y"), (3, b, "z"), (7, a, "x"), (9, c, "x"), (9, c, "w"), (None, a, "x")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = simhash_bk.near_duplicates(df).collect()
+    fp = {t: simhash_bk._signed(brute_fingerprint(t)) for t in (a, b, c)}
+    want = [(5, fp[a], 5), (5, fp[b], 3), (3, fp[b], 3), (7, fp[a], 5), (9, fp[c], 9), (9, fp[c], 9), (None, fp[a], None)]
+    assert Counter(map(tuple, got)) == Counter(want)
+    stay = [Counter(map(tuple, simhash_bk.one_per_group(df.repartition(n)).collect())) for n in (1, 3, 5)]
+    assert Counter((r[0], r[1]) for r in stay[0]) == Counter({(5, a): 1, (3, b): 1, (9, c): 1, (None, a): 1})
+    assert stay[0] == stay[1] == stay[2]
+
+
 def test_hot_shards_are_split_without_losing_links(spark):
     rng = random.Random(8)
     fps = {0}
