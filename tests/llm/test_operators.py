@@ -202,6 +202,38 @@ def test_alignment_crosses_a_gap_and_leaves_the_different_out():
     assert fuzzy_passages.align(x, z, [(10, 10), (100, 100)]) == [(0, 120, 0, 120, 120)]
 
 
+def _layout(rng, parts):
+    """x and y with the given parts: (words, share changed)."""
+    x = np.arange(sum(n for n, _ in parts), dtype=np.uint32)
+    y, at = x.copy(), 0
+    for n, share in parts:
+        y[at + rng.choice(n, round(n * share), replace=False)] += 100_000
+        at += n
+    return x, y
+
+
+def test_alignment_reports_a_stretch_exactly_when_one_is_long_and_equal_enough():
+    rng = np.random.default_rng(3)
+    layouts = [[(48, 0), (25, 1), (60, 5 / 60), (90, 1)], [(50, 0), (16, 1)] * 5, [(100, 0), (30, 1)] * 3, [(90, 1), (52, 0.19), (90, 1)]]
+    layouts += [[(40, 1), (n, share), (40, 1)] for n in (50, 52, 60, 80) for share in (0.1, 0.15, 0.2, 0.25) for _ in range(8)]
+    for parts in layouts:
+        x, y = _layout(rng, parts)
+        same = (x == y).astype(int)
+        for cut in (len(x), len(x) // 2):                            # the second with 3 more words in y
+            z = np.concatenate([y[:cut], np.arange(900_000, 900_003 if cut < len(x) else 900_000), y[cut:]]).astype(np.uint32)
+            first, last = np.flatnonzero(same)[[0, -1]]
+            seeds = [(int(first), int(first)), (int(last), int(last) + 3 * (last >= cut))]
+            got = fuzzy_passages.align(x, z, seeds)
+            for s, e, s2, e2, equal in got:
+                assert e - s >= 50 and equal >= 0.8 * max(e - s, e2 - s2)
+            if cut == len(x):
+                total = np.concatenate(([0], np.cumsum(same)))
+                wanted = [(a, b) for a in range(len(x)) for b in range(a + 50, len(x) + 1) if total[b] - total[a] >= 0.8 * (b - a)]
+                assert all(any(s < b and a < e for s, e, *_ in got) for a, b in wanted)
+                exact = [a for a in range(len(x) - 49) if total[a + 50] - total[a] == 50]
+                assert all(any(s <= a and a + 50 <= e for s, e, *_ in got) for a in exact)
+
+
 # ------------------------------------------------------------------ SimHash
 
 def brute_fingerprint(text):
