@@ -176,6 +176,24 @@ def test_a_passage_is_linked_when_all_its_seeds_belong_to_other_documents(spark)
     assert got[0]["end"] - got[0]["start"] >= len(passage)
 
 
+def test_a_passage_is_linked_when_smaller_documents_hold_its_parts(spark):
+    rng = random.Random(17)
+    rows, pairs = [], set()
+    for n, half in [(60, 35), (60, 40), (60, 49), (50, 49), (80, 49), (75, 45)] * 4:
+        passage, k = prose(rng, n).split(" "), len(rows)
+        rows += [(k + i, " ".join([prose(rng, 40), *p, prose(rng, 40)]))
+                 for i, p in enumerate([passage[:half], passage[-half:], passage[n // 2 - 20:n // 2 + 20], passage, passage])]
+        pairs.add((k + 4, k + 3))
+    got = fuzzy_passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert pairs <= {(r["doc_id"], r["other_doc_id"]) for r in got}
+
+
+def test_window_hashes_depend_on_the_words_alone():
+    words = np.random.default_rng(1).integers(0, 1 << 63, 300, np.uint64)
+    h = fuzzy_passages.window_hashes(np.concatenate((words, words[::-1], words)), 50)
+    assert (h[:251] == h[600:851]).all() and len(set(h.tolist())) == len(h) - 251
+
+
 def test_chains_score_like_the_quadratic_recurrence():
     rng = random.Random(6)
     for _ in range(200):
