@@ -194,6 +194,25 @@ def test_window_hashes_depend_on_the_words_alone():
     assert (h[:251] == h[600:851]).all() and len(set(h.tolist())) == len(h) - 251
 
 
+def test_changed_passages_are_found(spark):
+    rng = random.Random(23)
+    cases = [(n, share) for n in (52, 60, 80) for share in (0.05, 0.1, 0.15, 0.19)]
+    rows, of = [], {}
+    for n, share in cases:
+        for _ in range(50):
+            passage = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+            other = list(passage)
+            for i in rng.sample(range(n), int(n * share)):
+                other[i] = f"v{rng.randrange(10**9)}"
+            for p in (passage, other):
+                rows.append((len(rows), " ".join([prose(rng, 40), *p, prose(rng, 40)])))
+            of[len(rows) - 1] = (n, share)
+    got = fuzzy_passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = Counter(of[d] for d in {r["doc_id"] for r in got})
+    print({c: found[c] / 50 for c in cases})
+    assert all(found[c] / 50 >= (0.98 if c[1] < 0.15 else 0.9 if c[1] < 0.19 else 0.7) for c in cases)
+
+
 def test_chains_score_like_the_quadratic_recurrence():
     rng = random.Random(6)
     for _ in range(200):
