@@ -10,7 +10,9 @@ bounded table. Everything runs on the executors, in the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortex.session import checkpoint_dir
@@ -41,3 +43,40 @@ def positions_within(df: DataFrame, group: str, order_by: list, name: str = "pos
     first = idx.groupBy(group).agg(F.min("_g").alias("_first"))
     return idx.join(first, group).withColumn(name, (F.col("_g") - F.col("_first") + 1).cast("int")) \
         .drop("_g", "_first")
+
+
+BLOCK = 1024                                        # rows that one window of running_totals holds
+
+
+def running_totals(df: DataFrame, order_by: Sequence[Column | str], size: str, before: str, row: str) -> DataFrame:
+    """``df`` range-sorted by ``order_by`` with ``before``, the total of the
+    whole number ``size`` over the rows before it, and ``row``, a number for
+    the row that ascends in this order.
+
+    Totals inside blocks of rows, of the blocks before in the partition, and
+    of the partitions before add up: no window holds more than a block, a
+    partition's blocks, or one row per partition."""
+    checkpoint_dir(df.sparkSession)
+    d = (df.orderBy(*order_by).withColumns({"_pid": F.spark_partition_id(), row: F.monotonically_increasing_id()})
+         .checkpoint())
+    d = d.withColumn("_block", F.floor(F.col(row).bitwiseAND(F.lit(_LOW_BITS)) / BLOCK))
+    blocks = d.groupBy("_pid", "_block").agg(F.sum(size).alias("_sum"))
+    parts = blocks.groupBy("_pid").agg(F.sum("_sum").alias("_all"))                         # <= #partitions rows
+    parts = parts.select("_pid", (F.sum("_all").over(Window.orderBy("_pid")) - F.col("_all")).alias("_part"))
+    earlier = Window.partitionBy("_pid").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (blocks.withColumn("_prior", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+              .join(F.broadcast(parts), "_pid").select("_pid", "_block", (F.col("_prior") + F.col("_part")).alias("_offset")))
+    inside = Window.partitionBy("_pid", "_block").orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
+    return (d.withColumn("_inside", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(blocks, ["_pid", "_block"])
+            .withColumn(before, (F.col("_offset") + F.col("_inside")).cast("long"))
+            .drop("_pid", "_block", "_offset", "_inside"))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, of: str, row: str, salts: int = 64) -> DataFrame:
+    """``rows`` with the columns of their group: the row of ``groups`` whose
+    ``of`` equals ``key``, null included. The rows of one group are dealt to
+    ``salts`` tasks by their number ``row``, and ``groups``, one row per
+    value, is repeated as often."""
+    dealt = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return (rows.withColumn("_salt", F.pmod(F.col(row), F.lit(salts)).cast("int"))
+            .join(dealt, "_salt").where(F.col(key).eqNullSafe(F.col(of))).drop("_salt", of))

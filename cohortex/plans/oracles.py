@@ -661,11 +661,43 @@ _LOGICAL = ["people", "segments", "transaction", "offer", "merchant", "financial
 COUNTS_CTE = "counts AS (\n" + "\nUNION ALL\n".join(
     f"SELECT '{t}' AS table_name, count(*) AS n FROM {CTE_NAME[t]}" for t in _LOGICAL) + ")"
 _WITH_ALL = with_(*_ALL_CTES, extra=COUNTS_CTE)
-BATCHES_CTE = """batches AS (
-  SELECT 'v1' AS version, table_name AS "table", CAST(b AS INTEGER) AS batch_id,
-         CAST(ceil(n / 5000.0) AS INTEGER) AS total_batches,
-         CAST(least(5000, n - (b - 1) * 5000) AS BIGINT) AS records_count
-  FROM (SELECT table_name, n, unnest(range(1, CAST(ceil(n / 5000.0) AS BIGINT) + 1)) AS b FROM counts))"""
+_WIRE_COLUMNS = {
+    "people": "user_id age_bucket gender_cd region last_activity_day",
+    "segments": "user_id segment region_size auto traveler entrepreneur vip_status",
+    "transaction": "transaction_id user_id merchant_id_tx event_date brand_dk amount_bucket online_transaction_flg",
+    "offer": "offer_id merchant_id_offer start_date end_date offer_text",
+    "merchant": "merchant_id_offer merchant_status brand_dk",
+    "financial_account": "user_id product_cd account_status_cd open_month close_month",
+    "offer_seens": "user_id offer_id start_date end_date",
+    "offer_activation": "user_id offer_id activation_date",
+    "offer_reward": "user_id offer_id event_date reward_amt",
+    "receipts": "user_id date_operated category_name items_count items_cost",
+}
+
+
+def _record_sql(columns: str) -> str:
+    """A record as JSON with sorted keys and every value as text."""
+    return "'{' || " + " || ',' || ".join(f"'\"{c}\":' || coalesce(CAST(to_json(CAST({c} AS VARCHAR)) AS VARCHAR), 'null')"
+                                         for c in sorted(columns.split())) + " || '}'"
+
+
+def _numbered_sql(table: str, more: str) -> str:
+    ties = ", ".join(f"CAST({c} AS VARCHAR) NULLS FIRST" for c in _WIRE_COLUMNS[table].split())
+    return f"SELECT '{table}' AS t, row_number() OVER (ORDER BY ordinal, {ties}) - 1 AS i, {more} FROM {CTE_NAME[table]}"
+
+
+# every table's batches under version v1, and the first batch of two tables under v2
+BATCHES_CTE = "numbered AS (\n" + "\nUNION ALL\n".join(
+    _numbered_sql(t, f"{_record_sql(c)} AS record") for t, c in _WIRE_COLUMNS.items()) + """),
+v1 AS (
+  SELECT t, CAST(i // 5000 + 1 AS INTEGER) AS batch_id, count(*) AS records_count,
+         md5('[' || string_agg(record, ',' ORDER BY i) || ']') AS content_hash FROM numbered GROUP BY t, i // 5000),
+batches AS (
+  SELECT 'v1' AS version, t AS "table", batch_id, CAST(count(*) OVER (PARTITION BY t) AS INTEGER) AS total_batches,
+         records_count, content_hash FROM v1
+  UNION ALL
+  SELECT 'v2', t, batch_id, CAST((SELECT count(*) FROM v1 w WHERE w.t = v1.t) AS INTEGER), records_count, content_hash
+  FROM v1 WHERE batch_id = 1 AND t IN ('people', 'receipts'))"""
 
 oracle("batch_assign", with_("accounts") + """
 SELECT ordinal, CAST(floor((row_number() OVER (ORDER BY ordinal) - 1) / 5000) + 1 AS INTEGER) AS batch_id,
@@ -678,18 +710,29 @@ SELECT version, "table", count(DISTINCT batch_id) AS n_batches, sum(records_coun
        max(total_batches) AS total_batches,
        CAST(greatest(max(total_batches) - count(DISTINCT batch_id), 0) AS BIGINT) AS n_missing
 FROM batches GROUP BY version, "table\"""")
+oracle("rejected_batches", with_("people").rstrip() + """,
+n AS (SELECT count(*) AS n FROM people),
+bad(t, b, total) AS (VALUES ('no_such_table', 1, NULL), ('people', 0, NULL), ('people', 1, 0))
+SELECT 'v1' AS version, t AS "table", b AS batch_id, CAST(coalesce(total, ceil(n / 5000.0)) AS INTEGER) AS total_batches,
+       least(n, 5000) AS records_count FROM bad, n""")
 oracle("missing_batches", with_(*_ALL_CTES, extra=COUNTS_CTE + ",\n" + BATCHES_CTE) + """
-SELECT version, "table", batch_id FROM batches WHERE batch_id % 3 = 0
+SELECT version, "table", batch_id FROM batches WHERE batch_id % 3 = 0 AND version = 'v1'
   AND batch_id <= (SELECT max(b.total_batches) FROM batches b WHERE b."table" = batches."table")""")
-oracle("version_completeness", with_(*_ALL_CTES, extra=COUNTS_CTE) + """
-SELECT 'v1' AS version, count(*) AS n_tables,
-       list_sort(list_filter(['people', 'transaction', 'offer', 'merchant'],
-                             lambda t: NOT list_contains(list(table_name), t))) AS missing_tables,
-       len(list_filter(['people', 'transaction', 'offer', 'merchant'],
-                       lambda t: NOT list_contains(list(table_name), t))) = 0 AS is_complete
-FROM counts WHERE n > 0""")
-oracle("commit_version", _WITH_ALL + """
-SELECT table_name AS "table", n AS total_records, CAST(ceil(n / 5000.0) AS BIGINT) AS n_batches FROM counts""")
+oracle("version_completeness", with_(*_ALL_CTES, extra=COUNTS_CTE).rstrip() + """,
+got AS (SELECT 'v1' AS version, table_name FROM counts WHERE n > 0
+        UNION ALL SELECT 'v2', table_name FROM counts WHERE n > 0 AND table_name IN ('people', 'receipts')),
+per AS (SELECT version, count(*) AS n_tables, list(table_name) AS tables FROM got GROUP BY version)
+SELECT version, n_tables,
+       list_sort(list_filter(['people', 'transaction', 'offer', 'merchant'], lambda t: NOT list_contains(tables, t))) AS missing_tables,
+       len(list_filter(['people', 'transaction', 'offer', 'merchant'], lambda t: NOT list_contains(tables, t))) = 0 AS is_complete
+FROM per""")
+oracle("commit_version", with_(*_ALL_CTES, extra="committed AS (\n" + "\nUNION ALL\n".join(
+    _numbered_sql(t, f"CAST({c.split()[0]} AS BIGINT) AS first_id, "
+                  + " + ".join(f"CAST({x} IS NOT NULL AS INTEGER)" for x in c.split()) + " AS n_values")
+    for t, c in _WIRE_COLUMNS.items()) + ")") + """
+SELECT t AS "table", CAST(i // 5000 + 1 AS INTEGER) AS batch_id, i AS ordinal, first_id, n_values,
+       count(*) OVER (PARTITION BY t) AS total_records,
+       CAST(ceil(count(*) OVER (PARTITION BY t) / 5000.0) AS BIGINT) AS n_batches FROM committed""")
 _PEOPLE_TXT = """SELECT user_id, age_bucket, gender_cd, region, last_activity_day"""
 oracle("scan_jsonl", with_("people") + _PEOPLE_TXT + ", false AS corrupt FROM people")
 oracle("scan_csv", with_("people") + _PEOPLE_TXT + " FROM people")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -435,55 +436,84 @@ def q_batch_assign(spark, d):
     return IN.batch_assign(fa.select("ordinal"), BATCH_SIZE)
 
 
-def ingest_all(spark, d, duplicate_first=True):
-    """Send every logical table as wire batches, plus a second, different
-    copy of batch 1 of each table (it must lose: first write wins), then
-    run the ingest stream. Returns the store folder."""
+def ingest_all(spark, d):
+    """Every logical table as wire batches, sent to one store by two streams
+    with a landing folder and a checkpoint each. The first brings two thirds
+    of the batches and, as version v2, the first batch of two tables; the
+    second the rest, and beside them other, shorter copies of batches that
+    are there already (they must lose: first write wins) and lines that must
+    be rejected. Returns the store folder and the batches."""
     t = bind(spark, d)
     root = _fresh(spark, "ingest")
-    landing, store = os.path.join(root, "landing"), os.path.join(root, "store")
-    wires = [IN.to_wire(t[name], VERSION, name, BATCH_SIZE) for name in BINDERS]
-    wire = wires[0]
-    for w in wires[1:]:
-        wire = wire.unionByName(w)
-    IN.write_landing(wire, landing)
-    if duplicate_first:
-        dup = wire.where(F.col("batch_id") == 1).withColumn("records", F.slice("records", 1, 1))
-        IN.write_landing(dup, landing)
-    IN.ingest(spark, landing, store, os.path.join(root, "checkpoint"))
-    return store
+    store, kept = os.path.join(root, "store"), os.path.join(root, "wire")
+    IN.to_wires({name: t[name] for name in BINDERS}, VERSION, BATCH_SIZE).write.parquet(kept)
+    wire = spark.read.parquet(kept)
+    one = wire.where((F.col("table") == "people") & (F.col("batch_id") == 1))
+    sent = {
+        "first": [wire.where(F.col("batch_id") % 3 != 0),
+                  wire.where(F.col("table").isin("people", "receipts") & (F.col("batch_id") == 1)).withColumn("version", F.lit("v2"))],
+        "second": [wire.where(F.col("batch_id") % 3 == 0),
+                   wire.where(F.col("batch_id") % 3 == 1).withColumn("records", F.slice("records", 1, 1)),
+                   one.withColumn("table", F.lit("no_such_table")), one.withColumn("batch_id", F.lit(0)),
+                   one.withColumn("total_batches", F.lit(0))],
+    }
+    for name, parts in sent.items():
+        landing = os.path.join(root, name)
+        for part in parts:
+            IN.write_landing(part, landing)
+        IN.ingest(spark, landing, store, os.path.join(root, f"checkpoint-{name}"))
+    return store, wire
 
 
 @query
 def q_ingest_batches(spark, d):
-    store = ingest_all(spark, d)
-    return IN.read_manifest(spark, store).select("version", "table", "batch_id", "total_batches",
-                                                 "records_count")
+    store, _ = ingest_all(spark, d)
+    return IN.read_manifest(spark, store).select("version", "table", "batch_id", "total_batches", "records_count", "content_hash")
+
+
+@query
+def q_rejected_batches(spark, d):
+    """what the ingest put aside."""
+    store, _ = ingest_all(spark, d)
+    return IN.read_rejected(spark, store).select("version", "table", "batch_id", "total_batches",
+                                                 F.size("records").cast("long").alias("records_count"))
 
 
 @query
 def q_batch_manifest(spark, d):
-    return IN.batch_manifest(IN.read_manifest(spark, ingest_all(spark, d, duplicate_first=False)))
+    store, _ = ingest_all(spark, d)
+    return IN.batch_manifest(IN.read_manifest(spark, store))
 
 
 @query
 def q_missing_batches(spark, d):
     """The ids that a version still waits for, when every third batch is not there yet."""
-    manifest = IN.read_manifest(spark, ingest_all(spark, d, duplicate_first=False))
+    store, _ = ingest_all(spark, d)
+    manifest = IN.read_manifest(spark, store).where(F.col("version") == VERSION)
     return IN.missing_batches(manifest.where(F.col("batch_id") % 3 != 0))
 
 
 @query
 def q_version_completeness(spark, d):
-    return IN.version_completeness(IN.read_manifest(spark, ingest_all(spark, d, duplicate_first=False)))
+    store, _ = ingest_all(spark, d)
+    return IN.version_completeness(IN.read_manifest(spark, store))
 
 
 @query
 def q_commit_version(spark, d):
-    spark_store = ingest_all(spark, d)
-    out = _fresh(spark, "committed")
+    """The rows of a committed version, in their order. A batch that arrives
+    after the commit, and a second commit, change nothing."""
+    store, wire = ingest_all(spark, d)
+    out, late = _fresh(spark, "committed"), _fresh(spark, "late")
     cols = {name: [c for c in BINDERS[name](spark, d).columns if c != "ordinal"] for name in BINDERS}
-    return IN.commit_version(spark, spark_store, VERSION, out, cols)
+    IN.commit_version(spark, store, VERSION, out, cols)
+    IN.write_landing(wire.where((F.col("table") == "offer") & (F.col("batch_id") == 1)).withColumn("batch_id", F.lit(99)), late)
+    IN.ingest(spark, late, store, f"{late}-checkpoint")
+    manifest = IN.commit_version(spark, store, VERSION, out, cols)
+    parts = [IN.read_committed(spark, out, VERSION, name).select(
+        F.lit(name).alias("table"), "batch_id", "ordinal", F.col(c[0]).cast("long").alias("first_id"),
+        sum(F.col(x).isNotNull().cast("int") for x in c).alias("n_values")) for name, c in cols.items()]
+    return reduce(DataFrame.unionByName, parts).join(F.broadcast(manifest), "table")                # one row per table
 
 
 @query

@@ -4,20 +4,29 @@ Wire format (one JSON object per line, any number per file):
 ``{"version", "table", "batch_id", "total_batches", "records": [{...}, ...]}``.
 
 ``ingest`` is a Structured Streaming query (file source, ``availableNow``)
-whose ``foreachBatch`` keeps the FIRST arrival of every
-(version, table, batch_id): duplicates inside a micro-batch lose to the
-earliest file and, within a file, the earliest line, and keys already in the manifest table are dropped by an
-anti join. The manifest is the state; it is a table, so it survives driver
-and executor loss, and it grows by one row per batch (not per record).
-
-Exactly-once: raw rows and manifest rows are written with dynamic
-partition overwrite into ``epoch_id=<n>`` partitions, so a micro-batch
-replayed after a failure replaces its own output instead of duplicating it.
+over a store that any number of streams may feed, one after the other or at
+once. A micro-batch writes what arrived, as it came, into its own folder
+``raw/stream_id=<id>/epoch_id=<n>``: a map-only write, no record is
+shuffled. Then the arrivals' keys alone decide: of every (version, table,
+batch_id) the earliest by file and line, unless any other micro-batch of
+any stream has the key already. The winners' rows, written last, are the
+micro-batch's part of the manifest, and only arrivals with a manifest row
+are read again. So the first write of a batch wins, whatever comes later
+and from wherever.
+
+``stream_id`` is the identity that Spark keeps in a checkpoint: the same
+after a restart, another one for another checkpoint, also a lost one that
+is made anew at the same place. Epoch numbers alone start from 0 in every
+checkpoint, so folders named by them would overwrite each other. A replayed
+micro-batch replaces its own two folders and no other. Two streams that
+take the same key at the same time both write a row; the manifest's readers
+then agree on the one with the earlier file.
 """
 
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortex.functions import fixed_values as FV
-from cohortex.operators.indexing import with_row_index
+from cohortex.operators.indexing import running_totals, with_row_index
 
 WIRE_SCHEMA = T.StructType([
     T.StructField("version", T.StringType()),
@@ -36,11 +45,16 @@ WIRE_SCHEMA = T.StructType([
     T.StructField("_corrupt_record", T.StringType()),      # the text of a malformed line, kept with the rejects
 ])
 
-# per-write option: replace only the partitions this epoch writes (no session-wide change)
-DYNAMIC = ("partitionOverwriteMode", "dynamic")
+KEY = ["version", "table", "batch_id"]
+ARRIVAL = ["stream_id", "epoch_id", "source", "block", "line"]        # names one line of one file
+_ORDER = ["arrived", "source", "block", "line", "stream_id", "epoch_id"]
 
-MANIFEST_SCHEMA = ("version string, table string, batch_id int, total_batches int, records_count long, "
-                   "content_hash string, source string, epoch_id long")
+MANIFEST_SCHEMA = ("version string, table string, batch_id int, total_batches int, records_count long, content_hash string, "
+                   "arrived timestamp, source string, block long, line long, stream_id string, epoch_id long")
+RAW_SCHEMA = ("batch_id int, total_batches int, records array<map<string,string>>, records_count long, content_hash string, "
+              "arrived timestamp, source string, block long, line long, stream_id string, epoch_id long, version string, table string")
+ROWS_PER_FILE = 1_000_000                                             # of a committed table
+BROADCAST_BATCHES = 100_000                                           # manifest rows of about 300 bytes
 
 
 # ------------------------------------------------------------ batch making
@@ -55,18 +69,27 @@ def batch_assign(df: DataFrame, batch_size: int, order_col: str = "ordinal") ->
             .withColumn("total_batches", F.ceil(total / F.lit(batch_size)).cast("int")).drop("_idx"))
 
 
+def to_wires(tables: dict[str, DataFrame], version: str, batch_size: int) -> DataFrame:
+    """Rows of several tables -> wire batches (one row per batch, records as
+    string maps, at most ``batch_size`` of them, in ``ordinal`` order, ties
+    by their values): one sort numbers the rows of all tables."""
+    entry = lambda c: F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v"))
+    parts = [df.select(F.lit(name).alias("table"), "ordinal", F.array(*[entry(c) for c in df.columns if c != "ordinal"]).alias("r"))
+             for name, df in tables.items()]
+    rows = with_row_index(reduce(DataFrame.unionByName, parts), "_at", ["table", "ordinal", "r"])
+    first = rows.groupBy("table").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))     # one row per table
+    at = F.col("_at") - F.col("_first")
+    return (rows.join(F.broadcast(first), "table")
+            .groupBy("table", (F.floor(at / batch_size) + 1).cast("int").alias("batch_id"),
+                     F.ceil(F.col("_n") / batch_size).cast("int").alias("total_batches"))
+            .agg(F.sort_array(F.collect_list(F.struct("_at", "r"))).alias("rs"))
+            .select(F.lit(version).alias("version"), "table", "batch_id", "total_batches",
+                    F.transform("rs", lambda x: F.map_from_entries(x["r"])).alias("records")))
+
+
 def to_wire(df: DataFrame, version: str, table: str, batch_size: int) -> DataFrame:
-    """Rows of one table -> wire batches (one row per batch, records as
-    string maps). A batch holds at most ``batch_size`` records."""
-    cols = [c for c in df.columns if c != "ordinal"]
-    rec = F.create_map(*[x for c in cols for x in (F.lit(c), F.col(c).cast("string"))])
-    b = batch_assign(df, batch_size)
-    return (b.groupBy("batch_id", "total_batches")
-            .agg(F.array_sort(F.collect_list(F.struct("ordinal", rec.alias("r"))),
-                              lambda a, b: F.when(a["ordinal"] < b["ordinal"], -1)
-                              .when(a["ordinal"] > b["ordinal"], 1).otherwise(0)).alias("rs"))
-            .select(F.lit(version).alias("version"), F.lit(table).alias("table"), "batch_id", "total_batches",
-                    F.col("rs.r").alias("records")))
+    """Rows of one table -> wire batches."""
+    return to_wires({table: df}, version, batch_size)
 
 
 def write_landing(wire: DataFrame, landing_dir: str) -> None:
@@ -85,38 +108,45 @@ def content_hash(records_col: str = "records"):
     return F.md5(F.to_json(F.transform(F.col(records_col), _sorted_record)))
 
 
+def _stream_folder(store_dir: str, kind: str, stream_id: str, epoch_id: int) -> str:
+    return os.path.join(store_dir, kind, f"stream_id={stream_id}", f"epoch_id={epoch_id}")
+
+
 def _process(batch: DataFrame, epoch_id: int, store_dir: str) -> None:
     spark = batch.sparkSession
-    manifest_dir = os.path.join(store_dir, "manifest")
+    stream_id = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+    folder = lambda kind: _stream_folder(store_dir, kind, stream_id, epoch_id)
     valid = F.col("table").isin(*FV.TABLE_NAMES) & (F.col("batch_id") >= 1) & (F.col("total_batches") >= 1)
-    rejected = batch.where(~valid | valid.isNull())
-    rejected.drop("block").withColumn("epoch_id", F.lit(epoch_id)).write.mode("overwrite").option(*DYNAMIC) \
-        .partitionBy("epoch_id").json(os.path.join(store_dir, "rejected"))
-    # earliest copy per key: by file, then by the line's place in it; min_by combines map-side,
-    # so even a batch re-sent a million times reaches its reducer as one row per task
-    first = (batch.withColumn("line", F.monotonically_increasing_id())      # ascending within a block of a file
-             .where(valid).groupBy("version", "table", "batch_id")
-             .agg(F.min_by(F.struct("total_batches", "records", "source", "arrived"),
-                           F.struct("arrived", "source", "block", "line")).alias("b"))
-             .select("version", "table", "batch_id", "b.*"))
+    # ascending within a block of a file; asked before any filter, so that it does not move with one
+    arrived = batch.withColumn("line", F.monotonically_increasing_id())
+    (arrived.where(~valid | valid.isNull()).drop("block", "line", "arrived").withColumnRenamed("_corrupt_record", "malformed")
+     .write.mode("overwrite").json(folder("rejected")))
+    (arrived.where(valid)
+     .withColumns({"records_count": F.coalesce(F.size("records").cast("long"), F.lit(0).cast("long")), "content_hash": content_hash()})
+     .drop("_corrupt_record").write.mode("overwrite").partitionBy("version", "table").parquet(folder("raw")))
+    # from here on keys only: no record is read again; min_by combines map-side, so a batch that
+    # is re-sent a million times reaches its reducer as one row per task
+    keys = (spark.read.schema(RAW_SCHEMA).option("basePath", os.path.join(store_dir, "raw")).parquet(folder("raw"))
+            .drop("records"))
+    mine = ((F.col("stream_id") == stream_id) & (F.col("epoch_id") == epoch_id))
+    seen = _manifest_rows(spark, store_dir).where(~mine).select(*KEY)
+    first = _first_of_key(keys).join(seen, KEY, "left_anti").drop("stream_id", "epoch_id")
+    first.write.mode("overwrite").parquet(folder("manifest"))
+
+
+def _first_of_key(rows: DataFrame) -> DataFrame:
+    """The manifest row of every key: its earliest arrival."""
+    rest = [f.name for f in T.StructType.fromDDL(MANIFEST_SCHEMA) if f.name not in KEY]
+    return rows.groupBy(*KEY).agg(F.min_by(F.struct(*rest), F.struct(*_ORDER)).alias("b")).select(*KEY, "b.*")
+
+
+def _manifest_rows(spark: SparkSession, store_dir: str) -> DataFrame:
     try:
-        seen = (spark.read.schema(MANIFEST_SCHEMA).parquet(manifest_dir)
-                .where(F.col("epoch_id") < epoch_id).select("version", "table", "batch_id"))
-        first = first.join(seen, ["version", "table", "batch_id"], "left_anti")
-    except Exception as e:  # noqa: BLE001 - no manifest yet on the first epoch
-        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
-            raise
-    first = first.persist()
-    (first.select("version", "table", "batch_id", "total_batches",
-                  F.size("records").cast("long").alias("records_count"),
-                  content_hash().alias("content_hash"), "source")
-     .withColumn("epoch_id", F.lit(epoch_id))
-     .write.mode("overwrite").option(*DYNAMIC).partitionBy("epoch_id").parquet(manifest_dir))
-    (first.select("version", "table", "batch_id", F.posexplode("records").alias("pos", "record"))
-     .withColumn("epoch_id", F.lit(epoch_id))
-     .write.mode("overwrite").option(*DYNAMIC).partitionBy("epoch_id", "version", "table")
-     .parquet(os.path.join(store_dir, "raw")))
-    first.unpersist()
+        return spark.read.schema(MANIFEST_SCHEMA).parquet(os.path.join(store_dir, "manifest"))
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":                              # the store's first micro-batch
+            return spark.createDataFrame([], MANIFEST_SCHEMA)
+        raise
 
 
 def ingest(spark: SparkSession, landing_dir: str, store_dir: str, checkpoint: str,
@@ -136,7 +166,24 @@ def ingest(spark: SparkSession, landing_dir: str, store_dir: str, checkpoint: st
 
 
 def read_manifest(spark: SparkSession, store_dir: str) -> DataFrame:
-    return spark.read.schema(MANIFEST_SCHEMA).parquet(os.path.join(store_dir, "manifest"))
+    """One row per accepted batch."""
+    return _first_of_key(_manifest_rows(spark, store_dir))
+
+
+def read_rejected(spark: SparkSession, store_dir: str) -> DataFrame:
+    """the lines that name no known table, have an id or a total below
+    1, or are no JSON (their text is ``malformed``)."""
+    fields = [f.simpleString().replace(":", " ", 1) for f in WIRE_SCHEMA if f.name != "_corrupt_record"]
+    schema = ", ".join([*fields, "malformed string", "source string", "stream_id string", "epoch_id long"])
+    return spark.read.schema(schema).json(os.path.join(store_dir, "rejected"))
+
+
+def read_batches(spark: SparkSession, store_dir: str, manifest: DataFrame, n_batches: int) -> DataFrame:
+    """The accepted arrivals of the ``n_batches`` rows of ``manifest``, with
+    its columns and ``records``. A manifest of a checked size goes to the
+    records; a larger one meets them by key."""
+    raw = spark.read.schema(RAW_SCHEMA).parquet(os.path.join(store_dir, "raw")).select(*KEY, *ARRIVAL, "records")
+    return raw.join(F.broadcast(manifest) if n_batches <= BROADCAST_BATCHES else manifest, [*KEY, *ARRIVAL])
 
 
 # ------------------------------------------------------- manifest queries
@@ -176,26 +223,52 @@ def version_completeness(manifest: DataFrame, expected=tuple(FV.COMPLETE_VERSION
 def commit_version(spark: SparkSession, store_dir: str, version: str, out_dir: str,
                    columns: dict[str, list[str]]) -> DataFrame:
     """I4 + U2 + T5: snapshot of one version, one Parquet table per logical
-    table, rows in (batch_id, position) order kept as an ``ordinal`` column.
-
-    The commit manifest (table, total_records, n_batches) is written last
-    and freezes the version: a later commit of it changes nothing and
-    returns the same manifest, while a commit that broke off is repeated."""
-    manifest = os.path.join(out_dir, f"version={version}", "manifest")
+    table in (batch_id, position) order.
+
+    ``ordinal`` counts a table's rows from 0: the manifest's running totals
+    give every batch its first one, so batches go straight to the file that
+    holds their place, ``ROWS_PER_FILE`` rows each, and files follow each
+    other as their batches do. The commit manifest (table, total_records,
+    n_batches) is written last, after the order is checked, and freezes the
+    version: a later commit of it changes nothing and returns the same
+    manifest, while a commit that broke off is repeated."""
     done = committed_manifest(spark, out_dir, version)
     if done is not None:
         return done
-    raw = spark.read.parquet(os.path.join(store_dir, "raw")).where(F.col("version") == version)
+    folder = os.path.join(out_dir, f"version={version}")
+    manifest = read_manifest(spark, store_dir).where(F.col("version") == version)
+    placed = running_totals(manifest, ["table", "batch_id"], "records_count", "before", "row")
+    starts = placed.groupBy("table").agg(F.min("before").alias("start"), F.sum("records_count").alias("total_records"),
+                                         F.count("*").alias("n_batches")).checkpoint()            # one row per table
+    placed = placed.join(F.broadcast(starts), "table").withColumn("first", F.col("before") - F.col("start")).checkpoint()
+    of_table = {r["table"]: r for r in starts.collect()}
     for table, cols in columns.items():
-        t = raw.where(F.col("table") == table)
-        snap = t.select(*[F.col("record")[c].alias(c) for c in cols],
-                        ((F.col("batch_id").cast("long") * F.lit(1 << 32)) + F.col("pos")).alias("ordinal"))
-        snap.write.mode("overwrite").parquet(os.path.join(out_dir, f"version={version}", f"table={table}"))
-    (raw.groupBy("table").agg(F.count("*").alias("total_records"), F.count_distinct("batch_id").alias("n_batches"))
-     .coalesce(1).write.mode("overwrite").parquet(manifest))
+        total, n_batches = (of_table[table]["total_records"], of_table[table]["n_batches"]) if table in of_table else (0, 0)
+        batches = read_batches(spark, store_dir, placed.where(F.col("table") == table), n_batches)
+        files = max(1, -(-total // ROWS_PER_FILE))
+        at = F.floor(F.col("first") / ROWS_PER_FILE).cast("int")
+        (batches.repartitionById(files, at).sortWithinPartitions("first")
+         .select("batch_id", "first", F.posexplode_outer("records").alias("pos", "record")).where(F.col("pos").isNotNull())
+         .select(*[F.col("record")[c].alias(c) for c in cols], "batch_id", (F.col("first") + F.col("pos")).alias("ordinal"))
+         .write.mode("overwrite").parquet(os.path.join(folder, f"table={table}")))
+        _check_order(read_committed(spark, out_dir, version, table), total, table)
+    (starts.select("table", "total_records", "n_batches").coalesce(1)
+     .write.mode("overwrite").parquet(os.path.join(folder, "manifest")))
     return committed_manifest(spark, out_dir, version)
 
 
+def _check_order(snapshot: DataFrame, rows: int, table: str) -> None:
+    """Raises unless every file holds consecutive ordinals and the files
+    together 0 to ``rows`` - 1, once each."""
+    exact = F.col("ordinal").cast("decimal(38,0)")
+    files = (snapshot.groupBy(F.col("_metadata.file_path").alias("file"))
+             .agg(F.count("*").alias("n"), F.min("ordinal").alias("lo"), F.max("ordinal").alias("hi"), F.sum(exact).alias("s")))
+    apart = (F.col("hi") - F.col("lo") + 1 != F.col("n")) | (2 * F.col("s") != (F.col("lo") + F.col("hi")) * F.col("n"))
+    bad, n, lo, hi, total = files.agg(F.count_if(apart), F.sum("n"), F.min("lo"), F.max("hi"), 2 * F.sum("s")).first()
+    if rows and (bad or n != rows or lo != 0 or hi != rows - 1 or total != (rows - 1) * rows):
+        raise ValueError(f"table {table!r}: {n} committed rows of {rows}, or not in order")
+
+
 def committed_manifest(spark: SparkSession, out_dir: str, version: str) -> DataFrame | None:
     """The manifest of a committed version; None before its commit."""
     try:

@@ -1,9 +1,11 @@
 """Ingest idempotency: first write wins, re-sending changes nothing."""
 
+import hashlib
 import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohortex.streaming import ingest as IN
@@ -77,7 +79,73 @@ def test_first_line_of_a_file_wins(spark):
         IN.ingest(spark, landing, store, os.path.join(root, "ckpt"))
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    raw = spark.read.parquet(os.path.join(store, "raw")).select("batch_id", F.col("record")["user_id"]).collect()
-    assert sorted(map(tuple, raw)) == [(1, "0"), (2, "1"), (3, "2")]
-    rejected = [json.loads(r["value"]) for r in spark.read.text(os.path.join(store, "rejected")).collect()]
-    assert [r["_corrupt_record"] for r in rejected] == ["{not json"]
+    assert _records(spark, store) == [("people", 1, "0"), ("people", 2, "1"), ("people", 3, "2")]
+    assert [r["malformed"] for r in IN.read_rejected(spark, store).collect()] == ["{not json"]
+
+
+def _records(spark, store):
+    kept = IN.read_batches(spark, store, IN.read_manifest(spark, store), 1)
+    return sorted((r["table"], r["batch_id"], x["user_id"]) for r in kept.collect() for x in r["records"])
+
+
+def _lines(path, name, *batches):
+    os.makedirs(path, exist_ok=True)
+    with open(os.path.join(path, name), "w") as f:
+        f.writelines(json.dumps({"version": "v1", "table": t, "batch_id": b, "total_batches": 3,
+                                 "records": [{"user_id": u} for u in users]}) + "\n" for t, b, users in batches)
+
+
+def test_a_second_stream_adds_and_never_replaces(spark, tmp_path):
+    """Two landing folders with checkpoints of their own, then a lost checkpoint, on one store."""
+    store, one, two = (str(tmp_path / x) for x in ("store", "one", "two"))
+    _lines(one, "a.json", ("people", 1, ["1"]), ("people", 2, ["2", "3"]))
+    IN.ingest(spark, one, store, str(tmp_path / "c1"))
+    _lines(two, "a.json", ("people", 2, ["late"]), ("people", 3, ["4"]), ("nothing", 1, ["x"]))
+    IN.ingest(spark, two, store, str(tmp_path / "c2"))
+    want = [("people", 1, "1"), ("people", 2, "2"), ("people", 2, "3"), ("people", 3, "4")]
+    assert _records(spark, store) == want
+    assert IN.read_manifest(spark, store).count() == 3 and IN.read_rejected(spark, store).count() == 1
+    # the first stream loses its checkpoint: everything is sent again, with one batch more
+    _lines(one, "b.json", ("people", 1, ["again"]), ("offer", 1, ["5"]))
+    IN.ingest(spark, one, store, str(tmp_path / "c1-made-anew"))
+    assert _records(spark, store) == [("offer", 1, "5"), *want]
+    man = {(r["table"], r["batch_id"]): r for r in IN.read_manifest(spark, store).collect()}
+    assert len({r["stream_id"] for r in man.values()}) == 3
+    assert man["people", 1]["content_hash"] == hashlib.md5(b'[{"user_id":"1"}]').hexdigest()
+
+
+def test_a_replayed_micro_batch_replaces_only_itself(spark, tmp_path, monkeypatch):
+    """The stream breaks off after its arrivals are written and before the manifest is; another
+    stream takes one of its batches meanwhile; the restarted stream gets the rest."""
+    store, one, two, c1 = (str(tmp_path / x) for x in ("store", "one", "two", "c1"))
+    _lines(one, "a.json", ("people", 1, ["1"]), ("people", 2, ["2"]))
+    with monkeypatch.context() as m:
+        m.setattr(IN, "_first_of_key", lambda rows: 1 / 0)
+        with pytest.raises(Exception):
+            IN.ingest(spark, one, store, c1)
+    _lines(two, "a.json", ("people", 2, ["other"]))
+    IN.ingest(spark, two, store, str(tmp_path / "c2"))
+    assert _records(spark, store) == [("people", 2, "other")]
+    IN.ingest(spark, one, store, c1)
+    assert _records(spark, store) == [("people", 1, "1"), ("people", 2, "other")]
+    IN.ingest(spark, one, store, c1)
+    assert _records(spark, store) == [("people", 1, "1"), ("people", 2, "other")]
+
+
+def test_committed_rows_follow_their_batches_over_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(IN, "ROWS_PER_FILE", 40)
+    store, landing, out = (str(tmp_path / x) for x in ("store", "landing", "out"))
+    n = 237
+    df = spark.range(n).select(F.col("id").alias("user_id"), (F.lit(1000) - F.col("id")).alias("ordinal"))
+    IN.write_landing(IN.to_wire(df, "v1", "people", 9).repartition(5), landing)
+    IN.ingest(spark, landing, store, str(tmp_path / "c"))
+    first = IN.commit_version(spark, store, "v1", out, {"people": ["user_id"], "offer": ["offer_id"]}).collect()
+    assert [tuple(r) for r in first] == [("people", n, 27)]
+    back = IN.read_committed(spark, out, "v1", "people")
+    rows = back.select("ordinal", "user_id", "batch_id").collect()
+    assert sorted((r["ordinal"], int(r["user_id"]), r["batch_id"]) for r in rows) == [(i, n - 1 - i, i // 9 + 1) for i in range(n)]
+    files = back.groupBy(F.col("_metadata.file_path")).agg(F.min("ordinal"), F.max("ordinal"), F.count("*")).collect()
+    assert len(files) == 6 and all(hi - lo + 1 == k for _, lo, hi, k in files)
+    assert IN.read_committed(spark, out, "v1", "offer").count() == 0
+    with pytest.raises(ValueError, match="not in order"):
+        IN._check_order(back.where("ordinal <> 5"), n, "people")

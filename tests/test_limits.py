@@ -67,18 +67,19 @@ def test_violations_and_invalid_values_come_from_one_scan(spark, monkeypatch):
 
 
 def test_a_late_batch_does_not_change_a_committed_version(spark, tmp_path):
-    store, out = str(tmp_path / "store"), str(tmp_path / "out")
+    store, out, landing = (str(tmp_path / x) for x in ("store", "out", "landing"))
 
     def send(batch_id, n):
-        rows = [("v1", "people", batch_id, [{"a": str(i)} for i in range(n)], i) for i in range(1)]
-        (spark.createDataFrame(rows, "version string, table string, batch_id int, record array<map<string,string>>, x int")
-         .select("version", "table", "batch_id", F.posexplode("record").alias("pos", "record"))
-         .write.mode("append").parquet(f"{store}/raw"))
+        rows = [("v1", "people", batch_id, 2, [{"a": str(i)} for i in range(n)])]
+        IN.write_landing(spark.createDataFrame(rows, "version string, table string, batch_id int, total_batches int, "
+                                                     "records array<map<string,string>>"), landing)
+        IN.ingest(spark, landing, store, str(tmp_path / "checkpoint"))
 
     assert IN.committed_manifest(spark, out, "v1") is None
     send(1, 3)
     first = IN.commit_version(spark, store, "v1", out, {"people": ["a"]}).collect()
     send(2, 3)
+    assert IN.read_manifest(spark, store).count() == 2
     assert IN.commit_version(spark, store, "v1", out, {"people": ["a"]}).collect() == first
     assert IN.read_committed(spark, out, "v1", "people").count() == 3 and first[0]["total_records"] == 3
 
