@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortex.functions import fixed_values as FV
+from cohortex.operators.categories import quoted
 from cohortex.session import checkpoint_dir
 
 
@@ -32,8 +33,8 @@ def common_numeric_columns(reference: DataFrame, current: DataFrame, exclude=("u
 
 
 def _long(df: DataFrame, cols: list[str], side: str) -> DataFrame:
-    wide = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    return (wide.unpivot([], cols, "column_name", "value")
+    wide = df.select(*[quoted(c).cast("double").alias(c) for c in cols])
+    return (wide.unpivot([], [quoted(c) for c in cols], "column_name", "value")
             .where(F.col("value").isNotNull() & ~F.isnan("value"))
             .withColumn("side", F.lit(side)))
 

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from cohortex.functions import columns as C
 from cohortex.functions import fixed_values as FV
+from cohortex.operators.categories import Categories, quoted
 
 
 # ----------------------------------------------------------------- helpers
@@ -78,15 +79,17 @@ def observed_domains(columns: list[tuple[str, DataFrame, str]], max_values: int
     return out
 
 
-def one_hot(df: DataFrame, c: str, prefix: str, domain: list | None = None) -> DataFrame:
-    """One 0/1 column per observed value; NULL -> all zero."""
-    domain = observed_domain(df, c) if domain is None else domain
-    return df.withColumns({f"{prefix}_{v}": F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0))
-                           for v in domain})
+def one_hot(df: DataFrame, c: str, prefix: str, names: dict[str, str] | None = None) -> DataFrame:
+    """One 0/1 column per value of ``names`` (value -> column name,
+    made from the observed values if not given); NULL -> all zero."""
+    if names is None:
+        names = Categories().extended({prefix: observed_domain(df, c)}, df.columns).of(prefix)
+    return df.withColumns({name: F.coalesce((quoted(c).cast("string") == F.lit(v)).cast("int"), F.lit(0))
+                           for v, name in names.items()})
 
 
 def fill_zero(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType)) for c in cols})
+    return df.withColumns({c: F.coalesce(quoted(c), F.lit(0).cast(df.schema[c].dataType)) for c in cols})
 
 
 def numeric_columns(df: DataFrame, exclude=("user_id",)) -> list[str]:
@@ -117,7 +120,7 @@ def window_start(ref: Column, days: int) -> Column:
 
 # ------------------------------------------------------------- base (people)
 
-def base_features(people: DataFrame, region_domain: list | None = None,
+def base_features(people: DataFrame, regions: dict[str, str] | None = None,
                   activity_reference: str = FV.ACTIVITY_REFERENCE_DATE) -> DataFrame:
     """P1, P2, P5, P6 on the people table."""
     df = people.drop("ordinal") if "ordinal" in people.columns else people
@@ -126,7 +129,7 @@ def base_features(people: DataFrame, region_domain: list | None = None,
         "age_encoded": C.age_code("age_bucket"),
     })
     if "region" in df.columns:
-        df = one_hot(df, "region", "region", region_domain)
+        df = one_hot(df, "region", "region", regions)
     if "last_activity_day" in df.columns:
         df = df.withColumns({
             "days_since_activity": C.days_since("last_activity_day", activity_reference),
@@ -155,15 +158,6 @@ def segment_aggregates(segments: DataFrame) -> DataFrame:
         first_non_null("vip_status").alias("vip_status")))
 
 
-def segment_features(segments: DataFrame, one_hots: bool = True, domains: dict | None = None) -> DataFrame:
-    agg = segment_aggregates(segments)
-    if one_hots:
-        domains = domains or observed_domains([("seg", agg, "segment_code"), ("region_type", agg, "region_size")])
-        agg = one_hot(agg, "segment_code", "seg", domains["seg"])
-        agg = one_hot(agg, "region_size", "region_type", domains["region_type"])
-    return agg
-
-
 # ------------------------------------------------------------ transactions
 
 def _tx_prepared(tx: DataFrame) -> DataFrame:
@@ -288,25 +282,30 @@ def receipt_window_features(receipts: DataFrame, ref: Column, windows=tuple(FV.R
     return r.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(*aggs, *more)
 
 
-def receipt_features(receipts: DataFrame, ref: Column, domain: list,
+def receipt_features(receipts: DataFrame, ref: Column, names: dict[str, str],
                      windows=tuple(FV.RECEIPT_WINDOWS)) -> DataFrame:
     """A3 + A4 in one aggregation pass: window sums and one conditional
     count per category side by side, 0 where a user lacks a category."""
     return receipt_window_features(receipts, ref, windows, [
-        F.count_if(F.col("category_name") == F.lit(v)).alias(f"cat_{v}") for v in domain])
+        F.count_if(F.col("category_name") == F.lit(v)).alias(name) for v, name in names.items()])
 
 
-def category_pivot(receipts: DataFrame, domain: list | None = None) -> DataFrame:
-    """A4: receipts per category as ``cat_<v>`` columns, 0 when absent.
+def category_pivot(receipts: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+    """A4: receipts per category as columns, 0 when absent.
 
-    The category domain is collected once and passed to ``pivot``, which
-    then runs no job of its own for it.
+    Rows get their category's column name from the dictionary, which has one
+    row per column of the result, and are pivoted by it: values that Spark
+    could not tell apart as columns never become any.
     """
-    r = receipts.where(F.col("user_id").isNotNull() & F.col("category_name").isNotNull())
-    domain = observed_domain(r, "category_name") if domain is None else domain
-    p = r.groupBy("user_id").pivot("category_name", domain).count()
-    return p.select("user_id", *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).cast("bigint").alias(f"cat_{v}")
-                                 for v in domain])
+    r = receipts.where(F.col("user_id").isNotNull() & F.col("category_name").isNotNull()).select("user_id", "category_name")
+    if names is None:
+        names = Categories().extended({"cat": observed_domain(r, "category_name")}).of("cat")
+    columns = list(names.values())
+    lookup = receipts.sparkSession.createDataFrame(list(names.items()), "category_name string, name string")
+    p = (r.groupBy("user_id", "category_name").agg(F.count("*").alias("n"))
+         .join(F.broadcast(lookup), "category_name")
+         .groupBy("user_id").pivot("name", columns).agg(F.sum("n")))
+    return p.select("user_id", *[F.coalesce(quoted(c), F.lit(0)).cast("bigint").alias(c) for c in columns])
 
 
 # ---------------------------------------------------------------- accounts
@@ -358,32 +357,48 @@ def offer_features(base: DataFrame, tables: dict) -> DataFrame:
 
 # ---------------------------------------------------------------- assembly
 
-def feature_table(tables: dict, ref: Column | None = None,
-                  activity_reference: str = FV.ACTIVITY_REFERENCE_DATE) -> DataFrame:
+def feature_categories(tables: dict, kept: Categories | None = None, more: list = ()) -> tuple[Categories, dict]:
+    """The dictionary of the wide table's category columns, ``kept`` extended
+    by the values that ``tables`` have, from one small job; and the domains
+    that job read, those of ``more`` columns among them."""
+    wanted, reserved = list(more), set()
+    if "people" in tables:
+        wanted.append(("region", tables["people"], "region"))
+        reserved.update(tables["people"].columns)
+    if "segments" in tables:
+        seg = segment_aggregates(tables["segments"])
+        wanted += [("seg", seg, "segment_code"), ("region_type", seg, "region_size")]
+        reserved.update(seg.columns)
+    if "receipts" in tables:
+        wanted.append(("cat", tables["receipts"], "category_name"))
+    domains = observed_domains([w for w in wanted if w[2] in w[1].columns])
+    known = {k: v for k, v in domains.items() if k not in {m[0] for m in more}}
+    return (kept or Categories()).extended(known, reserved), domains
+
+
+def feature_table(tables: dict, ref: Column | None = None, activity_reference: str = FV.ACTIVITY_REFERENCE_DATE,
+                  categories: Categories | None = None) -> DataFrame:
     """The wide per-user feature row: base -> segments -> transactions ->
     receipts -> accounts -> offers, all left joins on ``user_id`` (J1-J7).
 
     NULL measures are 0 afterwards (P13/P14); string and timestamp columns
-    keep their NULLs.
+    keep their NULLs. The category columns are those of ``categories``; made
+    from the tables if not given.
     """
     if "people" not in tables:
         raise ValueError("feature_table needs the people table")
-    seg_agg = segment_aggregates(tables["segments"]) if "segments" in tables else None
-    wanted = [("region", tables["people"], "region")]
-    if seg_agg is not None:
-        wanted += [("seg", seg_agg, "segment_code"), ("region_type", seg_agg, "region_size")]
-    if "receipts" in tables:
-        wanted.append(("cat", tables["receipts"], "category_name"))
-    if "transaction" in tables and ref is None:     # P11 rides along in the same job
-        wanted.append(("__ref", tables["transaction"].agg(F.max("event_date").alias("m")), "m"))
-    domains = observed_domains(wanted)            # one small job for every domain and the reference date
-    if "__ref" in domains:
-        value = domains["__ref"][0] if domains["__ref"] else None
-        ref = F.coalesce(C.lenient_ts(F.lit(value).cast("string")), C.today())
-    feats = base_features(tables["people"], domains["region"], activity_reference=activity_reference)
-    if seg_agg is not None:
-        seg = one_hot(one_hot(seg_agg, "segment_code", "seg", domains["seg"]),
-                      "region_size", "region_type", domains["region_type"])
+    if categories is None:
+        asked = "transaction" in tables and ref is None     # P11 rides along in the same job
+        more = [("__ref", tables["transaction"].agg(F.max("event_date").alias("m")), "m")] if asked else []
+        categories, domains = feature_categories(tables, more=more)
+        if asked:
+            value = domains["__ref"][0] if domains["__ref"] else None
+            ref = F.coalesce(C.lenient_ts(F.lit(value).cast("string")), C.today())
+    feats = base_features(tables["people"], categories.of("region"), activity_reference=activity_reference)
+    if "segments" in tables:
+        seg = segment_aggregates(tables["segments"])
+        seg = one_hot(one_hot(seg, "segment_code", "seg", categories.of("seg")),
+                      "region_size", "region_type", categories.of("region_type"))
         feats = feats.join(seg, "user_id", "left")
     if "transaction" in tables:
         tx = tables["transaction"]
@@ -392,7 +407,7 @@ def feature_table(tables: dict, ref: Column | None = None,
     elif ref is None:
         ref = C.today()
     if "receipts" in tables:
-        feats = feats.join(receipt_features(tables["receipts"], ref, domains["cat"]), "user_id", "left")
+        feats = feats.join(receipt_features(tables["receipts"], ref, categories.of("cat")), "user_id", "left")
     if "financial_account" in tables:
         feats = feats.join(account_features(tables["financial_account"]), "user_id", "left")
     feats = offer_features(feats, tables)

@@ -6,6 +6,8 @@ binding CTEs and states the operator's semantics directly in SQL.
 
 from __future__ import annotations
 
+import hashlib
+
 from cohortex.plans.sql_bindings import AMOUNT_SQL, ONLINE_SQL, rounded, with_
 
 ORACLES: dict[str, str] = {}
@@ -120,10 +122,12 @@ FROM rc CROSS JOIN ref WHERE user_id IS NOT NULL GROUP BY user_id"""
 _RC = {f"receipts_{m}_{d}d": 6 for d in (30, 90) for m in ("items", "cost")}
 oracle("receipt_window_features", rounded(RECEIPT_SQL, _RC))
 
-# The values that the bindings give each pivoted column (all of them occur from sf0.01 on): a view
-# cannot store a PIVOT that looks its values up.
-CATEGORIES = ["FOOD", "PRODUCT", "TRAVEL"]
-REGIONS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+# The columns that the bindings' values give (all of them occur from sf0.01 on): a view cannot store a
+# PIVOT that looks its values up. A value with other characters than letters and digits, or with the
+# same letters as one before it, is named by them and the head of its md5.
+CATEGORIES = ["FOOD", "Food_" + hashlib.md5(b"Food").hexdigest()[:8], "PRODUCT", "Travel_ etc__" + hashlib.md5(b"Travel, etc.").hexdigest()[:8]]
+REGIONS = ["AUTOMOBILE", "BUILDING", "Building_" + hashlib.md5(b"Building").hexdigest()[:8],
+           "Mach_inery_" + hashlib.md5(b"Mach`inery").hexdigest()[:8], "St_ Petersburg_" + hashlib.md5(b"St. Petersburg").hexdigest()[:8]]
 SEGMENT_CODES = [f"{letter}_{nation:02d}" for letter in "mrtu" for nation in range(25)]
 REGION_TYPES = ["rural", "town", "urban"]
 
@@ -132,13 +136,18 @@ def _in(*prefixed: tuple[str, list[str]]) -> str:
     return "IN (" + ", ".join(f"'{prefix}{v}'" for prefix, values in prefixed for v in values) + ")"
 
 
+def _name_sql(prefix: str, c: str, later: str = "'Building', 'Food'") -> str:
+    return (f"'{prefix}' || CASE WHEN regexp_full_match({c}, '[A-Za-z0-9_ -]+') AND {c} NOT IN ({later}) THEN {c} "
+            f"ELSE regexp_replace({c}, '[^A-Za-z0-9_ -]', '_', 'g') || '_' || md5({c})[:8] END")
+
+
 _CATS = _in(("cat_", CATEGORIES))
 _REGIONS = _in(("region_", REGIONS))
 _SEGS = _in(("seg_", SEGMENT_CODES), ("region_type_", REGION_TYPES))
 
 CATEGORY_SQL = with_("receipts") + f"""
 SELECT * FROM (
-  PIVOT (SELECT user_id, 'cat_' || category_name AS cat FROM receipts
+  PIVOT (SELECT user_id, {_name_sql('cat_', 'category_name')} AS cat FROM receipts
          WHERE user_id IS NOT NULL AND category_name IS NOT NULL)
   ON cat {_CATS} USING count(*) GROUP BY user_id)"""
 oracle("category_pivot", CATEGORY_SQL)
@@ -168,7 +177,7 @@ oracle("segment_features", rounded(with_("segments", extra=SEGMENT_AGG) + "SELEC
 ONE_HOT_SQL = with_("segments", "people", extra=SEGMENT_AGG) + f"""
 SELECT user_id, CAST(coalesce(COLUMNS(* EXCLUDE (user_id)), 0) AS INTEGER) FROM (
   SELECT * FROM (SELECT user_id FROM people) u
-  LEFT JOIN (PIVOT (SELECT user_id, 'region_' || region AS k FROM people WHERE region IS NOT NULL)
+  LEFT JOIN (PIVOT (SELECT user_id, {_name_sql('region_', 'region')} AS k FROM people WHERE region IS NOT NULL)
              ON k {_REGIONS} USING count(*) GROUP BY user_id) p USING (user_id)
   LEFT JOIN (PIVOT (SELECT user_id, 'seg_' || segment_code AS k FROM seg WHERE segment_code IS NOT NULL
                     UNION ALL
@@ -176,6 +185,12 @@ SELECT user_id, CAST(coalesce(COLUMNS(* EXCLUDE (user_id)), 0) AS INTEGER) FROM
              ON k {_SEGS} USING count(*) GROUP BY user_id) s USING (user_id))"""
 oracle("one_hot", ONE_HOT_SQL)
 
+# of BUILDING and Building the second was there first
+oracle("feature_dictionary", with_("segments", "people", "receipts", extra=SEGMENT_AGG) + "\nUNION\n".join(
+    f"SELECT '{feature}' AS feature, {c} AS value, {_name_sql(feature + '_', c, later)} AS name FROM {source} WHERE {c} IS NOT NULL"
+    for feature, c, source, later in (("region", "region", "people", "'BUILDING'"), ("seg", "segment_code", "seg", "''"),
+                                      ("region_type", "region_size", "seg", "''"), ("cat", "category_name", "receipts", "'Food'"))))
+
 OFFER_AGG = """sa AS (
   SELECT user_id, count(offer_id) AS offers_seen_count,
          arg_min(start_date, ordinal) FILTER (WHERE start_date IS NOT NULL) AS first_offer_date
@@ -247,7 +262,7 @@ def _feature_table_sql() -> str:
     one_hot_sub = "SELECT user_id, CAST(coalesce" + body
     cat_sub = ("SELECT user_id, coalesce(COLUMNS(* EXCLUDE (user_id)), 0) FROM ("
                "SELECT * FROM (SELECT user_id FROM people) u LEFT JOIN ("
-               "PIVOT (SELECT user_id, 'cat_' || category_name AS cat FROM receipts "
+               f"PIVOT (SELECT user_id, {_name_sql('cat_', 'category_name')} AS cat FROM receipts "
                "WHERE user_id IS NOT NULL AND category_name IS NOT NULL) ON cat " + _CATS + " USING count(*) GROUP BY user_id)"
                " c USING (user_id))")
     return (with_("people", "segments", "tx", "receipts", "accounts", "seens", "activations", "rewards",
@@ -743,7 +758,7 @@ _SINK_DOUBLES = (["segment_rank", "auto", "traveler", "entrepreneur", "total_rew
                  + [f"receipts_{m}_{d}d" for d in (30, 90) for m in ("items", "cost")])
 _SINK_COUNTS = ([f"{m}_{w}" for w in ("7d", "30d", "90d", "total") for m in ("tx_count", "unique_merchants")]
                 + ["unique_brands_total", "receipts_count_30d", "receipts_count_90d", "num_products", "active_accounts",
-                   "offers_seen_count", "offers_activated_count", "rewards_count", *(f"cat_{c}" for c in CATEGORIES)])
+                   "offers_seen_count", "offers_activated_count", "rewards_count", *(f'"cat_{c}"' for c in CATEGORIES)])
 oracle("sink_features", """
 SELECT * EXCLUDE (age_bucket, gender_cd, region, last_activity_day, segment_code, region_size, vip_status,
                   first_offer_date, first_activation_date)

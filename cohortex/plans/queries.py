@@ -25,6 +25,7 @@ from cohortex.operators import merchants as MX
 from cohortex.operators import quality as QX
 from cohortex.operators import ranking as RX
 from cohortex.operators import similarity as SX
+from cohortex.operators.categories import quoted
 from cohortex.plans import offline_run as OR
 from cohortex.session import scratch_path
 from cohortex.sources import files as FS
@@ -40,7 +41,7 @@ def query(fn):
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.withColumns({f.name: F.round(f.name, digits) for f in df.schema.fields
+    return df.withColumns({f.name: F.round(quoted(f.name), digits) for f in df.schema.fields
                            if isinstance(f.dataType, (T.DoubleType, T.FloatType))})
 
 
@@ -143,6 +144,18 @@ def q_one_hot(spark, d):
     return people.drop("region").join(seg.drop("segment_code", "region_size"), "user_id", "left")
 
 
+@query
+def q_feature_dictionary(spark, d):
+    """P5 + P21: the names that category values have as columns, kept with the features and read back."""
+    t = bind(spark, d)
+    out = _fresh(spark, "dictionary")
+    early = {**t, "people": t["people"].where(F.col("region") != "BUILDING"), "receipts": t["receipts"], "segments": t["segments"]}
+    categories, _ = FT.feature_categories(early)
+    FS.write_parquet(categories.table(spark), os.path.join(out, "categories.parquet"))
+    # a value that comes later, and of which there is one in other letters, leaves the names of a first run alone
+    return FT.feature_categories(t, FS.load_categories(spark, out))[0].table(spark)
+
+
 @query
 def q_offer_features(spark, d):
     t = bind(spark, d)
@@ -542,8 +555,9 @@ def q_scan_csv(spark, d):
 def q_sink_features(spark, d):
     t = bind(spark, d)
     out = _fresh(spark, "features")
-    FS.sink_features(round_doubles(FT.feature_table(t)), interactions_of(spark, d), out)
-    feats, inter = FS.load_features(spark, out)
+    categories, _ = FT.feature_categories(t)
+    FS.sink_features(round_doubles(FT.feature_table(t, categories=categories)), interactions_of(spark, d), out, categories)
+    feats, _ = FS.load_features(spark, out)
     return feats.select(*[F.round(F.col(f"`{f.name}`").cast("double"), 4).alias(f.name)
                           if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else F.col(f"`{f.name}`")
                           for f in feats.schema.fields])

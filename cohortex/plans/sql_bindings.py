@@ -12,7 +12,8 @@ people AS (
   SELECT c.c_custkey AS user_id,
          ['15','25','25-34','40','45-54','60'][c.c_nationkey % 6 + 1] AS age_bucket,
          CASE c.c_custkey % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'F' END AS gender_cd,
-         c.c_mktsegment AS region,
+         CASE c.c_mktsegment WHEN 'FURNITURE' THEN 'St. Petersburg' WHEN 'HOUSEHOLD' THEN 'Building'
+              WHEN 'MACHINERY' THEN 'Mach`inery' ELSE c.c_mktsegment END AS region,
          strftime(lo.last_order, '%Y-%m-%d') AS last_activity_day,
          c.c_custkey AS ordinal
   FROM customer c
@@ -88,7 +89,8 @@ rewards AS (
     "receipts": """
 receipts AS (
   SELECT o.o_custkey AS user_id, strftime(l.l_shipdate, '%Y-%m-%d') AS date_operated,
-         CASE l.l_returnflag WHEN 'A' THEN 'FOOD' WHEN 'N' THEN 'PRODUCT' ELSE 'TRAVEL' END AS category_name,
+         CASE WHEN l.l_linenumber = 7 THEN 'Food' WHEN l.l_returnflag = 'A' THEN 'FOOD' WHEN l.l_returnflag = 'N' THEN 'PRODUCT'
+              ELSE 'Travel, etc.' END AS category_name,
          l.l_quantity AS items_count, l.l_extendedprice AS items_cost,
          l.l_orderkey * 10 + l.l_linenumber AS ordinal
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)""",

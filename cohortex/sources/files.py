@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortex.operators.categories import Categories, quoted
+
 # Logical table -> physical file stem of the JSON-lines layout
 PHYSICAL_NAMES = {
     "people": "prod_clients", "segments": "prizm_segments", "transaction": "prod_financial_transaction",
@@ -76,7 +78,7 @@ def write_batch_files(df: DataFrame, version_dir: str, table: str, batch_col: st
     values as text (NaN as null, S12), the first write of a batch wins (an existing batch
     folder is left alone by the ingest, see ``streaming.ingest``)."""
     cols = [c for c in df.columns if c not in (batch_col, "total_batches")]
-    (nan_to_null(df).select(*[F.col(c).cast("string") for c in cols], batch_col)
+    (nan_to_null(df).select(*[quoted(c).cast("string").alias(c) for c in cols], batch_col)
      .write.mode("append").partitionBy(batch_col).json(os.path.join(version_dir, table)))
 
 
@@ -88,7 +90,7 @@ def scan_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN -> NULL on floating columns (Spark counts NaN as a value)."""
-    return df.withColumns({f.name: F.when(~F.isnan(f.name), F.col(f.name)) for f in df.schema.fields
+    return df.withColumns({f.name: F.when(~F.isnan(quoted(f.name)), quoted(f.name)) for f in df.schema.fields
                            if isinstance(f.dataType, (T.DoubleType, T.FloatType))})
 
 
@@ -125,21 +127,34 @@ def model_features(features: DataFrame) -> DataFrame:
         if f.name == "user_id":
             cols.append(F.col(f.name).cast("long"))
         elif isinstance(f.dataType, (T.DoubleType, T.DecimalType)):
-            cols.append(F.col(f.name).cast("float").alias(f.name))
+            cols.append(quoted(f.name).cast("float").alias(f.name))
         elif isinstance(f.dataType, T.LongType):
-            cols.append(F.col(f.name).cast("int").alias(f.name))
+            cols.append(quoted(f.name).cast("int").alias(f.name))
         elif isinstance(f.dataType, (T.IntegerType, T.FloatType, T.ShortType, T.ByteType)):
-            cols.append(F.col(f.name))
+            cols.append(quoted(f.name))
     return features.select(*cols)
 
 
-def sink_features(features: DataFrame, interactions: DataFrame, out_dir: str) -> None:
-    """Features and interactions as Parquet."""
+def sink_features(features: DataFrame, interactions: DataFrame, out_dir: str, categories: Categories | None = None) -> None:
+    """Features and interactions as Parquet, and the dictionary of the
+    features' category columns beside them."""
     write_parquet(model_features(features), os.path.join(out_dir, "features.parquet"))
     write_parquet(interactions, os.path.join(out_dir, "interactions.parquet"))
+    if categories is not None:
+        write_parquet(categories.table(features.sparkSession).coalesce(1), os.path.join(out_dir, "categories.parquet"))
 
 
 def load_features(spark: SparkSession, out_dir: str) -> tuple[DataFrame, DataFrame]:
     """The two Parquet tables back."""
     return (spark.read.parquet(os.path.join(out_dir, "features.parquet")),
             spark.read.parquet(os.path.join(out_dir, "interactions.parquet")))
+
+
+def load_categories(spark: SparkSession, out_dir: str) -> Categories:
+    """The dictionary that ``sink_features`` kept; an empty one where it kept none."""
+    try:
+        return Categories.read(spark.read.parquet(os.path.join(out_dir, "categories.parquet")))
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return Categories()
+        raise

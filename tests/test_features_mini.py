@@ -1,6 +1,7 @@
 """Golden values of the mini data set (FIXTURES.md section 2)."""
 
 import random
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from cohortex.operators import features as FT
 from cohortex.operators import interactions as IX
 from cohortex.operators import merchants as MX
 from cohortex.operators import quality as QX
+from cohortex.sources import files as FS
 from tests.mini import mini_tables
 
 EXPECTED = {
@@ -131,3 +133,36 @@ def test_one_pass_transactions_equal_windows_and_totals(spark):
     for user, row in want.items():
         assert got[user].keys() == row.keys()
         assert got[user] == pytest.approx(row)
+
+
+def test_any_value_can_be_a_column(spark):
+    """Dots, backticks, quotes, spaces, an empty text and spellings that differ by case, as regions and as categories."""
+    values = ["St. Petersburg", "MOSCOW", "Moscow", "moscow", "a`b", "it's", "", " x", "x y", "Москва", "size", "a.b", "a_b", "type_town"]
+    t = mini_tables(spark)
+    people = spark.createDataFrame([(i, v, i) for i, v in enumerate(values)] + [(99, None, 99)], "user_id long, region string, ordinal long")
+    receipts = spark.createDataFrame([(i, v) for i, v in enumerate(values)] * 2 + [(0, "a.b"), (1, None)],
+                                     "user_id long, category_name string").withColumns(
+        {"date_operated": F.lit("2025-06-01"), "items_count": F.lit(1.0), "items_cost": F.lit(2.0)})
+    tables = {**t, "people": people.withColumns({"gender_cd": F.lit("M"), "age_bucket": F.lit("25")}), "receipts": receipts}
+    categories, _ = FT.feature_categories(tables)
+    wide = FT.feature_table(tables, categories=categories)
+    assert len({c.lower() for c in wide.columns}) == len(wide.columns)
+    rows = {r["user_id"]: r.asDict() for r in wide.collect()}
+    region, cat = categories.of("region"), categories.of("cat")
+    assert set(region) == set(cat) == set(values)
+    assert region["MOSCOW"] == "region_MOSCOW" and region["x y"] == "region_x y" and region["size"] != "region_size"
+    for i, v in enumerate(values):
+        assert [rows[i][region[w]] for w in values] == [int(v == w) for w in values]
+        assert [rows[i][cat[w]] for w in values] == [2 * (v == w) + (i == 0 and w == "a.b") for w in values]
+    assert all(rows[99][region[w]] == 0 for w in values)
+    pivot = {r["user_id"]: r.asDict() for r in FT.category_pivot(receipts).collect()}
+    assert pivot[0] == {"user_id": 0} | {cat[w]: 2 * (w == values[0]) + (w == "a.b") for w in values}
+    assert FT.one_hot(people, "region", "region").count() == len(values) + 1
+    # the sinks take such names, too, and a later run keeps the names of an earlier one
+    with tempfile.TemporaryDirectory() as out:
+        FS.sink_features(wide, spark.range(1), out, categories)
+        assert set(region.values()) <= set(FS.load_features(spark, out)[0].columns)
+        kept = FS.load_categories(spark, out)
+    later = kept.extended({"region": ["MoScOw", *values], "cat": ["new"]})
+    assert kept == categories and later.names.items() >= kept.names.items() and later.of("cat")["new"] == "cat_new"
+    assert len({n.lower() for n in later.names.values()}) == len(later.names)
