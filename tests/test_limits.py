@@ -25,15 +25,22 @@ def test_scorers_agree_with_numpy_in_one_chunk_and_in_many(spark, monkeypatch, l
     u = np.array([r["vec"] for r in users.orderBy("u").collect()])
     b = np.array([r["vec"] for r in items.orderBy("b").collect()])
     asked = items.withColumn("k", (F.col("b") % 3 + 1).cast("int"))
-    hidden = users.withColumn("no", F.when(F.col("u") % 2 == 0, F.array(F.col("u") % 25, F.lit(3).cast("long"))))
-    got = TK.per_broadcast_row_topk(hidden, "u", "vec", asked, ["b"], "vec", "k", normalize=False, excludes=[("no", "b")]).collect()
+    hidden = users.where(F.col("u") % 2 == 0).select("u", F.explode(F.array(F.col("u") % 25, F.lit(3).cast("long"))).alias("no"))
+    hidden = hidden.unionByName(spark.createDataFrame([(999, 1), (5, None)], "u long, no long"))
+    got = TK.per_broadcast_row_topk(users, "u", "vec", asked, ["b"], "vec", "k", normalize=False, masks=[(hidden, "b")]).collect()
     want = set()
     for j in range(25):
         free = [i for i in range(60) if not (i % 2 == 0 and j in (i % 25, 3))]
         want |= {(j, i) for i in sorted(free, key=lambda i: (-(u[i] @ b[j]), i))[:j % 3 + 1]}
     assert {(r["b"], r["u"]) for r in got} == want and len(got) == len(want)
-    got = TK.per_stream_row_topk(users, "u", "vec", None, 5, items, "b", "vec").collect()
+    got = TK.per_stream_row_topk(users, "u", "vec", 5, items, "b", "vec").collect()
     assert {(r["u"], r["b"]) for r in got} == {(i, int(j)) for i in range(60) for j in np.argsort(-(b @ u[i]), kind="stable")[:5]}
+    seen = spark.createDataFrame([(u, b) for u in range(60) for b in range(25) if (u * b) % 3 == 0 or u == 7], "u long, b long")
+    monkeypatch.setattr(TK, "ITEM_BLOCK", 4)
+    got = TK.per_stream_row_topk(users, "u", "vec", 5, items, "b", "vec", seen).collect()
+    want = {(i, int(j), n + 1) for i in range(60) if i != 7
+            for n, j in enumerate([j for j in np.argsort(-(b @ u[i]), kind="stable") if (i * j) % 3][:5])}
+    assert {(r["u"], r["b"], r["rank"]) for r in got} == want and len(got) == len(want)
 
 
 def test_open_domains_have_a_long_form_and_an_optional_limit(spark):
