@@ -37,7 +37,7 @@ from cohortex.llm.common import written
 NOT_LATIN = re.compile("[^\x00-\u024f]")
 # The split of ``tiktoken`` overflows its stack on about a million of one kind in a row.
 LONG = 100_000
-LONG_RUN = re.compile(rf"\s{{{LONG}}}")
+LONG_RUN = re.compile(rf"(?<!\s)\s{{{LONG}}}")                 # tried once a run, at its head
 # Fixed value: the split pattern of byte-level BPE.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 

@@ -98,8 +98,9 @@ class PieceModel:
         owner = word[first]                                      # of each sequence
         size = np.bincount(seq)
         total = np.zeros(len(size), np.int64)
+        begin = np.concatenate(([0], np.cumsum(size)))
         for s in np.flatnonzero(size > LONG).tolist():
-            total[s] = self._from_heap(sym[seq == s].tolist())
+            total[s] = self._from_heap(sym[begin[s]:begin[s + 1]].tolist())
         live = (size <= LONG)[seq]
         sym, seq = sym[live], seq[live]
         last = np.append(seq[1:] != seq[:-1], True) if len(seq) else np.zeros(0, bool)
