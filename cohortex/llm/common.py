@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortex.operators.categories import quoted
 from cohortex.session import checkpoint_dir, scratch_path
 
 
@@ -29,6 +30,16 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def row_of(docs: DataFrame):
+    """All columns of a row as one, so that no name of theirs can clash with
+    an operator's own or be read as a path; ``rows_of`` takes it apart."""
+    return F.struct(*[quoted(c) for c in docs.columns]).alias("row")
+
+
+def rows_of(df: DataFrame) -> DataFrame:
+    return df.select("row.*")
+
+
 def whole_text(name: str = "text"):
     """The text as a column in which null means the empty text."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -13,36 +13,51 @@ The benchmark is read in blocks of a bounded number of bytes, each
 broadcast for one scan of the documents; a usual benchmark is one block.
 Documents are never shuffled.
 
-Words are runs between ASCII white space and punctuation, in lower case.
+Words are runs between ASCII white space and punctuation, in lower case;
+in scripts that are written without spaces every character is a word.
 Items of up to ``WHOLE`` words also have masks of their own length, of which
 one at least misses every substitution that ``SIMILARITY`` allows; those
 with fewer than ``SHORTEST`` words cannot tell a leak from chance and never
 match.
 
+An item may match a document along several diagonals, as where a word is
+repeated: of its stretches that overlap in the document, the one with the
+most equal words is reported.
+
 Defined results: a null or empty text or item has no words and no match;
-equal items match each; repeated documents are reported each; an empty
-table gives an empty result; other columns are ignored, or carried by
-``clean_documents``.
+equal items match each; repeated documents are reported each; a null doc_id
+or item_id is carried; an empty table gives an empty result; other columns
+are ignored, or carried by ``clean_documents``.
 """
 
 from __future__ import annotations
 
+import re
 import string
+from bisect import bisect_left
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortex.llm.common import row_of, rows_of, written
+
 MASKS = ("111010011", "1100101011", "110110101", "10110001101", "11010111")
 SHORTEST, LONG_ENOUGH, WHOLE, SIMILARITY, MISMATCH = 5, 13, 12, 0.8, -3
 BLOCK_BYTES = 16 << 20
+# Thai, Lao, Myanmar, Khmer, kana and Han
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 _TABLE = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_TABLE).split()
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _UNSPACED.sub(r" \1 ", text)
+    return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
 def _hash(ids: np.ndarray, places: list[int], n: int) -> np.ndarray:
@@ -100,7 +115,9 @@ class SeedIndex:
         get = self.vocabulary.get
         words = words_of(text)
         ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        found = set()
+        found: list[np.ndarray] = []                         # item * width + shift + longest
+        longest = max((len(own) for _, own in self.items), default=0)
+        width = len(ids) + longest + 1
         for places, span, hashes, item, at in self.seeds:
             n = len(ids) - span + 1
             if n <= 0 or not len(hashes):
@@ -109,16 +126,45 @@ class SeedIndex:
             where = np.flatnonzero(h)
             lo = np.searchsorted(hashes, h[where], "left")
             hi = np.searchsorted(hashes, h[where], "right")
-            for i in np.flatnonzero(hi > lo).tolist():
-                found.update((k, int(where[i]) - q) for k, q in zip(item[lo[i]:hi[i]].tolist(), at[lo[i]:hi[i]].tolist()))
-        out = {}
-        for k, shift in sorted(found):
+            where, lo, hi = where[hi > lo], lo[hi > lo], hi[hi > lo]
+            for first in np.unique(lo).tolist():              # the windows of one hash, here and in the items
+                here, last = where[lo == first], hi[lo == first][0]
+                for k in np.unique(item[first:last]).tolist():
+                    own = at[first:last][item[first:last] == k]
+                    found.append(k * width + longest + differences(here, own))
+        out: list[tuple[int, int, int, int, int]] = []
+        keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        for k in np.unique(keys // width).tolist():
             item_id, own = self.items[k]
-            stretch = overlap(ids, own, shift)
-            if stretch:
-                a, n, equal = stretch
-                out[k, shift] = (item_id, a + shift, a, n, equal)
-        return list(out.values())
+            rows = [(a + shift, a, n, equal) for shift in (keys[keys // width == k] % width - longest).tolist()
+                    for a, n, equal in [overlap(ids, own, shift) or (0, 0, 0)] if n]
+            out += [(item_id, *r) for r in apart(rows)]
+        return out
+
+
+def differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distinct differences of two sets of places, ascending. Where the
+    pairs are far more than the places between them, by a product of the
+    sets' indicators, in about linear time."""
+    lo, hi = int(a.min() - b.max()), int(a.max() - b.min())
+    if len(a) * len(b) <= 64 * (hi - lo + 1):
+        return np.unique(a[:, None] - b[None, :])
+    x, y = (np.bincount(p) for p in (a - a.min(), b.max() - b))
+    size = 1 << (len(x) + len(y) - 1).bit_length()
+    pairs = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(y, size), size)
+    return np.flatnonzero(pairs[:hi - lo + 1] > 0.5) + lo
+
+
+def apart(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Of stretches (start, item_start, n_words, n_equal) the best ones that
+    do not overlap, by start: most equal words, then fewest words, then the
+    first."""
+    kept: list[tuple[int, int, int, int]] = []
+    for r in sorted(rows, key=lambda r: (-r[3], r[2], r[0], r[1])):
+        i = bisect_left(kept, r)
+        if (i == len(kept) or kept[i][0] >= r[0] + r[2]) and (i == 0 or kept[i - 1][0] + kept[i - 1][2] <= r[0]):
+            kept.insert(i, r)
+    return kept
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
@@ -157,22 +203,23 @@ def longest_similar(same: np.ndarray, similarity: float, least: int) -> tuple[in
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int):
-    """Broadcast seed indexes, each of at most about ``block_bytes`` of text."""
+    """Broadcast seed indexes, each of at most about ``block_bytes`` of text, and their number."""
     rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for i in range(n):
         block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
-        yield rows.sparkSession.sparkContext.broadcast(
-            vars(SeedIndex(sorted((r[0], r[1]) for r in block if r[0] is not None))))
+        items = sorted(((r[0], r[1]) for r in block), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        yield rows.sparkSession.sparkContext.broadcast(vars(SeedIndex(items))), n
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows (doc_id, item_id, doc_start, item_start, n_words, n_equal): the
-    benchmark passages in documents, positions in words."""
+    benchmark passages in documents, positions in words. Of several blocks
+    each is done with, its rows written, before the next one is made."""
     names = ["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_equal"]
     out = None
-    for index in _blocks(benchmark, block_bytes):
+    for index, n in _blocks(benchmark, block_bytes):
         def run(batches, seeds=index):
             index = SeedIndex.of(seeds.value)
             for b in batches:
@@ -181,17 +228,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
 
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
             run, ", ".join(f"{c} long" for c in names))
+        if n > 1:
+            part = written(part, "leaks")
+            index.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark passage was found."""
-    for index in _blocks(benchmark, block_bytes):
+    """The rows of ``docs`` in which no benchmark passage was found. Of
+    several blocks each is done with, the rows that are left written, before
+    the next one is made."""
+    rows = docs.select(row_of(docs))
+    for index, n in _blocks(benchmark, block_bytes):
         def run(batches, seeds=index):
             index = SeedIndex.of(seeds.value)
             for b in batches:
-                yield b.filter(pa.array([not index.matches(t.as_py()) for t in b.column("text")], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+                texts = pc.struct_field(b.column(0), "text")
+                yield b.filter(pa.array([not index.matches(t.as_py()) for t in texts], pa.bool_()))
+
+        rows = rows.mapInArrow(run, rows.schema)
+        if n > 1:
+            rows = written(rows, "clean")
+            index.destroy()
+    return rows_of(rows)

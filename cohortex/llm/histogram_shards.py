@@ -9,7 +9,9 @@ a shard or no key lies between. A round returns two numbers per probe.
 Rows then move once, in a range sort by shard and key.
 
 Law: ``bytes``. A shard's bytes miss an equal share by at most the
-tolerance at either end, or by one row's bytes where a row is larger.
+tolerance at either end, or by one row's bytes where a row is larger. Equal
+texts are neighbours but not kept together: a group of them that a splitter
+falls into, as any group larger than a shard, lies in several shards.
 
 Defined results: a null text has size 1 and the CRC of the empty text; a
 null doc_id sorts first; rows equal in text and doc_id share a shard; an

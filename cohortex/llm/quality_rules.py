@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortex.llm.common import written
+from cohortex.llm.common import row_of, rows_of, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -99,24 +100,23 @@ def _votes(base: list[int], extra: list[int]) -> str:
     return "".join("-0+"[vote(s) + 1] for _, vote in RULES)
 
 
-def with_votes(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` plus the statistics and ``votes``."""
-    text_at = "text"
-    carried = docs.select(*keep, *([] if text_at in keep else [text_at]))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields),
-                        *(f"_q_{c} bigint" for c in STATS), "_q_votes string"])
+def with_votes(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """``row``, the columns of ``docs`` that ``keep`` (a selection of them)
+    has as one, plus the statistics and ``votes``."""
+    carried = docs.select(row_of(keep), F.col("text"))
+    schema = T.StructType([carried.schema["row"], *(T.StructField(c, T.LongType()) for c in STATS), T.StructField("votes", T.StringType())])
 
     def run(batches):
         for b in batches:
             stats, votes = [], []
-            for t in b.column(text_at):
+            for t in b.column(1):
                 base, extra = text_stats(t.as_py())
                 stats.append(base)
                 votes.append(_votes(base, extra))
             cols = np.array(stats, np.int64).reshape(-1, len(STATS))
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in keep), *(pa.array(cols[:, i]) for i in range(len(STATS))),
-                 pa.array(votes, pa.string())], names=[*keep, *(f"_q_{c}" for c in STATS), "_q_votes"])
+                [b.column(0), *(pa.array(cols[:, i]) for i in range(len(STATS))), pa.array(votes, pa.string())],
+                names=["row", *STATS, "votes"])
 
     return carried.mapInArrow(run, schema)
 
@@ -159,29 +159,27 @@ def estimate(patterns: dict[str, int], prior_good: float = 0.8, weight: float =
     return {k: float(p) for k, p in zip(keys, post[:, 1])}
 
 
-def judged(docs: DataFrame, keep: list[str], threshold: float = 0.5) -> DataFrame:
-    """``keep`` columns, statistics (prefix ``_q_``), votes, posterior and
-    the verdict ``_q_kept``. The votes are written once; the estimation and
-    the result both read that table."""
+def judged(docs: DataFrame, keep: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``row`` (the columns of ``keep``), statistics, votes, posterior,
+    base_failed and the verdict ``kept``. The votes are written once; the
+    estimation and the result both read that table."""
     spark = docs.sparkSession
     votes = written(with_votes(docs, keep), "quality-votes")
-    counts = {r[0]: r[1] for r in votes.groupBy("_q_votes").count().collect()}  # at most 3 ** len(RULES) rows
-    posterior = spark.createDataFrame([(k, p) for k, p in estimate(counts).items()], "_q_pattern string, _q_posterior double")
-    d = votes.join(F.broadcast(posterior), F.col("_q_votes") == F.col("_q_pattern"), "left").drop("_q_pattern")
-    failed = (F.col("_q_n_words") < 20) | (100 * F.col("_q_n_repeat_words") > 30 * F.col("_q_n_words"))
-    return (d.withColumn("_q_base_failed", failed)
-            .withColumn("_q_kept", ~F.col("_q_base_failed") & (F.col("_q_posterior") >= threshold)))
+    counts = {r[0]: r[1] for r in votes.groupBy("votes").count().collect()}  # at most 3 ** len(RULES) rows
+    posterior = spark.createDataFrame([(k, p) for k, p in estimate(counts).items()], "pattern string, posterior double")
+    d = votes.join(F.broadcast(posterior), F.col("votes") == F.col("pattern"), "left").drop("pattern")
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return (d.withColumn("base_failed", failed)
+            .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)))
 
 
 def quality_verdicts(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row per row of ``docs``: doc_id, statistics, base_failed, kept,
     posterior, votes."""
-    d = judged(docs, ["doc_id"], threshold)
-    return d.select("doc_id", *(F.col(f"_q_{c}").alias(c) for c in STATS), F.col("_q_base_failed").alias("base_failed"),
-                    F.col("_q_kept").alias("kept"), F.col("_q_posterior").alias("posterior"),
-                    F.col("_q_votes").alias("votes"))
+    d = judged(docs, docs.select("doc_id"), threshold)
+    return d.select("row.doc_id", *STATS, "base_failed", "kept", "posterior", "votes")
 
 
 def kept_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose verdict is *kept*, with its own columns."""
-    return judged(docs, docs.columns, threshold).where("_q_kept").select(*docs.columns)
+    return rows_of(judged(docs, docs, threshold).where("kept"))

@@ -89,12 +89,12 @@ def op9_spaced_seed_leaks(spark, d):
 @query
 def op10_secret_ledger(spark, d):
     ledger = scratch_path(spark, f"secret-ledger-{uuid.uuid4().hex}")
-    found = secret_ledger.scan_versions(read(spark, d, "documents"), ledger, ["doc_id"])
+    found = secret_ledger.scan_versions(read(spark, d, "documents").select("doc_id", "text"), ledger)
     kinds = {f"n_{r.name}": F.size(F.array_remove(F.transform("found", lambda s: s["kind"] == r.name), F.lit(False)))
              .cast("long") for r in secret_ledger.RULES}
     return (found.withColumns({**kinds, "spans": secret_ledger.span_text(F.col("found"))})
             .withColumn("base_sha256", F.sha2("spans", 256))
-            .select("doc_id", *kinds, "base_sha256", "spans"))
+            .select("row.doc_id", *kinds, "base_sha256", "spans"))
 
 
 # The contract's patterns in DuckDB: gaps and hits alternate, as in the operator.

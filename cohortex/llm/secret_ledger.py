@@ -13,8 +13,9 @@ matches (``regexp_extract_all``) of one pattern alternate, so running sums
 of their lengths are the spans, in code points.
 
 Defined results: a null text is the empty blob; equal texts, repeated rows
-and equal paths are scanned once and all get the findings; an empty table
-gives an empty result and writes nothing to the ledger.
+and equal paths are scanned once and all get the findings; a null doc_id is
+carried like any column, whatever their names; an empty table gives an
+empty result and writes nothing to the ledger.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortex.llm.common import whole_text
+from cohortex.llm.common import row_of, rows_of, whole_text
 
 LEDGER = "blob binary, rule string, rule_version string, spans array<struct<start:int,end:int>>"
 
@@ -109,20 +110,21 @@ def update_ledger(versions: DataFrame, ledger_path: str, rules=RULES) -> DataFra
                     ["rule", "rule_version"], "left_semi")
 
 
-def scan_versions(versions: DataFrame, ledger_path: str, keep: list[str], rules=RULES) -> DataFrame:
-    """The ``keep`` columns of every row of ``versions`` with ``found``: its
-    spans as an array of (start, kind, end), by start, then by rule."""
+def scan_versions(versions: DataFrame, ledger_path: str, rules=RULES) -> DataFrame:
+    """One row per row of ``versions``: ``row``, all its columns as one, and
+    ``found``, its spans as an array of (start, kind, end), by start, then
+    by rule."""
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))])
     ledger = update_ledger(versions, ledger_path, rules)
+    # at most one entry per rule: a pair that two scans at once have both appended has the same spans twice
     per_blob = (ledger.where(F.size("spans") > 0).select("blob", F.struct("rule", "spans").alias("x"))
-                .groupBy("blob").agg(F.collect_list("x").alias("xs")))                 # at most one entry per rule
+                .groupBy("blob").agg(F.collect_set("x").alias("xs")))
     spans = F.flatten(F.transform("xs", lambda x: F.transform(x["spans"], lambda s: F.struct(
         s["start"].alias("start"), order[x["rule"]].alias("rank"), s["end"].alias("end"), x["rule"].alias("kind")))))
-    per_blob = per_blob.select("blob", F.array_sort(spans).alias("_found"))
-    named = versions.select(*keep, blob_of(whole_text()).alias("_blob"))
+    per_blob = per_blob.select("blob", F.array_sort(spans).alias("found"))
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    return (named.join(per_blob, F.col("_blob") == F.col("blob"), "left")
-            .select(*keep, F.coalesce("_found", none).alias("found")))
+    return (versions.select(row_of(versions), blob_of(whole_text()).alias("blob")).join(per_blob, "blob", "left")
+            .select("row", F.coalesce("found", none).alias("found")))
 
 
 def span_text(found: Column) -> Column:
@@ -148,10 +150,12 @@ def redact(text: Column, found: Column, mask: str = "[SECRET]") -> Column:
 def redacted_documents(docs: DataFrame, ledger_path: str, rules=RULES) -> DataFrame:
     """``docs`` with the secrets in ``text`` masked, and ``n_chars``, where
     it exists, counted again for the changed texts."""
-    d = scan_versions(docs, ledger_path, docs.columns, rules)
-    hit = F.size("found") > 0
-    d = d.withColumn("text", F.when(hit, redact(F.col("text"), F.col("found"))).otherwise(F.col("text")))
+    hit, text = F.size("found") > 0, F.col("row")["text"]
+    d = scan_versions(docs, ledger_path, rules).select(
+        "row", hit.alias("hit"), F.when(hit, redact(text, F.col("found"))).otherwise(text).alias("masked"))
+    d = d.withColumn("row", F.col("row").withField("text", F.col("masked")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        d = d.withColumn("n_chars", F.when(hit, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return d.select(*docs.columns)
+        d = d.withColumn("row", F.col("row").withField("n_chars", F.when(F.col("hit"), F.length("masked").cast(kind))
+                                                       .otherwise(F.col("row")["n_chars"])))
+    return rows_of(d)

@@ -38,7 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from cohortex.llm.common import reliable
+from cohortex.llm.common import reliable, row_of, rows_of
+from cohortex.operators.categories import quoted
 
 SEED = 42
 
@@ -272,12 +273,14 @@ def one_per_group(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataF
     d = reliable(fingerprints(docs, shingle, keep_text_hash=True)).where("doc_id is not null")
     low = d.groupBy("fp").agg(F.min(F.struct("doc_id", "fp", "text_hash")).alias("low")).select("low.*")
     first = _grouped(low, max_bits, 4096).groupBy("root").agg(F.min(F.struct("doc_id", "fp", "text_hash")).alias("first"))
-    stay = first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_text"))
-    kept = docs.where("doc_id is not null").join(stay, (F.col("doc_id").cast("long") == F.col("_id")) & (text == F.col("_text")), "left_semi")
+    stay = first.select(F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("text_hash"))
     # equal texts under one doc_id: the smallest by the hash of all columns that have one
-    hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    once = kept.groupBy("doc_id", text.alias("_text")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("row"))
-    return once.select("row.*").unionByName(docs.where("doc_id is null"))
+    hashed = [quoted(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = docs.where("doc_id is not null").select(row_of(docs), F.col("doc_id").cast("long").alias("id"), text.alias("text_hash"),
+                                                   F.xxhash64(*hashed).alias("whole"))
+    once = (rows.join(stay, ["id", "text_hash"], "left_semi").groupBy("id", "text_hash")
+            .agg(F.min_by("row", "whole").alias("row")))
+    return rows_of(once).unionByName(docs.where("doc_id is null"))
 
 
 def hex16(fp: str = "fp"):

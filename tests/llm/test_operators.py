@@ -4,6 +4,7 @@ names clash with the operators' own."""
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -547,13 +548,13 @@ def test_spans_match_regular_expressions(spark, docs, none, rows, tmp_path):
              "😀", "x", "abcdefgh", "\n", "secret", "_.-", "AKIAAKIA", "KEY99999999"]
     data = rows + [(10_000 + i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 25))), *rows[0][2:]) for i in range(1500)]
     df = spark.createDataFrame(data, SCHEMA)
-    got = secret_ledger.scan_versions(df, str(tmp_path / "a"), ["doc_id", "text"]).select(
-        "doc_id", "text", secret_ledger.span_text(F.col("found")).alias("s"))
+    got = secret_ledger.scan_versions(df, str(tmp_path / "a")).select(
+        "row.doc_id", "row.text", secret_ledger.span_text(F.col("found")).alias("s"))
     assert Counter((r[0], r[2]) for r in got.collect()) == Counter((r[0], brute_spans(r[1])) for r in data)
-    assert secret_ledger.scan_versions(none, str(tmp_path / "b"), ["doc_id"]).count() == 0
+    assert secret_ledger.scan_versions(none, str(tmp_path / "b")).count() == 0
     clean = secret_ledger.redacted_documents(docs, str(tmp_path / "c"))
     assert clean.columns == docs.columns
-    again = secret_ledger.scan_versions(clean, str(tmp_path / "d"), ["doc_id"])
+    again = secret_ledger.scan_versions(clean, str(tmp_path / "d"))
     assert again.where(F.size("found") > 0).count() == 0
     before = {r[0]: r[1] for r in rows}
     for r in clean.collect():
@@ -573,6 +574,59 @@ def test_ledger_scans_only_unseen_blobs_and_rule_versions(spark, tmp_path):
     secret_ledger.update_ledger(two, path)
     assert size() == 9
     changed = (secret_ledger.Rule("assign", secret_ledger.RULES[0].pattern, 2, 20, secret_ledger.RULES[0].hint), *secret_ledger.RULES[1:])
-    found = secret_ledger.scan_versions(one, path, ["doc_id"], changed)
+    found = secret_ledger.scan_versions(one, path, changed)
     assert size() == 11                                         # only the changed rule, over the two blobs asked for
     assert found.where(F.size("found") > 0).count() == 0        # twenty characters are not there
+    before = secret_ledger.scan_versions(one, path).collect()
+    twice = spark.read.schema(secret_ledger.LEDGER).parquet(path).collect()          # as two scans at once would
+    spark.createDataFrame(twice, secret_ledger.LEDGER).write.mode("append").parquet(path)
+    assert sorted(map(str, secret_ledger.scan_versions(one, path).collect())) == sorted(map(str, before))
+
+
+# ---------------------------------------------------- very long, odd texts
+
+def within(seconds, work):
+    began = time.perf_counter()
+    out = work()
+    assert time.perf_counter() - began < seconds
+    return out
+
+
+def test_long_runs_of_white_space_are_encoded_in_linear_time():
+    encoder = packing.Encoder(vocabulary("byte_bpe_50k.json"))
+    for text in (" " * 99_999, "a" + " " * 99_999 + "b" + "\n" * 99_999, " " * 150_000):
+        got = within(5, lambda: encoder.encode(text))
+        assert np.frombuffer(got, encoder.dtype).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_one_very_long_word_is_counted_in_linear_time():
+    model = token_counts.PieceModel(vocabulary("piece_bpe_32k.model"))
+    # two long runs in the same word: each is merged by itself
+    word = ("ab" * 1_250 + "\u4e00") * 1_000
+    got = within(20, lambda: model.counts([word]))
+    short = model.counts([("ab" * 1_250 + "\u4e00") * 2])
+    assert got[0] - short[0] == 998 * (short[0] - model.counts(["ab" * 1_250 + "\u4e00"])[0])
+
+
+def test_a_repeated_word_is_one_leak_per_passage():
+    index = decontaminate.SeedIndex([(1, " ".join(["echo"] * 1_000)), (2, " ".join(f"w{i}" for i in range(40)))])
+    text = " ".join(["echo"] * 10_000 + [f"w{i}" for i in range(40)] + ["x"] * 50 + [f"w{i}" for i in range(40)])
+    found = within(15, lambda: index.matches(text))
+    echoes = [f for f in found if f[0] == 1]
+    assert len(echoes) == 10 and all(f[3] == 1_000 for f in echoes)
+    assert sorted((f[1], f[3]) for f in found if f[0] == 2) == [(10_000, 40), (10_090, 40)]
+
+
+def test_differences_by_pairs_and_by_indicators_agree():
+    rng = np.random.default_rng(8)
+    for n, m, span in ((5, 4, 100), (300, 200, 310), (1_000, 1_000, 1_000), (1, 1, 1)):
+        a, b = (np.sort(rng.choice(span, min(k, span), replace=False)) for k in (n, m))
+        assert decontaminate.differences(a, b).tolist() == sorted({int(x - y) for x in a for y in b})
+
+
+def test_scripts_without_spaces_match_by_character():
+    item = "今天天气很好我们去公园散步然后回家吃饭看书睡觉"
+    index = decontaminate.SeedIndex([(3, item)])
+    assert [f[0] for f in index.matches("前言" + item + "。后记")] == [3]
+    assert not index.matches("完全不同的一段文字没有任何关系也不相似")
+    assert decontaminate.words_of("ab一cd") == [b"ab", "一".encode(), b"cd"]
