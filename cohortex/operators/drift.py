@@ -1,20 +1,26 @@
-"""Population Stability Index drift.
+"""Population Stability Index drift.
 
-All columns are handled together: both sides are unpivoted to
-(column, side, value) rows, the reference decile edges are one grouped
-aggregate, bins are a broadcast lookup of the (columns x 11) edge table,
-and the bin counts are one more grouped aggregate. The tiny edge and count
-tables (bounded by columns x bins) are resolved once and reused as
-literals. Nothing per column runs on the driver.
+All columns are handled together: the reference side is unpivoted to
+(column, value) rows and counted once, its decile edges and its rows per bin
+come from those counts, and the current side is one scan that looks its
+bins up in the broadcast (columns x 11) edge table. What a run needs of the
+reference is a snapshot, a row of edges and counts per column: it is kept
+when the reference is replaced, and a later run scans its own side only.
+The snapshot and the bin counts are bounded by columns x bins, so they are
+resolved once and reused as literals. Nothing per column runs on the driver.
 
 Scale: the edges are exact order statistics at any size. The distinct
 values of all columns, with their counts, are range-sorted over the
 cluster; sums per sorted partition say in which partition each wanted
-position lies, and only those partitions are counted through.
+position lies, and only those partitions are counted through. The value
+counts of two references add up, so a reference can be extended by new
+rows without reading its old ones (``merged_counts``).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,17 +38,26 @@ def common_numeric_columns(reference: DataFrame, current: DataFrame, exclude=("u
             if isinstance(f.dataType, T.NumericType) and f.name in ref_cols and f.name not in exclude]
 
 
-def _long(df: DataFrame, cols: list[str], side: str) -> DataFrame:
+def _long(df: DataFrame, cols: list[str]) -> DataFrame:
     wide = df.select(*[quoted(c).cast("double").alias(c) for c in cols])
     return (wide.unpivot([], [quoted(c) for c in cols], "column_name", "value")
-            .where(F.col("value").isNotNull() & ~F.isnan("value"))
-            .withColumn("side", F.lit(side)))
+            .where(F.col("value").isNotNull() & ~F.isnan("value")))
+
+
+def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column_name, value, c): how often each column has each value."""
+    return _long(df, cols).groupBy("column_name", "value").agg(F.count("*").alias("c"))
+
+
+def merged_counts(*parts: DataFrame) -> DataFrame:
+    """The value counts of several tables together."""
+    return reduce(DataFrame.unionByName, parts).groupBy("column_name", "value").agg(F.sum("c").alias("c"))
 
 
-def reference_edges(ref_long: DataFrame, n_buckets: int = FV.PSI_BUCKETS) -> DataFrame:
+def reference_edges(counts: DataFrame, n_buckets: int = FV.PSI_BUCKETS) -> DataFrame:
     """(column_name, edges, n_ref) with deduplicated decile edges."""
     # numpy.unique: sorted distinct values
-    return _linear_edges(ref_long, n_buckets).select(
+    return _linear_edges(_placed(counts), n_buckets).select(
         "column_name", F.array_sort(F.array_distinct("raw")).alias("edges"), "n_ref")
 
 
@@ -52,21 +67,24 @@ def percent_points(n_buckets: int) -> list[float]:
     return (np.linspace(0, 100, n_buckets + 1) / 100).tolist()
 
 
-def _linear_edges(ref_long: DataFrame, n_buckets: int) -> DataFrame:
+def _placed(counts: DataFrame) -> DataFrame:
+    """Value counts range-sorted and written once, so that a repeated task
+    sees the same partitions; a block is what one sorted partition has of
+    one column."""
+    checkpoint_dir(counts.sparkSession)
+    return counts.orderBy("column_name", "value").withColumn("block", F.spark_partition_id()).checkpoint()
+
+
+def _linear_edges(vc: DataFrame, n_buckets: int) -> DataFrame:
     """Exact linear-interpolated quantiles, bit-identical to numpy's
     ``percentile(..., method='linear')``: virtual index v = (n-1)*q,
     neighbours floor(v) and floor(v)+1 (both the last one when v >= n-1),
     and numpy's two-sided lerp (a + (b-a)*t, or b - (b-a)*(1-t) when t >= 0.5).
 
-    The order statistics come from value counts in one distributed sort,
-    written once so that a repeated task sees the same partitions. A block
-    is what one sorted partition has of one column: its rows are summed,
-    the sums' running totals locate each of the <= 2(B+1) positions of a
-    column in a block, and the running count goes through those blocks
+    The order statistics come from sorted value counts: a block's rows are
+    summed, the sums' running totals locate each of the <= 2(B+1) positions
+    of a column in a block, and the running count goes through those blocks
     alone. Returns (column_name, raw, n_ref)."""
-    checkpoint_dir(ref_long.sparkSession)
-    vc = (ref_long.groupBy("column_name", "value").agg(F.count("*").alias("c"))
-          .orderBy("column_name", "value").withColumn("block", F.spark_partition_id()).checkpoint())
     blocks = vc.groupBy("column_name", "block").agg(F.sum("c").alias("size"))     # <= #partitions + #columns rows
     before = Window.partitionBy("column_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("first", F.coalesce(F.sum("size").over(before), F.lit(0)))
@@ -117,53 +135,87 @@ def _bin(value, edges, max_edges: int):
             .otherwise(below))
 
 
-def psi_by_column(reference: DataFrame, current: DataFrame, columns: list[str] | None = None,
-                  n_buckets: int = FV.PSI_BUCKETS, threshold: float = FV.PSI_THRESHOLD) -> DataFrame:
-    """A20 per column: (column_name, psi, drifted). A column without any
-    reference value scores 0; without common columns there are no rows.
+SNAPSHOT = "column_name string, edges array<double>, n_ref long, bins array<long>"
+
+
+def reference_snapshot(reference: DataFrame, columns: list[str], n_buckets: int = FV.PSI_BUCKETS,
+                       counts: DataFrame | None = None) -> DataFrame:
+    """(column_name, edges, n_ref, bins), one row per column: all that a
+    run needs of its reference. A column without a value has no edges.
+    ``counts`` are the reference's value counts, where they are kept."""
+    spark = reference.sparkSession
+    if not columns:
+        return spark.createDataFrame([], SNAPSHOT)
+    vc = _placed(value_counts(reference, columns) if counts is None else counts)
+    raw = _linear_edges(vc, n_buckets).select("column_name", F.array_sort(F.array_distinct("raw")).alias("edges"), "n_ref")
+    edges = _literal(raw.select("column_name", "edges"), "column_name string, edges array<double>")
+    bins = _bin_counts(vc.select("column_name", "value", "c"), edges, n_buckets)
+    total = vc.groupBy("column_name").agg(F.sum("c").alias("n_ref"))
+    named = spark.createDataFrame([(c,) for c in columns], "column_name string")
+    return (named.join(edges, "column_name", "left").join(total, "column_name", "left").join(bins, "column_name", "left")
+            .select("column_name", F.coalesce("edges", F.array().cast("array<double>")).alias("edges"),
+                    F.coalesce("n_ref", F.lit(0)).alias("n_ref"), F.coalesce("bins", F.array().cast("array<long>")).alias("bins")))
+
+
+def _literal(df: DataFrame, schema: str) -> DataFrame:
+    """A table of columns x bins, resolved once instead of at each use."""
+    return df.sparkSession.createDataFrame([tuple(r) for r in df.collect()], schema)
+
+
+def _bin_counts(rows: DataFrame, edges: DataFrame, n_buckets: int) -> DataFrame:
+    """(column_name, bins), the rows ``c`` per bin; rows outside the
+    edges count in none."""
+    n = (rows.join(F.broadcast(edges), "column_name")
+         .groupBy("column_name", _bin(F.col("value"), F.col("edges"), n_buckets + 1).alias("bin")).agg(F.sum("c").alias("n"))
+         .where(F.col("bin").isNotNull()).groupBy("column_name").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m")))
+    size = F.greatest(F.size("edges") - 1, F.lit(0))
+    each = F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
+    return edges.join(n, "column_name").select("column_name", F.slice(each, F.lit(1), size).alias("bins"))
+
+
+def psi_against(snapshot: DataFrame, current: DataFrame, columns: list[str] | None = None,
+                n_buckets: int = FV.PSI_BUCKETS, threshold: float = FV.PSI_THRESHOLD) -> DataFrame:
+    """A20 per column of a kept reference: (column_name, psi, drifted).
 
     PSI = sum over bins of (c - r) * ln(c / r) with r = (n_r + 1) / (N_r + B)
     and c = (n_c + 1) / (N_c + B), B = ``n_buckets`` even when edges collapse;
-    fewer than two distinct edges or an empty side -> 0.
+    fewer than two distinct edges or an empty side -> 0. ``columns`` defaults
+    to those that both sides have.
     """
-    spark = reference.sparkSession
-    cols = common_numeric_columns(reference, current) if columns is None else columns
-    if not cols:
+    snapshot = _literal(snapshot.select("column_name", "edges", "n_ref", "bins"), SNAPSHOT)            # columns x bins
+    if columns is None:
+        kept = {r["column_name"] for r in snapshot.select("column_name").collect()}
+        columns = [c for c in common_numeric_columns(current, current) if c in kept]
+    spark = current.sparkSession
+    if not columns:
         return spark.createDataFrame([], "column_name string, psi double, drifted boolean")
-    ref_long = _long(reference, cols, "reference")
-    cur_long = _long(current, cols, "current")
-    # the edge table is (#columns x (B+1)) doubles, bounded by the schema: resolve it
-    # once and hand it back as a literal table, instead of re-aggregating it per use
-    edge_rows = reference_edges(ref_long, n_buckets).select("column_name", "edges").collect()
-    edges = spark.createDataFrame([(r[0], [float(x) for x in r[1]]) for r in edge_rows],
-                                  "column_name string, edges array<double>")
-    binned = (ref_long.unionByName(cur_long).join(F.broadcast(edges), "column_name")
-              .select("column_name", "side", _bin(F.col("value"), F.col("edges"), n_buckets + 1).alias("bin")))
-    # (#columns x 2 sides x <= B+1 bins) rows: resolved once, both uses below read the literal
-    counts = spark.createDataFrame(
-        [tuple(r) for r in binned.groupBy("column_name", "side", "bin").agg(F.count("*").alias("n")).collect()],
-        "column_name string, side string, bin int, n long")
-    totals = (counts.groupBy("column_name").pivot("side", ["reference", "current"]).sum("n")
-              .select("column_name", F.coalesce("reference", F.lit(0)).alias("n_r_total"),
-                      F.coalesce("current", F.lit(0)).alias("n_c_total")))
-    by_bin = (counts.where(F.col("bin").isNotNull())
-              .groupBy("column_name", "bin").pivot("side", ["reference", "current"]).sum("n"))
-    grid = (edges.where(F.size("edges") >= 2)
-            .select("column_name", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin")))
+    snapshot = snapshot.where(F.col("column_name").isin(columns))
+    rows = _long(current, columns).join(F.broadcast(snapshot.select("column_name", "edges").withColumnRenamed("column_name", "col")),
+                                        F.col("column_name") == F.col("col"))
+    binned = (rows.groupBy("column_name", F.when(F.size("edges") > 1, _bin(F.col("value"), F.col("edges"), n_buckets + 1)).alias("bin"))
+              .agg(F.count("*").alias("n")))                                                           # one scan; columns x bins rows
+    counts = _literal(binned, "column_name string, bin int, n long")
+    side = counts.groupBy("column_name").agg(F.sum("n").alias("n_cur"), F.map_from_entries(F.collect_list(
+        F.when(F.col("bin").isNotNull(), F.struct("bin", "n")))).alias("m"))
     b = float(n_buckets)
-    terms = (grid.join(by_bin, ["column_name", "bin"], "left").join(totals, "column_name")
-             .select("column_name", "n_r_total", "n_c_total",
-                     ((F.coalesce("reference", F.lit(0)) + 1) / (F.col("n_r_total") + b)).alias("r"),
-                     ((F.coalesce("current", F.lit(0)) + 1) / (F.col("n_c_total") + b)).alias("c")))
-    psi = (terms.groupBy("column_name")
-           .agg(F.when((F.first("n_r_total") == 0) | (F.first("n_c_total") == 0), F.lit(0.0))
-                .otherwise(F.sum((F.col("c") - F.col("r")) * F.ln(F.col("c") / F.col("r")))).alias("psi")))
-    all_cols = spark.createDataFrame([(c,) for c in cols], "column_name string")
+    term = (snapshot.where(F.size("edges") > 1).join(side, "column_name")
+            .select("column_name", "n_ref", "n_cur", "m", F.posexplode("bins").alias("bin", "n_r"))
+            .select("column_name", ((F.col("n_r") + 1) / (F.col("n_ref") + b)).alias("r"),
+                    ((F.coalesce(F.try_element_at("m", F.col("bin")), F.lit(0)) + 1) / (F.col("n_cur") + b)).alias("c")))
+    psi = term.groupBy("column_name").agg(F.sum((F.col("c") - F.col("r")) * F.ln(F.col("c") / F.col("r"))).alias("psi"))
+    all_cols = spark.createDataFrame([(c,) for c in columns], "column_name string")
     return (all_cols.join(psi, "column_name", "left")
             .select("column_name", F.coalesce("psi", F.lit(0.0)).alias("psi"))
             .withColumn("drifted", F.col("psi") > F.lit(threshold)))
 
 
+def psi_by_column(reference: DataFrame, current: DataFrame, columns: list[str] | None = None,
+                  n_buckets: int = FV.PSI_BUCKETS, threshold: float = FV.PSI_THRESHOLD) -> DataFrame:
+    """``psi_against`` a snapshot made of ``reference`` for this one time."""
+    cols = common_numeric_columns(reference, current) if columns is None else columns
+    return psi_against(reference_snapshot(reference, cols, n_buckets), current, cols, n_buckets, threshold)
+
+
 def drift_report(psi: DataFrame, threshold: float = FV.PSI_THRESHOLD, model_exists: bool = False,
                  reference_version: str | None = None) -> DataFrame:
     """A21 + F7 + F8 + F12: one run row from the per-column PSI rows."""

@@ -773,14 +773,20 @@ oracle("quality_summary", with_(*_ALL_CTES, extra=QUALITY_CTE) + """
 SELECT table_name, check_name, details FROM checks WHERE NOT success ORDER BY table_name, check_no LIMIT 10""")
 
 
+# the allowed values, stated here once more
+_VALID = [("people", "gender_cd", ["M", "F"]), ("transaction", "online_transaction_flg", ["Y", "N", "y", "n", "0", "1"]),
+          ("transaction", "amount_bucket", ["<1k", "1k+", "5k+", "10k+", "20k+", "50k+", "100k+"])]
+_SPOILT = {"people": ("people", "gender_cd", "CASE WHEN user_id % 5 = 0 THEN '?' || (user_id % 75) END"),
+           "transaction": ("tx", "online_transaction_flg", "CASE WHEN ordinal % 7 = 0 THEN 'maybe' END")}
+
+
 def _invalid_values_sql() -> str:
     parts = []
-    for table, rules in RULES.items():
-        for kind, a in rules["checks"]:
-            if kind == "valid_values":
-                parts.append(f"SELECT DISTINCT '{table}' AS table_name, '{check_name(kind, a)}' AS check_name, "
-                             f"CAST({a['column']} AS VARCHAR) AS value FROM {CTE_NAME[table]} "
-                             f"WHERE {_violation_sql(kind, a)}")
+    for table, column, allowed in _VALID:
+        cte, spoilt, value = _SPOILT[table]
+        rows = f"(SELECT * REPLACE (coalesce({value}, {spoilt}) AS {spoilt}) FROM {cte})"
+        parts.append(f"SELECT DISTINCT '{table}' AS table_name, 'valid_values_{column}' AS check_name, {column} AS value FROM {rows} "
+                     f"WHERE {column} IS NOT NULL AND {column} NOT IN ('', " + ", ".join(f"'{v}'" for v in allowed) + ")")
     return ("SELECT table_name, check_name, value FROM (SELECT *, row_number() OVER (PARTITION BY table_name, "
             "check_name ORDER BY value) AS n FROM (" + "\nUNION ALL\n".join(parts) + ")) WHERE n <= 10")
 
@@ -823,3 +829,20 @@ SELECT 'v1' AS version, bool_and(success) AS valid, count(*) FILTER (WHERE NOT s
        false AS drift_detected, 0.0::DOUBLE AS drift_score, true AS retrained, true AS map_in_range,
        (SELECT count(DISTINCT user_id) FROM test) AS num_test_users
 FROM checks""")
+
+# the first version has three quarters of the offers; the third is another in its receipts
+oracle("offline_versions", with_(*_ALL_CTES, extra=SIDES_CTE + ",\n" + QUALITY_CTE).rstrip() + """,
+q AS (SELECT bool_and(success) AS valid, count(*) FILTER (WHERE NOT success) AS failed FROM checks),
+n AS (SELECT (SELECT count(DISTINCT offer_id) FROM offers) + (SELECT count(DISTINCT merchant_id_offer) FROM merchants) AS all_ids,
+             (SELECT count(DISTINCT offer_id) FROM offers WHERE offer_id % 4 <> 0)
+               + (SELECT count(DISTINCT merchant_id_offer) FROM merchants) AS first_ids,
+             (SELECT count(DISTINCT user_id) FROM test) AS users)
+SELECT * FROM (
+  SELECT 'v1' AS version, valid, failed AS checks_failed, false AS drift_detected, true AS retrained, users AS num_test_users,
+         first_ids AS n_known, 'v1' AS reference_version, false AS any_drift FROM q, n
+  UNION ALL SELECT 'v2', valid, failed, false, false, NULL, all_ids, 'v1', false FROM q, n
+  UNION ALL SELECT 'v3', valid, failed, true, true, users, all_ids, 'v3', true FROM q, n)""")
+oracle("entity_numbers", with_("offers", "merchants").rstrip() + """,
+known AS (SELECT DISTINCT 'offer' AS kind, offer_id AS id FROM offers UNION SELECT 'merchant', merchant_id_offer FROM merchants),
+came AS (SELECT kind, id, CASE id % 3 WHEN 1 THEN 'v1' WHEN 2 THEN 'v2' ELSE 'v3' END AS version FROM known WHERE id IS NOT NULL)
+SELECT kind, id, row_number() OVER (PARTITION BY kind ORDER BY version, id) - 1 AS number, version FROM came""")

@@ -29,7 +29,7 @@ from cohortex.operators.categories import quoted
 from cohortex.plans import offline_run as OR
 from cohortex.session import scratch_path
 from cohortex.sources import files as FS
-from cohortex.sources.bindings import BINDERS, INTERACTION_REFERENCE_DATE, bind, read_table
+from cohortex.sources.bindings import BINDERS, INTERACTION_REFERENCE_DATE, TableSubset, bind, read_table
 from cohortex.streaming import ingest as IN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -584,7 +584,12 @@ def q_quality_summary(spark, d):
 
 @query
 def q_invalid_values(spark, d):
+    """Over tables in which some values are spoilt: one rule is broken by more values than are shown."""
     t = bind(spark, d)
+    spoilt = F.when(F.col("user_id") % 5 == 0, F.concat(F.lit("?"), (F.col("user_id") % 75).cast("string")))
+    flag = F.when(F.col("ordinal") % 7 == 0, F.lit("maybe"))
+    t = TableSubset(t, people=t["people"].withColumn("gender_cd", F.coalesce(spoilt, "gender_cd")),
+                    transaction=t["transaction"].withColumn("online_transaction_flg", F.coalesce(flag, "online_transaction_flg")))
     out = None
     for name in t.names():
         part = QX.invalid_values(t[name], name)
@@ -627,4 +632,31 @@ def q_model_roundtrip(spark, d):
 def q_offline_run(spark, d):
     """The summary of a first run; of its evaluation, what a fit leaves determined."""
     run = OR.run_version(spark, bind(spark, d), _fresh(spark, "run"), VERSION, INTERACTION_REFERENCE_DATE)
-    return run.withColumn("map_in_range", F.col("map_at_k").between(0.0, 1.0)).drop("map_at_k")
+    return run.withColumn("map_in_range", F.col("map_at_k").between(0.0, 1.0)).drop("map_at_k", "n_known", "reference_version")
+
+
+@query
+def q_offline_versions(spark, d):
+    """Three versions in one folder: a first one, with some of the offers;
+    all the offers and otherwise the same; receipts of another size. The
+    second changes neither reference nor model, the third both."""
+    t, out = bind(spark, d), _fresh(spark, "versions")
+    first = TableSubset(t, offer=t["offer"].where(F.col("offer_id") % 4 != 0))
+    third = TableSubset(t, receipts=t["receipts"].withColumns(
+        {"items_count": F.col("items_count") + 1000, "items_cost": F.col("items_cost") + 10_000_000}))
+    runs = [OR.run_version(spark, x, out, f"v{i}", INTERACTION_REFERENCE_DATE) for i, x in enumerate((first, t, third), 1)]
+    return (reduce(DataFrame.unionByName, runs)
+            .select("version", "valid", "checks_failed", "drift_detected", "retrained", "num_test_users", "n_known", "reference_version",
+                    (F.col("drift_score") > 0).alias("any_drift")))
+
+
+@query
+def q_entity_numbers(spark, d):
+    """A12 + U3 + J10: known offers and merchants over three versions, each
+    with the number it got when it came; the second version is run twice."""
+    t, path = bind(spark, d), _fresh(spark, "entities")
+    known = MX.known_entities(t["offer"], t["merchant"])
+    out = None
+    for version, share in (("v1", F.col("id") % 3 == 1), ("v2", F.col("id") % 3 != 0), ("v2", F.col("id") % 3 != 0), ("v3", F.lit(True))):
+        out = MX.keep_entities(known.where(share), path, version)
+    return out

@@ -214,5 +214,25 @@ class TableSet(dict):
         return list(self._names)
 
 
+class TableSubset(dict):
+    """The tables of ``base`` with some replaced."""
+
+    def __init__(self, base: TableSet, **replaced):
+        super().__init__(replaced)
+        self.base = base
+
+    def __missing__(self, name):
+        return self.base[name]
+
+    def __contains__(self, name):
+        return super().__contains__(name) or name in self.base
+
+    def get(self, name, default=None):
+        return self[name] if name in self else default
+
+    def names(self):
+        return self.base.names()
+
+
 def bind(spark: SparkSession, sf_dir: str, names=None) -> TableSet:
     return TableSet(spark, sf_dir, names)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortex.operators.categories import SCHEMA as CATEGORY_SCHEMA
 from cohortex.operators.categories import Categories, quoted
 
 # Logical table -> physical file stem of the JSON-lines layout
@@ -119,6 +120,13 @@ def append_report(df: DataFrame, path: str, run_id: str) -> None:
      .partitionBy("run_id").json(path))
 
 
+def kept_report(df: DataFrame, path: str, run_id: str) -> DataFrame:
+    """Report rows written once and read back, so that what follows
+    from them does not compute them again."""
+    append_report(df, path, run_id)
+    return df.sparkSession.read.schema(df.schema).json(os.path.join(path, f"run_id={run_id}"))
+
+
 def model_features(features: DataFrame) -> DataFrame:
     """P16/P17 (D6): the numeric projection that feeds models and drift:
     measures narrowed to float/int, ids kept long, text and timestamps left out."""
@@ -150,6 +158,23 @@ def load_features(spark: SparkSession, out_dir: str) -> tuple[DataFrame, DataFra
             spark.read.parquet(os.path.join(out_dir, "interactions.parquet")))
 
 
+def keep_categories(spark: SparkSession, extend, path: str, version: str) -> Categories:
+    """The dictionary over versions: ``extend`` gets what the other versions
+    have kept under ``path`` and returns it with its additions, which become
+    this version's part (a repeated run replaces that and no other)."""
+    schema = CATEGORY_SCHEMA + ", version string"
+    try:
+        others = Categories.read(spark.read.schema(schema).parquet(path).where(F.col("version") != version))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        others = Categories()
+    whole = extend(others)
+    added = Categories({k: n for k, n in whole.names.items() if k not in others.names})
+    write_parquet(added.table(spark).coalesce(1), os.path.join(path, f"version={version}"))
+    return whole
+
+
 def load_categories(spark: SparkSession, out_dir: str) -> Categories:
     """The dictionary that ``sink_features`` kept; an empty one where it kept none."""
     try:

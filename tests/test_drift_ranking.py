@@ -5,8 +5,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cohortex.operators import drift as DX
+from cohortex.operators import merchants as MX
 from cohortex.operators import ranking as RX
 from cohortex.operators import similarity as SX
+from cohortex.plans import offline_run as OR
 
 
 def _psi(spark, ref, cur):
@@ -31,7 +33,7 @@ def test_edges_are_exact_over_many_partitions(spark):
     rng = np.random.default_rng(3)
     values = np.round(rng.normal(size=20_000), 3)
     df = spark.createDataFrame([(float(v),) for v in values], "x double").repartition(7)
-    got = DX.reference_edges(DX._long(df, ["x"], "reference")).collect()[0]
+    got = DX.reference_edges(DX.value_counts(df, ["x"])).collect()[0]
     assert got["edges"] == np.unique(np.percentile(values, np.linspace(0, 100, 11))).tolist()
     assert got["n_ref"] == len(values)
 
@@ -150,3 +152,70 @@ def test_als_dense_index_for_large_ids(spark):
     fit = RX.train_als(inter.distinct(), rank=4, max_iter=2)
     ids = {r["user_id"] for r in fit.user_vectors().collect()}
     assert ids == {3_000_000_000 + i for i in range(20)}
+
+
+def test_a_kept_snapshot_gives_the_same_psi_to_the_last_bit(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    side = lambda n, at: spark.createDataFrame(
+        [(float(x), float(y), int(x * 3), None, 7.0) for x, y in zip(np.round(rng.normal(at, 2, n), 2), rng.random(n))],
+        "a double, b double, `c.d` long, e double, same double").repartition(3)
+    ref, cur = side(3_000, 0), side(2_000, 1)
+    cols = DX.common_numeric_columns(ref, cur)
+    path = str(tmp_path / "snapshot")
+    DX.reference_snapshot(ref, cols).write.parquet(path)
+    kept = spark.read.schema(DX.SNAPSHOT).parquet(path)
+    now, later = (sorted(map(tuple, x.collect())) for x in (DX.psi_by_column(ref, cur), DX.psi_against(kept, cur)))
+    assert [r[0] for r in now] == sorted(cols) and [(c, d) for c, _, d in now] == [(c, d) for c, _, d in later]
+    assert [p for _, p, _ in now] == pytest.approx([p for _, p, _ in later], abs=1e-15)
+    # by hand, for one column
+    a, b = (np.array([r["a"] for r in x.select("a").collect()]) for x in (ref, cur))
+    edges = np.unique(np.percentile(a, np.linspace(0, 100, 11)))
+    r, c = ((np.histogram(x, edges)[0] + 1) / (len(x) + 10) for x in (a, b))
+    assert dict((x[0], x[1]) for x in later)["a"] == pytest.approx(float(((c - r) * np.log(c / r)).sum()), abs=1e-12)
+    # value counts of two parts are those of the whole
+    half = ref.where("b < 0.5"), ref.where("b >= 0.5")
+    merged = DX.merged_counts(*(DX.value_counts(x, cols) for x in half))
+    whole = sorted(map(str, DX.reference_snapshot(ref, cols).collect()))
+    assert sorted(map(str, DX.reference_snapshot(ref, cols, counts=merged).collect())) == whole
+    assert DX.psi_against(kept.where("column_name = 'none'"), cur).count() == 0
+
+
+def test_ids_keep_their_numbers_over_versions(spark, tmp_path):
+    path = str(tmp_path / "entities")
+    known = lambda *ids: spark.createDataFrame([(k, i) for k, i in ids], "kind string, id long")
+    MX.keep_entities(known(("offer", 50), ("offer", 7), ("merchant", 1)), path, "v1")
+    MX.keep_entities(known(("offer", 7), ("offer", 3), ("offer", 9)), path, "v2")
+    last = MX.keep_entities(known(("offer", 1), ("offer", 3), ("shop", 4)), path, "v3")
+    want = {("merchant", 1, 0, "v1"), ("offer", 7, 0, "v1"), ("offer", 50, 1, "v1"), ("offer", 3, 2, "v2"), ("offer", 9, 3, "v2"),
+            ("offer", 1, 4, "v3"), ("shop", 4, 0, "v3")}
+    assert set(map(tuple, last.collect())) == want
+    MX.keep_entities(known(("offer", 1), ("offer", 3), ("shop", 4)), path, "v3")              # run again
+    assert set(map(tuple, MX.read_entities(spark, path).collect())) == want
+
+
+def test_a_later_model_keeps_the_ids_of_an_earlier_one(spark, tmp_path):
+    path = str(tmp_path / "model")
+    inter = lambda users: spark.createDataFrame([(2 ** 40 + u, o, 1.0) for u in users for o in range(4) if (u + o) % 2],
+                                                "user_id long, offer_id long, confidence double")
+    RX.save_model(RX.train_als(inter(range(3, 9)), rank=2, max_iter=1), path)
+    first = {r["user_id"]: r["idx"] for r in RX.load_model(spark, path).user_index.collect()}
+    RX.save_model(RX.train_als(inter(range(0, 12)), rank=2, max_iter=1, previous=RX.load_model(spark, path)), path)
+    later = RX.load_model(spark, path)
+    second = {r["user_id"]: r["idx"] for r in later.user_index.collect()}
+    assert first.items() <= second.items() and sorted(second.values()) == list(range(12))
+    assert {r["user_id"] for r in later.user_vectors().collect()} == {2 ** 40 + u for u in range(12)}
+
+
+def test_there_is_a_whole_reference_while_one_is_replaced(spark, tmp_path, monkeypatch):
+    out = str(tmp_path)
+    features = spark.range(50).select(F.col("id").alias("user_id"), (F.col("id") * 1.5).alias("x"))
+    assert OR.read_reference(spark, out) == (None, None)
+    OR.replace_reference(spark, out, "v1", features)
+    with monkeypatch.context() as m:
+        m.setattr(OR.FS, "write_if_absent", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            OR.replace_reference(spark, out, "v2", features.withColumn("x", F.lit(0.0)))
+    version, kept = OR.read_reference(spark, out)
+    assert version == "v1" and kept.first()["n_ref"] == 50
+    OR.replace_reference(spark, out, "v2", features.limit(10))
+    assert OR.read_reference(spark, out)[0] == "v2" and OR.read_reference(spark, out)[1].first()["n_ref"] == 10
