@@ -12,7 +12,8 @@ broadcasting the posteriors back are both bounded by that number.
 
 Defined results: a null text has no words (all statistics 0, base failed);
 an empty table gives an empty result; repeated rows are kept and counted
-as often as they occur; other columns are neither read nor changed.
+as often as they occur; a null doc_id is carried; other columns are neither
+read nor changed, whatever their names.
 """
 
 from __future__ import annotations

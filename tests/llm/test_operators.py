@@ -583,6 +583,20 @@ def test_ledger_scans_only_unseen_blobs_and_rule_versions(spark, tmp_path):
     assert sorted(map(str, secret_ledger.scan_versions(one, path).collect())) == sorted(map(str, before))
 
 
+def test_documents_with_several_texts_keep_the_links_of_each(spark):
+    rng = random.Random(77)
+    rows = []
+    for i in range(30):
+        passage = prose(rng, 70)
+        rows += [(i, prose(rng, 60) + " " + passage + " " + prose(rng, 30)), (100 + i, prose(rng, 40) + " " + passage),
+                 (100 + i, prose(rng, 300)), (100 + i, prose(rng, 80))]
+    within_one = prose(rng, 90)
+    rows += [(900, within_one), (900, "more " + within_one), (901, prose(rng, 100))]
+    got = fuzzy_passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {tuple(sorted((r["doc_id"], r["other_doc_id"]))) for r in got} == {(i, 100 + i) for i in range(30)}
+    assert all(r["n_equal"] >= 70 for r in got)
+
+
 # ---------------------------------------------------- very long, odd texts
 
 def within(seconds, work):
