@@ -186,7 +186,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, m
     known = (labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
              .agg(F.max("quality").cast("double").alias("quality")).where(~held_out()))
     # labelled rows by hash of the doc_id: as many as max_rows on average, and no more
-    rows = known.join(table.dropDuplicates(["doc_id"]), "doc_id").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    one = table.groupBy("doc_id").agg(F.min("vec").alias("vec"))            # of texts that share a doc_id always the same one
+    rows = known.join(one, "doc_id").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
     share = min(1.0, max_rows / max(1, known.count()))
     rows = (rows.where(F.col("h") < int(share * (1 << 40)))
             .select("quality", "vec", (F.pmod(F.floor(_fold() / 4), F.lit(5)) == 0).alias("hold"), "h", "doc_id")
