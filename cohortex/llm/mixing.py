@@ -18,9 +18,9 @@ small aggregate until no target is above its limit. The arithmetic is in
 whole numbers, so that reruns agree to the last bit.
 
 Running totals over all rows come from a range sort, totals per block of
-rows, and totals per partition: no window holds more than a block, a
-partition's blocks, or one row per partition. So a source with a third of
-all rows is spread over partitions like any other rows.
+rows, and totals per partition, and a source's rows are dealt to many tasks
+where its figures join them: a source with a third of all rows is spread
+like any other rows.
 
 Defined results: a null or empty text has size 0 and takes 0 words; a null
 source is a source of its own, the last; null doc_ids shuffle as the empty
@@ -33,14 +33,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortex.llm.common import reliable, written
-from cohortex.operators.indexing import with_row_index
-
-BLOCK = 1024
-_LOW_BITS = (1 << 33) - 1
+from cohortex.operators.indexing import join_groups, running_totals, with_row_index
 
 
 def word_count(text: Column) -> Column:
@@ -49,24 +46,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.array_remove(F.split(plain, " "), "")).cast("long"), F.lit(0).cast("long"))
 
 
-def running_totals(df: DataFrame, order_by: Sequence[Column | str], size: str, before: str, row: str) -> DataFrame:
-    """``df`` range-sorted by ``order_by`` with ``before``, the total of
-    ``size`` over the rows before it, and ``row``, a number for the row that
-    ascends in this order."""
-    d = reliable(df.orderBy(*order_by).withColumns({"_pid": F.spark_partition_id(), row: F.monotonically_increasing_id()}))
-    d = d.withColumn("_block", F.floor(F.col(row).bitwiseAND(F.lit(_LOW_BITS)) / BLOCK))
-    blocks = d.groupBy("_pid", "_block").agg(F.sum(size).alias("_sum"))
-    parts = blocks.groupBy("_pid").agg(F.sum("_sum").alias("_all"))                         # <= #partitions rows
-    parts = parts.select("_pid", (F.sum("_all").over(Window.orderBy("_pid")) - F.col("_all")).alias("_part"))
-    earlier = Window.partitionBy("_pid").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (blocks.withColumn("_prior", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
-              .join(F.broadcast(parts), "_pid").select("_pid", "_block", (F.col("_prior") + F.col("_part")).alias("_offset")))
-    inside = Window.partitionBy("_pid", "_block").orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
-    return (d.withColumn("_inside", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(blocks, ["_pid", "_block"])
-            .withColumn(before, (F.col("_offset") + F.col("_inside")).cast("long"))
-            .drop("_pid", "_block", "_offset", "_inside"))
-
-
 def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
     """Of (source, source_size): source, source_size, place, weight, target
     (double) and limit (the target, rounded up to a whole word)."""
@@ -113,7 +92,7 @@ def schedule(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: tuple[i
     rows = running_totals(light, [F.col("source").asc_nulls_last(), "_key", "doc_id", "size", "_text"], "size", "_before", "row")
     begins = rows.groupBy(F.col("source").alias("_source")).agg(F.min("_before").alias("_begin"))
     per_source = per_source.join(begins, F.col("source").eqNullSafe(F.col("_source"))).drop("source")
-    rows = rows.join(per_source, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rows = join_groups(rows, per_source, "source", "_source", "row")
     start = F.col("source_size") * F.col("copy") + F.col("_before") - F.col("_begin")
     copies = (rows.withColumn("copy", F.explode(F.array(*[F.lit(c) for c in range(most)])))
               .withColumn("_words", F.greatest(F.lit(0), F.least(F.col("size"), F.col("limit") - start)))
