@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortex.llm.common import reliable
-from cohortex.operators.indexing import with_row_index
+from cohortex.operators.indexing import join_groups, with_row_index
 
 FANOUT, STEP = 3, 4
 WIDTH = FANOUT ** STEP
@@ -160,12 +160,12 @@ def build(leaves: DataFrame, path: str) -> Manifest:
     placed = with_row_index(_saved(leaves, f"{path}/leaves"), "_at", order)
     spans = placed.groupBy("group").agg(F.min("_at").alias("_first"), F.count("*").alias("n"))
     spans = reliable(with_row_index(spans, "tree", [F.col("group").asc_nulls_first()])).withColumnRenamed("group", "_group")
-    rows = (placed.join(spans, F.col("group").eqNullSafe(F.col("_group")))
+    named = spans.select("tree", F.col("_group").alias("group"))
+    rows = (join_groups(placed, spans, "group", "_group", "_at")
             .select("tree", "n", (F.col("_at") - F.col("_first")).alias("pos"), F.col("leaf").alias("hash"), "key", *carried))
     subtrees = _saved(_subtrees(rows), f"{path}/level-0")
     levels = _levels(subtrees, path)
-    groups = _saved(spans.join(_roots(levels), "tree").select("tree", F.col("_group").alias("group"), F.col("hash").alias("subroot")),
-                    f"{path}/groups")
+    groups = _saved(named.join(_roots(levels), "tree").select("tree", "group", F.col("hash").alias("subroot")), f"{path}/groups")
     over = _levels(_subtrees(_over_leaves(groups, groups.count())), f"{path}/over")
     spark.createDataFrame([(len(levels), len(over))], "levels int, over int").write.parquet(f"{path}/stored")
     return Manifest(subtrees, levels, groups, over)
@@ -186,8 +186,8 @@ def root(manifest: Manifest) -> str | None:
 
 
 def _extracted(subtrees: DataFrame, above: DataFrame) -> DataFrame:
-    """One row per node of ``subtrees``: tree, subroot, path and the node's
-    columns. ``above`` has tree, block, path and subroot of each subtree."""
+    """One row per node of ``subtrees``: tree, path, the node's columns and
+    those of ``above``, which has tree, block and path of each subtree."""
     asked = subtrees.join(above, ["tree", "block"])
     place = {c: i for i, c in enumerate(asked.columns)}
 
@@ -201,18 +201,19 @@ def _extracted(subtrees: DataFrame, above: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(paths, pa.list_(pa.string()))], names=[*b.schema.names, "paths"])
 
     out = asked.mapInArrow(run, T.StructType([*asked.schema.fields, T.StructField("paths", T.ArrayType(T.StringType()))]))
-    return (out.select("tree", "subroot", F.explode(F.arrays_zip("nodes", "paths")).alias("x"))
-            .select("tree", "subroot", F.col("x.paths").alias("path"), "x.nodes.*"))
+    above = [c for c in above.columns if c not in ("block", "path")]
+    return (out.select(*above, F.explode(F.arrays_zip("nodes", "paths")).alias("x"))
+            .select(*above, F.col("x.paths").alias("path"), "x.nodes.*"))
 
 
 def _way_down(subtrees: DataFrame, levels: list[DataFrame], tops: DataFrame) -> DataFrame:
-    """The paths of the lowest nodes of trees whose roots have the paths and
-    subroots ``tops`` (tree, path, subroot)."""
+    """The paths of the lowest nodes of trees whose roots have the paths
+    ``tops`` (tree, path and what else to carry)."""
     found = None
     for i in reversed(range(len(levels))):
         above = levels[i].where("n = 0").select("tree", F.col("pos").alias("block")).join(tops, "tree")
         if found is not None:
-            above = above.unionByName(found.select("tree", F.col("pos").alias("block"), "path", "subroot"))
+            above = above.unionByName(found.withColumnRenamed("pos", "block").select(above.columns))
         found = _extracted(_subtrees(levels[i - 1].where("n > 0")) if i else subtrees, above)
     return found
 
@@ -224,6 +225,6 @@ def proofs(manifest: Manifest) -> DataFrame:
     whole = root(manifest)
     start = spark.createDataFrame([(-1, "", whole)], "tree long, path string, subroot string")
     tops = _way_down(_subtrees(_over_leaves(groups, groups.count())), manifest.over, start)
-    tops = tops.select(F.col("pos").alias("tree"), "path", F.col("hash").alias("subroot"))
-    found = _way_down(manifest.subtrees, manifest.levels, tops).withColumnRenamed("hash", "leaf").drop("pos")
-    return found.join(groups.select("tree", "group"), "tree").drop("tree").withColumn("root", F.lit(whole))
+    tops = tops.select(F.col("pos").alias("tree"), "path", F.col("hash").alias("subroot")).join(groups.select("tree", "group"), "tree")
+    found = _way_down(manifest.subtrees, manifest.levels, tops).withColumnRenamed("hash", "leaf")
+    return found.drop("tree", "pos").withColumn("root", F.lit(whole))
