@@ -50,14 +50,15 @@ SHORTEST, LONG_ENOUGH, WHOLE, SIMILARITY, MISMATCH = 5, 13, 12, 0.8, -3
 BLOCK_BYTES = 16 << 20
 # Thai, Lao, Myanmar, Khmer, kana and Han
 _UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+_THREE_BYTES = bytes(range(0xE0, 0xF5))                       # first bytes of characters of three bytes and more
 _TABLE = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
 
 def words_of(text: str | None) -> list[bytes]:
-    text = (text or "").lower()
-    if not text.isascii():
-        text = _UNSPACED.sub(r" \1 ", text)
-    return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
+    raw = (text or "").lower().encode("utf-8", "surrogatepass")
+    if len(raw.translate(None, _THREE_BYTES)) < len(raw):     # the scripts in question have no shorter characters
+        raw = _UNSPACED.sub(r" \1 ", raw.decode("utf-8", "surrogatepass")).encode("utf-8", "surrogatepass")
+    return raw.translate(_TABLE).split()
 
 
 def _hash(ids: np.ndarray, places: list[int], n: int) -> np.ndarray:
@@ -97,6 +98,7 @@ class SeedIndex:
             words = words_of(text)
             if len(words) >= SHORTEST:
                 self.items.append((item_id, np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)))
+        self.longest = max((len(ids) for _, ids in self.items), default=0)
         short = sorted({len(ids) for _, ids in self.items if len(ids) <= WHOLE})
         masks = [*((m, 0) for m in MASKS), *((m, n) for n in short for m in masks_of_length(n))]
         self.seeds = []                                     # per mask: places, span, sorted hashes, item, position
@@ -116,7 +118,7 @@ class SeedIndex:
         words = words_of(text)
         ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
         found: list[np.ndarray] = []                         # item * width + shift + longest
-        longest = max((len(own) for _, own in self.items), default=0)
+        longest = self.longest
         width = len(ids) + longest + 1
         for places, span, hashes, item, at in self.seeds:
             n = len(ids) - span + 1
@@ -126,7 +128,15 @@ class SeedIndex:
             where = np.flatnonzero(h)
             lo = np.searchsorted(hashes, h[where], "left")
             hi = np.searchsorted(hashes, h[where], "right")
-            where, lo, hi = where[hi > lo], lo[hi > lo], hi[hi > lo]
+            hit = hi > lo
+            if not hit.any():
+                continue
+            where, lo, hi = where[hit], lo[hit], hi[hit]
+            n = hi - lo
+            if n.sum() <= 16 * (len(ids) + longest):          # few pairs: each at once
+                pair = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                found.append(item[pair] * width + longest + np.repeat(where, n) - at[pair])
+                continue
             for first in np.unique(lo).tolist():              # the windows of one hash, here and in the items
                 here, last = where[lo == first], hi[lo == first][0]
                 for k in np.unique(item[first:last]).tolist():
