@@ -195,6 +195,26 @@ def test_window_hashes_depend_on_the_words_alone():
     assert (h[:251] == h[600:851]).all() and len(set(h.tolist())) == len(h) - 251
 
 
+@pytest.mark.parametrize("between", [False, True])
+def test_changed_passages_are_linked_when_other_documents_hold_their_pieces(spark, between):
+    """``between``: the pieces' holders lie between the two documents in order of doc_id, else before both."""
+    rng, cases, rows, pairs = random.Random(29), [(8, 60, 0.1), (8, 80, 0.1), (12, 60, 0.05), (16, 80, 0.1)], [], {}
+    for piece, n, changed in cases:
+        for _ in range(50):
+            passage = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+            other = list(passage)
+            for i in rng.sample(range(n), int(changed * n)):
+                other[i] = f"w{rng.randrange(10**9)}"
+            parts = [passage[i:i + piece] for i in range(0, n, piece)]
+            texts = [passage, *parts, other] if between else [*parts, passage, other]
+            ids = range(len(rows), len(rows) + len(texts))
+            rows += [(k, " ".join([prose(rng, 40), *t, prose(rng, 40)])) for k, t in zip(ids, texts)]
+            pairs[(ids[-1], ids[0] if between else ids[-2])] = (piece, n, changed)
+    got = fuzzy_passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = Counter(pairs[p] for p in {(r["doc_id"], r["other_doc_id"]) for r in got} & pairs.keys())
+    assert all(found[c] >= 45 for c in cases), found
+
+
 def test_changed_passages_are_found(spark):
     rng = random.Random(23)
     cases = [(n, share) for n in (52, 60, 80) for share in (0.05, 0.1, 0.15, 0.19)]
