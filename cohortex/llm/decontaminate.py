@@ -54,11 +54,16 @@ _THREE_BYTES = bytes(range(0xE0, 0xF5))                       # first bytes of c
 _TABLE = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
 
-def words_of(text: str | None) -> list[bytes]:
+def spaced(text: str | None) -> bytes:
+    """The text in lower case with its words parted by ASCII white space."""
     raw = (text or "").lower().encode("utf-8", "surrogatepass")
     if len(raw.translate(None, _THREE_BYTES)) < len(raw):     # the scripts in question have no shorter characters
         raw = _UNSPACED.sub(r" \1 ", raw.decode("utf-8", "surrogatepass")).encode("utf-8", "surrogatepass")
-    return raw.translate(_TABLE).split()
+    return raw.translate(_TABLE)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return spaced(text).split()
 
 
 def _hash(ids: np.ndarray, places: list[int], n: int) -> np.ndarray:

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -189,6 +190,31 @@ def test_a_passage_is_linked_when_smaller_documents_hold_its_parts(spark):
     assert pairs <= {(r["doc_id"], r["other_doc_id"]) for r in got}
 
 
+def test_word_hashes_tell_words_apart_wherever_they_are():
+    """Blocks of documents: the same hash for the same word in any place, and seeds as of each document alone."""
+    rng = np.random.default_rng(5)
+    short = [f"w{i}" for i in range(300)] + ["a\0", "a", "naïve", "一", "二"]
+    long = ["x" * n + end for n in (1000, 1023, 1024, 1025, 65_535, 65_536, 70_000) for end in ("a", "b")]
+    texts = [" ".join(rng.choice(short, n).tolist()) for n in (0, 3, 9, 10, 11, 60, 400, 30_000)]
+    texts += [" ".join(rng.permutation(long + short).tolist()), "\u3000".join(long + long) + "\n\n", None, "一二" * 40 + " , w1", "same " * 700]
+    ids, offsets, h = next(fuzzy_passages.hashed_blocks(range(len(texts)), pa.array(texts), 5, 1 << 30))
+    words = [decontaminate.words_of(t) for t in texts]
+    assert ids.tolist() == [i for i, w in enumerate(words) if len(w) >= 5]
+    flat = [w for i in ids for w in words[i]]
+    assert np.diff(offsets).tolist() == [len(words[i]) for i in ids]
+    by_word = dict(zip(flat, h.tolist()))
+    assert [by_word[w] for w in flat] == h.tolist() and len(set(by_word.values())) == len(by_word)
+    small = list(fuzzy_passages.hashed_blocks(range(len(texts)), pa.array(texts), 5, 100))
+    assert np.concatenate([b[2] for b in small]).tolist() == h.tolist()
+
+    seeds, doc, at, twin = fuzzy_passages.minimizers(h, offsets)
+    for i, (lo, hi) in enumerate(zip(offsets[:-1], offsets[1:])):
+        alone, _, places, twins = fuzzy_passages.minimizers(h[lo:hi], np.array([0, hi - lo]))
+        rows = np.flatnonzero(doc == i)
+        assert seeds[rows].tolist() == alone.tolist() and at[rows].tolist() == places.tolist() and len(alone)
+        assert (at[twin[rows]][twin[rows] >= 0] == places[twins][twins >= 0]).all()
+
+
 def test_window_hashes_depend_on_the_words_alone():
     words = np.random.default_rng(1).integers(0, 1 << 63, 300, np.uint64)
     h = fuzzy_passages.window_hashes(np.concatenate((words, words[::-1], words)), 50)
