@@ -296,6 +296,21 @@ def _layout(rng, parts):
     return x, y
 
 
+def test_alignment_depends_on_a_chains_turns_alone():
+    rng, shorter = np.random.default_rng(8), 0
+    for _ in range(60):
+        x = rng.integers(0, 1 << 30, 400)
+        cuts = np.sort(rng.choice(np.arange(30, 370), 3, replace=False))
+        y = np.concatenate([np.concatenate((part, rng.integers(0, 1 << 30, rng.integers(0, 4)))) for part in np.split(x, cuts)])
+        place = {w: i for i, w in enumerate(y.tolist())}
+        x = np.where(rng.random(400) < 0.1, rng.integers(0, 1 << 30, 400), x)
+        seeds = [(i, place[w]) for i, w in enumerate(x.tolist()) if w in place and rng.random() < 0.3]
+        few = fuzzy_passages.turns(seeds)
+        shorter += len(few) < len(seeds)
+        assert fuzzy_passages.align(x, y, few) == fuzzy_passages.align(x, y, seeds)
+    assert shorter == 60 and fuzzy_passages.turns([(3, 9)]) == [(3, 9)] and fuzzy_passages.turns([(3, 9), (4, 10)]) == [(3, 9)]
+
+
 def test_alignment_reports_a_stretch_exactly_when_one_is_long_and_equal_enough():
     rng = np.random.default_rng(3)
     layouts = [[(48, 0), (25, 1), (60, 5 / 60), (90, 1)], [(50, 0), (16, 1)] * 5, [(100, 0), (30, 1)] * 3, [(90, 1), (52, 0.19), (90, 1)]]
