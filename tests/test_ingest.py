@@ -149,3 +149,30 @@ def test_committed_rows_follow_their_batches_over_several_files(spark, tmp_path,
     assert IN.read_committed(spark, out, "v1", "offer").count() == 0
     with pytest.raises(ValueError, match="not in order"):
         IN._check_order(back.where("ordinal <> 5"), n, "people")
+
+
+def test_batches_are_packed_on_their_way_and_whole_at_the_end(spark, tmp_path):
+    """Ties, nulls, quotes and tables of different width, in batches that cross the pieces they travel in."""
+    n = 700
+    wide = spark.range(n).select(F.col("id").alias("user_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit('"é\n'), F.col("id") % 5)).alias("region"),
+                                 F.lit("the same text " * 20).alias("note"), (F.col("id") % 7).alias("ordinal"))
+    narrow = spark.range(5).select(F.col("id").alias("offer_id"), F.col("id").alias("ordinal"))
+    tables = {"people": wide.repartition(6), "offer": narrow}
+    text = lambda v: None if v is None else str(v)
+    rows = sorted(wide.collect(), key=lambda r: (r["ordinal"], text(r["user_id"])))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        got = {(r["table"], r["batch_id"]): r for r in IN.to_wires(tables, "v1", 150).collect()}
+        landing = tmp_path / "landing"
+        IN.write_landing(IN.to_wires(tables, "v1", 150), str(landing))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got) == [("offer", 1), *(("people", i) for i in range(1, 6))]
+    assert {r["total_batches"] for k, r in got.items() if k[0] == "people"} == {5}
+    assert [x for i in range(1, 6) for x in got["people", i]["records"]] == \
+        [{"user_id": text(r["user_id"]), "region": r["region"], "note": r["note"]} for r in rows]
+    assert got["offer", 1]["records"] == [{"offer_id": str(i)} for i in range(5)]
+    whole = sum(len(json.dumps({k: v for k, v in r.asDict().items()})) for r in got.values())
+    assert sum(f.stat().st_size for f in landing.glob("part-*")) * 4 < whole
+    back = {(r["table"], r["batch_id"]): r["records"] for r in spark.read.schema(IN.WIRE_SCHEMA).json(str(landing)).collect()}
+    assert back == {k: r["records"] for k, r in got.items()}
