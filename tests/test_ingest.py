@@ -176,3 +176,15 @@ def test_batches_are_packed_on_their_way_and_whole_at_the_end(spark, tmp_path):
     assert sum(f.stat().st_size for f in landing.glob("part-*")) * 4 < whole
     back = {(r["table"], r["batch_id"]): r["records"] for r in spark.read.schema(IN.WIRE_SCHEMA).json(str(landing)).collect()}
     assert back == {k: r["records"] for k, r in got.items()}
+
+
+def test_a_commit_sends_values_without_their_names(spark, tmp_path):
+    store, landing, out = (str(tmp_path / x) for x in ("store", "landing", "out"))
+    df = spark.createDataFrame([(1, None, 2), (None, "b", 1), (3, "c", 0)], "user_id long, region string, ordinal long")
+    IN.write_landing(IN.to_wire(df, "v1", "people", 2), landing)
+    IN.ingest(spark, landing, store, str(tmp_path / "c"))
+    IN.commit_version(spark, store, "v1", out, {"people": ["region", "absent", "user_id"]})
+    back = IN.read_committed(spark, out, "v1", "people")
+    assert sorted((r["ordinal"], r["user_id"], r["region"], r["absent"], r["batch_id"]) for r in back.collect()) == \
+        [(0, "3", "c", None, 1), (1, None, "b", None, 1), (2, "1", None, None, 2)]
+    assert all(".zstd." in f for f in back.inputFiles())
