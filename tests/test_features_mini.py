@@ -166,3 +166,20 @@ def test_any_value_can_be_a_column(spark):
     later = kept.extended({"region": ["MoScOw", *values], "cat": ["new"]})
     assert kept == categories and later.names.items() >= kept.names.items() and later.of("cat")["new"] == "cat_new"
     assert len({n.lower() for n in later.names.values()}) == len(later.names)
+
+
+def test_transactions_travel_as_narrow_rows_and_give_the_same_features(spark):
+    rows = [(1, 1, 10, "2024-03-30", 5, "1k+", "Y"), (None, 1, 10, "2024-03-01", 5, "5k+", "N"), (3, 1, 11, "2024-01-15", None, "100k+", "1"),
+            (4, 1, None, None, 6, None, None), (5, 2, 10, "2020-01-01", 7, "<1k", "Y"), (6, 2, 10, "2024-03-31", 7, "<1k", "Y"),
+            (7, 3, None, None, None, None, None), (8, None, 10, "2024-03-31", 5, "1k+", "Y"), (9, 1, 10, "2024-03-30", 5, "1k+", "Y")]
+    tx = spark.createDataFrame(rows, "transaction_id long, user_id long, merchant_id_tx long, event_date string, brand_dk long, "
+                                     "amount_bucket string, online_transaction_flg string")
+    ref = FT.reference_timestamp(tx)
+    got = {r["user_id"]: r.asDict() for r in FT.tx_features(tx, ref).collect()}
+    parts = FT.tx_window_features(tx, ref), FT.tx_total_features(tx)
+    want = {r["user_id"]: r.asDict() for r in parts[0].join(parts[1], "user_id").collect()}
+    assert set(got) == set(want) == {1, 2, 3}
+    for user, r in want.items():
+        assert got[user] == pytest.approx(r, abs=1e-6), user
+    assert [f.dataType for f in FT.tx_features(tx, ref).schema] == [f.dataType for f in parts[0].join(parts[1], "user_id").schema]
+    assert len(FT._tx_parts(FT._tx_prepared(tx), ref, [7, 30, 90]).columns) <= 8
