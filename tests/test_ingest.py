@@ -188,3 +188,19 @@ def test_a_commit_sends_values_without_their_names(spark, tmp_path):
     assert sorted((r["ordinal"], r["user_id"], r["region"], r["absent"], r["batch_id"]) for r in back.collect()) == \
         [(0, "3", "c", None, 1), (1, None, "b", None, 1), (2, "1", None, None, 2)]
     assert all(".zstd." in f for f in back.inputFiles())
+
+
+def test_arrivals_are_written_without_a_sort_and_the_session_is_left_alone(spark, tmp_path, monkeypatch):
+    asked = []
+    process = IN._process
+
+    def watched(batch, epoch_id, store_dir):
+        process(batch, epoch_id, store_dir)
+        asked.append(batch.sparkSession.conf.get("spark.sql.maxConcurrentOutputFileWriters"))
+
+    monkeypatch.setattr(IN, "_process", watched)
+    one, store = str(tmp_path / "one"), str(tmp_path / "store")
+    _lines(one, "a.json", ("people", 1, ["1"]), ("offer", 1, ["2"]), ("people", 2, ["3"]), ("offer", 2, ["4"]))
+    IN.ingest(spark, one, store, str(tmp_path / "c"))
+    assert asked == ["64"] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    assert _records(spark, store) == [("offer", 1, "2"), ("offer", 2, "4"), ("people", 1, "1"), ("people", 2, "3")]
