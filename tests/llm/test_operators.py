@@ -444,6 +444,14 @@ def test_pieces_cover_every_token_once(docs, none, rows):
     assert packing.pieces(none, path).count() == 0
 
 
+def test_pieces_and_their_digests_need_one_python_worker_a_task(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id long, text string")
+    got = packing.piece_digests(packing.pieces(docs, vocabulary("byte_bpe_50k.json"), length=8))
+    assert got.columns == ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "boundary", "ids_crc32"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {r["ids_crc32"] for r in got.collect() if r["doc_id"] == 2} == {_digest([1])[1]}
+
+
 def _digest(ids):
     return len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())
 
