@@ -241,6 +241,92 @@ def test_changed_passages_are_linked_when_other_documents_hold_their_pieces(spar
     assert all(found[c] >= 45 for c in cases), found
 
 
+def all_links(texts, least=2):
+    """Pairs of texts with a reported passage along a chain of seeds, of which every match counts."""
+    found = []
+    for t in texts:
+        _, offsets, h = next(fuzzy_passages.hashed_blocks([0], pa.array([t]), 5))
+        seeds, _, at, _ = fuzzy_passages.minimizers(h, offsets)
+        where = {}
+        for s, i in zip(seeds.tolist(), at.tolist()):
+            where.setdefault(s, []).append(i)
+        found.append((h.astype(np.uint32), where))
+    for i, (x, sx) in enumerate(found):
+        for j, (y, sy) in enumerate(found[:i]):
+            m = sorted({(p, q) for s in sx.keys() & sy.keys() for p in sx[s] for q in sy[s]})
+            if len(m) >= least and any(fuzzy_passages.align(x, y, [m[k] for k in c]) for c in fuzzy_passages.chains(*zip(*m))):
+                yield i, j
+
+
+@pytest.mark.parametrize("copies", [1, 70])
+def test_no_link_between_classes_is_left_out(spark, copies):
+    """Holders of all pieces of a changed passage lie before and between the two documents that have it, in order of doc_id;
+    pieces of many (copies) are seeds with more holders than are compared by links."""
+    rng = random.Random(31)
+
+    def words(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    cases = []
+    for n, changed, gap in [(60, 0.1, False), (80, 0.1, False), (70, 0.05, False), (70, 0.0, True)] * (6 if copies == 1 else 1):
+        passage = words(n)
+        other = list(passage)
+        for i in rng.sample(range(n), int(changed * n)):
+            other[i] = words(1)[0]
+        if gap:
+            other[35:36] = words(3)
+        pieces = [passage[i:i + 12] for i in range(0, n - 3, 4)]
+
+        def piece_texts():
+            return [" ".join(words(25) + p + words(25)) for _ in range(copies) for p in pieces]
+
+        before, between = piece_texts(), piece_texts()
+        cases.append([*before, " ".join(words(45) + passage + words(40)), *between, " ".join(words(30) + other + words(40))])
+    rows, pairs = [], []
+    for c in cases:
+        k = len(rows)
+        both = [len(c) // 2 - 1, len(c) - 1]
+        assert list(all_links([c[b] for b in both])) == [(1, 0)]
+        rows += [(k + i, t) for i, t in enumerate(c)]
+        pairs.append((k + both[0], k + both[1]))
+    got = fuzzy_passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    of = {d: r["class_id"] for r in got for d in (r["doc_id"], r["other_doc_id"])}
+    assert [p for p in pairs if of.get(p[0], -1) != of.get(p[1], -2)] == []
+    assert {k: of[k] for k in of} == {d: min(p) for p in pairs for d in p}
+
+
+def test_holders_around_a_seed_are_compared_exactly():
+    """Against every pair of rows by itself, where many rows have a line in common and where they have little."""
+    rng = np.random.default_rng(3)
+    size = 2 * fuzzy_passages.FLANK + 5
+    for line, n in ((5, 120), (17, 150), (38, 90)):
+        context = rng.integers(0, 1 << 32, (n, size), dtype=np.uint64).astype(np.uint32)
+        context[:, 128:128 + line] = context[0, 128:128 + line]
+        for i in range(0, n - 1, 3):                                # neighbours agree to some extent around the line
+            lo, hi = 128 - int(rng.integers(0, 60)), 128 + line + int(rng.integers(0, 60))
+            keep = rng.random(hi - lo) < rng.choice([0.7, 0.8, 0.9])
+            context[i + 1, lo:hi] = np.where(keep, context[i, lo:hi], context[i + 1, lo:hi])
+            context[i + 1, 128:128 + line] = context[0, 128:128 + line]
+        same = fuzzy_passages._same_diagonal(context, 50, 0.8)
+        some = 0
+        for i in range(n):
+            true = fuzzy_passages._similar(context[i], context, 50, 0.8)
+            j = same(i, np.ones(n, bool))
+            assert set(np.flatnonzero(true).tolist()) - {i} <= set(j.tolist())
+            some += true.sum() - 1
+            for k in range(max(0, i - 1), min(n, i + 2)):
+                total = np.concatenate(([0], np.cumsum(context[i] == context[k])))
+                assert true[k] == any(total[e] - total[s] >= 0.8 * (e - s) - 1e-9 for s in range(size - 49) for e in range(s + 50, size + 1))
+        assert some
+        docs = np.arange(n)
+        a, b, at, other_at, long = fuzzy_passages.across(docs, docs, context, 50, 0.8)
+        root = docs.copy()
+        for x, y in zip(a[long > 0], b[long > 0]):
+            root[root == root[x]] = root[y]
+        linked = {(i, int(k)) for i in range(n) for k in np.flatnonzero(fuzzy_passages._similar(context[i], context, 50, 0.8))}
+        assert linked and all(root[i] == root[k] for i, k in linked) and len(set(root.tolist())) == n - (long > 0).sum()
+
+
 def test_changed_passages_are_found(spark):
     rng = random.Random(23)
     cases = [(n, share) for n in (52, 60, 80) for share in (0.05, 0.1, 0.15, 0.19)]
