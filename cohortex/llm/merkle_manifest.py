@@ -25,7 +25,7 @@ empty result; other columns than the hashed and carried ones are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from hashlib import sha256
 
@@ -39,6 +39,7 @@ from cohortex.operators.indexing import join_groups, with_row_index
 
 FANOUT, STEP = 3, 4
 WIDTH = FANOUT ** STEP
+AT_ONCE = 32                                        # subtrees whose paths a task holds
 
 _NODE = "tree long, n long, pos long, hash string"
 
@@ -185,14 +186,12 @@ def root(manifest: Manifest) -> str | None:
     return rows[0]["hash"] if rows else None
 
 
-def _extracted(subtrees: DataFrame, above: DataFrame) -> DataFrame:
-    """One row per node of ``subtrees``: tree, path, the node's columns and
-    those of ``above``, which has tree, block and path of each subtree."""
-    asked = subtrees.join(above, ["tree", "block"])
-    place = {c: i for i, c in enumerate(asked.columns)}
-
-    def run(batches):
-        for b in batches:
+def _with_paths(batches: Iterator[pa.RecordBatch], place: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """Subtrees with ``paths``, one of each node. A path is as long as the
+    tree is high, so few subtrees at a time are opened and handed on."""
+    for whole in batches:
+        for first in range(0, whole.num_rows, AT_ONCE):
+            b = whole.slice(first, AT_ONCE)
             nodes = b.column(place["nodes"])
             cut = (nodes.offsets.to_numpy() - nodes.offsets[0].as_py()).tolist()
             hashes = nodes.flatten().field("hash").to_pylist()
@@ -200,7 +199,14 @@ def _extracted(subtrees: DataFrame, above: DataFrame) -> DataFrame:
                      for lo, hi, n, above in zip(cut, cut[1:], b.column(place["n"]).to_pylist(), b.column(place["path"]).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(paths, pa.list_(pa.string()))], names=[*b.schema.names, "paths"])
 
-    out = asked.mapInArrow(run, T.StructType([*asked.schema.fields, T.StructField("paths", T.ArrayType(T.StringType()))]))
+
+def _extracted(subtrees: DataFrame, above: DataFrame) -> DataFrame:
+    """One row per node of ``subtrees``: tree, path, the node's columns and
+    those of ``above``, which has tree, block and path of each subtree."""
+    asked = subtrees.join(above, ["tree", "block"])
+    place = {c: i for i, c in enumerate(asked.columns)}
+    out = asked.mapInArrow(lambda batches: _with_paths(batches, place),
+                           T.StructType([*asked.schema.fields, T.StructField("paths", T.ArrayType(T.StringType()))]))
     above = [c for c in above.columns if c not in ("block", "path")]
     return (out.select(*above, F.explode(F.arrays_zip("nodes", "paths")).alias("x"))
             .select(*above, F.col("x.paths").alias("path"), "x.nodes.*"))

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,6 +246,23 @@ def test_manifest_query(spark, sf_dir, rows):
     assert Q.op13_merkle_manifest(spark, f"{sf_dir}/none").count() == 0
 
 
+def test_a_task_holds_the_paths_of_few_subtrees(spark):
+    """A batch of many subtrees comes back as small ones, each node with its path."""
+    sizes, width = [81] * 500 + [40], merkle_manifest.WIDTH
+    nodes = [[{"pos": b * width + i, "hash": sha(f"{b}.{i}")} for i in range(n)] for b, n in enumerate(sizes)]
+    n = sum(sizes)
+    columns = {"n": pa.array([n] * len(sizes)), "path": pa.array([f"{b}:" for b in range(len(sizes))]),
+               "nodes": pa.array(nodes, pa.list_(pa.struct([("pos", pa.int64()), ("hash", pa.string())])))}
+    batch = pa.RecordBatch.from_pydict(columns)
+    got = list(merkle_manifest._with_paths(iter([batch.slice(0, 300), batch.slice(300)]), {c: i for i, c in enumerate(columns)}))
+    assert max(b.num_rows for b in got) <= merkle_manifest.AT_ONCE
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [r["nodes"] for r in rows] == nodes
+    for r in rows[::50] + rows[-1:]:
+        hashes = [x["hash"] for x in r["nodes"]]
+        assert r["paths"] == merkle_manifest.ways(merkle_manifest.interior(hashes, False), r["path"])
+
+
 def test_manifest_of_several_stored_levels_and_groups(spark):
     """A group of 3 stored levels beside lone leaves; more groups than a subtree holds."""
     sizes = [7000, *range(1, 95), 82, 81, 243, 244, 1]
