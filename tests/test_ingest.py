@@ -5,6 +5,7 @@ import json
 import os
 import tempfile
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,17 @@ def _lines(path, name, *batches):
                                  "records": [{"user_id": u} for u in users]}) + "\n" for t, b, users in batches)
 
 
+def test_arrivals_are_kept_in_small_row_groups(spark, tmp_path):
+    """A row group is what a writer buffers for each open table, and what a reader turns into columns at once."""
+    store, landing, n = str(tmp_path / "store"), str(tmp_path / "landing"), 5 * IN.RAW_BATCHES + 1
+    _lines(landing, "a.json", *[("people", b, [str(b), "x"]) for b in range(1, n + 1)], ("offer", 1, ["y"]))
+    IN.ingest(spark, landing, store, str(tmp_path / "c"))
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "store" / "raw").rglob("*.parquet")]
+    groups = [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert sum(groups) == n + 1 and max(groups) <= IN.RAW_BATCHES
+    assert _records(spark, store) == sorted([("people", b, x) for b in range(1, n + 1) for x in (str(b), "x")] + [("offer", 1, "y")])
+
+
 def test_a_second_stream_adds_and_never_replaces(spark, tmp_path):
     """Two landing folders with checkpoints of their own, then a lost checkpoint, on one store."""
     store, one, two = (str(tmp_path / x) for x in ("store", "one", "two"))
