@@ -295,6 +295,55 @@ def test_no_link_between_classes_is_left_out(spark, copies):
     assert {k: of[k] for k in of} == {d: min(p) for p in pairs for d in p}
 
 
+@pytest.mark.parametrize("copies", [1, 70])
+def test_no_passage_is_left_out_between_documents_that_another_one_joins(spark, copies):
+    """As above, of two documents that are of one class by a further passage."""
+    rng, rows, cases = random.Random(41), [], []
+
+    def words(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    for n in [60, 80] * (5 if copies == 1 else 1):
+        passage, both = words(n), words(60)
+        other = list(passage)
+        for i in rng.sample(range(n), n // 10):
+            other[i] = words(1)[0]
+
+        def piece_texts():
+            return [" ".join(words(25) + passage[i:i + 12] + words(25)) for _ in range(copies) for i in range(0, n - 3, 4)]
+
+        texts = [*piece_texts(), " ".join(words(200) + passage + words(200) + both), *piece_texts(),
+                 " ".join(both + words(200) + other + words(200))]
+        cases.append((len(rows) + len(texts) - 1, len(rows) + len(texts) // 2 - 1))
+        rows += [(len(rows) + i, t) for i, t in enumerate(texts)]
+    got = fuzzy_passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for end in (60, 320):                                       # the one beside, and the changed one behind it
+        found = {(r["doc_id"], r["other_doc_id"]) for r in got if end - 60 <= r["start"] < end + 60}
+        assert found == set(cases)
+    assert {r["class_id"] for r in got} == {b for _, b in cases}
+
+
+def test_holders_of_a_seed_are_joined_by_passages_through_it_alone():
+    """Places by brute force: two of a seed in one passage are of one class, and so on."""
+    rng = random.Random(43)
+    for _ in range(30):
+        holders = sorted({(rng.randrange(4), rng.randrange(8), rng.randrange(3)) for _ in range(rng.randint(0, 40))})
+        rows = [(s, d, a, d % 2, p) for s, d, a in holders for p in rng.choice([[0], [rng.randrange(1, 9)], rng.sample(range(1, 9), 2)])]
+        rng.shuffle(rows)
+        of = {h: h for h in holders}
+        for _ in holders:
+            for s, d, a, _, p in rows:
+                for x in rows:
+                    if x[0] == s and x[4] == p > 0:
+                        of[s, d, a] = of[x[:3]] = min(of[s, d, a], of[x[:3]])
+        got = fuzzy_passages._places(*(np.array([r[i] for r in rows], np.int64) for i in range(5)))
+        seed, doc, at, several, start, n, label = (c.tolist() for c in got)
+        assert list(zip(seed, doc, at)) == holders and several == [d % 2 for d in doc]
+        for i, h in enumerate(holders):
+            assert holders[start[i] + label[i]] == of[h] and n[i] == sum(x[0] == h[0] for x in holders)
+            assert holders[start[i]] == min(x for x in holders if x[0] == h[0])
+
+
 def test_holders_around_a_seed_are_compared_exactly():
     """Against every pair of rows by itself, where many rows have a line in common and where they have little."""
     rng = np.random.default_rng(3)
