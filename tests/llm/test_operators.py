@@ -376,6 +376,27 @@ def test_holders_around_a_seed_are_compared_exactly():
         assert linked and all(root[i] == root[k] for i, k in linked) and len(set(root.tolist())) == n - (long > 0).sum()
 
 
+def test_links_of_a_group_come_in_blocks():
+    """Rows of a few words over and over have words in common on all diagonals: blocks of any size hold the same links."""
+    rng = np.random.default_rng(9)
+    size, n = 2 * fuzzy_passages.FLANK + 5, 40
+    context = np.stack([np.resize(rng.permutation(6), size) for _ in range(n)]).astype(np.uint32)
+    context[rng.random(context.shape) < 0.1] = 99
+    context[:, 128:133] = np.arange(5)
+    docs, everything = np.arange(n), []
+    for most in (50, 1 << 20):
+        further = fuzzy_passages._other_diagonals(context, 50, 0.8, most)
+        found = [tuple(c.tolist() for c in further(i, docs != i)) for i in range(n)]
+        blocks = list(fuzzy_passages._across(docs, docs, context, 50, 0.8, None, most))
+        assert sum(len(k) for k, _, _ in found) > 200 and (len(blocks) > 3) == (most == 50)
+        everything.append((found, [np.concatenate(c).tolist() for c in zip(*blocks)]))
+    assert everything[0] == everything[1]
+    for i, (k, at, other_at) in enumerate(everything[0][0]):
+        assert len(set(zip(k, np.subtract(other_at, at).tolist()))) == len(k)
+        for row, x, y in zip(k, at, other_at):
+            assert (context[i, 128 + x:133 + x] == context[row, 128 + y:133 + y]).all()
+
+
 def test_changed_passages_are_found(spark):
     rng = random.Random(23)
     cases = [(n, share) for n in (52, 60, 80) for share in (0.05, 0.1, 0.15, 0.19)]
